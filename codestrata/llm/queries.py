@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codestrata.llm import simhash
+from codestrata.llm import linededup, mixing, simhash
 
 QUERIES = {}
 ORACLES = {}
@@ -19,3 +19,19 @@ def op3_simhash_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op3_simhash_covering"] = op3_simhash_covering
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_report(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op8_line_dedup"] = op8_line_dedup
+ORACLES["op8_line_dedup"] = linededup.ORACLE
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op9_mixing"] = op9_mixing
+ORACLES["op9_mixing"] = mixing.ORACLE
