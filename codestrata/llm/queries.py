@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codestrata.llm import linededup, mixing, simhash
+from codestrata.llm import linededup, mixing, quality, simhash
 
 QUERIES = {}
 ORACLES = {}
@@ -35,3 +35,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op9_mixing"] = op9_mixing
 ORACLES["op9_mixing"] = mixing.ORACLE
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES["op7_quality_rules"] = op7_quality_rules
