@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codestrata.llm import linededup, mixing, quality, simhash
+from codestrata.llm import linededup, mixing, quality, simhash, warczip
 
 QUERIES = {}
 ORACLES = {}
@@ -42,3 +42,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_quality_rules"] = op7_quality_rules
+
+
+def op10_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warczip.round_trip(_table(spark, sf_dir, "pages"))
+
+
+QUERIES["op10_warc_zip"] = op10_warc_zip
+ORACLES["op10_warc_zip"] = warczip.ORACLE
