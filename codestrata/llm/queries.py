@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from codestrata.llm import linededup, mixing, quality, simhash, warczip
+from codestrata.llm import linededup, mixing, packing, quality, simhash, warczip
 
 QUERIES = {}
 ORACLES = {}
@@ -50,3 +51,10 @@ def op10_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op10_warc_zip"] = op10_warc_zip
 ORACLES["op10_warc_zip"] = warczip.ORACLE
+
+
+def op6_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path(packing.TOKENIZER))
+
+
+QUERIES["op6_pattern_packing"] = op6_pattern_packing
