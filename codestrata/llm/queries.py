@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from codestrata.llm import linededup, mixing, packing, quality, simhash, warczip
+from codestrata.llm import embeddings, linededup, mixing, packing, quality, simhash, warczip
 
 QUERIES = {}
 ORACLES = {}
@@ -58,3 +58,11 @@ def op6_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_pattern_packing"] = op6_pattern_packing
+
+
+def op1_pivot_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES["op1_pivot_permutation"] = op1_pivot_permutation
+ORACLES["op1_pivot_permutation"] = embeddings.ORACLE
