@@ -10,8 +10,8 @@ double precision.
 
 Pivots are chosen from a bounded sample (``SAMPLE`` vectors with the smallest content hash),
 apart from each other (cosine below ``APART``), as two pivots in one tight group would order
-that group's vectors by noise; random directions fill up to the number wanted, which grows
-with the square root of the table between ``PIVOTS`` bounds. Every vector is indexed.
+that group's vectors by noise; random directions fill up to the number wanted, which is four
+times the square root of the table's size, within the bounds ``PIVOTS``. Every vector is indexed.
 
 Bit-equal vectors are one node with a weight. A list above ``block`` members is dealt into
 pairs of blocks; a pair is counted only under its smallest common combination; what leaves a
@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 
 from codestrata.llm.shared import components, materialize, stars
 
-COSINE, PREFIX, SHARED = 0.95, 7, 3
-SAMPLE, APART, PIVOTS, SEED = 2048, 0.5, (256, 4096), 20240607
+COSINE, PREFIX, SHARED = 0.95, 8, 3
+SAMPLE, APART, PIVOTS, SEED = 2048, 0.5, (1024, 4096), 20240607
 
 
 def unit(vector: np.ndarray) -> np.ndarray | None:
@@ -143,22 +143,76 @@ def _verify(threshold: float, pivots, count: int, prefix: int, shared: int):
         keep = (n > 0) | (root != ids)
         return pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(n[keep]), pa.array(root[keep])], ["id", "links", "root"])
 
+    def few(rows: pa.RecordBatch, group: np.ndarray, known):
+        """Groups of at most 32 rows, all at once: neighbours one apart, two apart and so on."""
+        ids, w, key = rows.column(4).to_numpy(), rows.column(5).to_numpy(), rows.column(0).to_numpy()
+        parts = []
+        for dim in np.unique(key >> 36):
+            mine = np.flatnonzero(key >> 36 == dim)
+            x = _matrix(rows.column(6), mine, int(dim))
+            x /= np.abs(x).max(1, keepdims=True)
+            x /= np.sqrt((x * x).sum(1, keepdims=True))
+            g = group[mine]
+            for shift in range(1, 32):
+                same = np.flatnonzero(g[shift:] == g[:-shift]) if shift < len(g) else ()
+                if not len(same):
+                    break
+                hit = same[np.einsum("ij,ij->i", x[same], x[same + shift]) >= threshold]
+                parts.append((mine[hit], mine[hit + shift], x[hit], x[hit + shift]))
+        i, j = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in (0, 1))
+        if not len(i):
+            return None
+        first = []
+        for a, b, xa, xb in parts:  # counted only under the smallest common combination
+            if len(a):
+                p = known[key[a[0]] >> 36] if key[a[0]] >> 36 in known else known.setdefault(key[a[0]] >> 36, filled(int(key[a[0]] >> 36), count))
+                na, nb = (np.sort(np.argsort(-(x @ p.T), axis=1, kind="stable")[:, :prefix], axis=1) for x in (xa, xb))
+                both = (na[:, :, None] == nb[:, None, :]).any(2)
+                rank = np.cumsum(both, 1)
+                combo = np.zeros(len(a), np.int64)
+                for k in range(shared):
+                    combo = combo * 4096 + na[np.arange(len(a)), np.argmax(rank > k, 1)]
+                first.append(combo == (key[a] & ((1 << 36) - 1)))
+        keep = np.concatenate(first) & (ids[i] != ids[j])
+        i, j = i[keep], j[keep]
+        if not len(i):
+            return None
+        nodes, at = np.unique(np.concatenate([ids[i], ids[j]]), return_inverse=True)
+        n = np.bincount(at, np.concatenate([w[j], w[i]]), len(nodes)).astype(np.int64)
+        root = nodes.copy()
+        child, top = stars(ids[i], ids[j])
+        root[np.searchsorted(nodes, child)] = top
+        return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(n), pa.array(root)], ["id", "links", "root"])
+
+    def flush(held: list[pa.RecordBatch], known):
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        k = np.stack([rows.column(c).to_numpy() for c in range(3)])
+        cut = np.flatnonzero(np.concatenate([[True], (k[:, 1:] != k[:, :-1]).any(0)]))
+        size = np.diff(np.append(cut, rows.num_rows))
+        large = (size > 32) | (k[1][cut] != k[2][cut])
+        for g in np.flatnonzero(large):
+            yield group([rows.slice(cut[g], size[g])], known)
+        label = np.repeat(np.arange(len(cut)), size)
+        small = np.flatnonzero(~large[label])
+        if len(small) and (out := few(rows.take(pa.array(small)), label[small], known)) is not None:
+            yield out
+
     def run(batches):
-        known, held, now = dict(pivots), [], None
+        known, held = dict(pivots), []
         for batch in batches:
             if not batch.num_rows:
                 continue
             k = np.stack([batch.column(c).to_numpy() for c in range(3)])
-            cuts = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
-            for a, b in zip(cuts, cuts[1:]):
-                this = tuple(k[:, a])
-                if held and this != now:
-                    yield group(held, known)
-                    held = []
-                now = this
-                held.append(batch.slice(a, b - a))
+            last = np.flatnonzero((k != k[:, -1:]).any(0))
+            cut = int(last[-1]) + 1 if len(last) else 0  # rows from here on may go on in the next batch
+            if held and (cut or any(held[-1].column(c)[-1].as_py() != batch.column(c)[0].as_py() for c in range(3))):
+                yield from flush([*held, batch.slice(0, cut)] if cut else held, known)
+                held = []
+            elif cut:
+                yield from flush([batch.slice(0, cut)], known)
+            held.append(batch.slice(cut))
         if held:
-            yield group(held, known)
+            yield from flush(held, known)
 
     return run
 
@@ -180,7 +234,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = COSINE, prefix: int =
     nodes = rows.filter("ok").groupBy("c").agg(F.min("vec_id").alias("vec"), F.count("*").alias("w"), F.min_by("v", F.coalesce("vec_id", F.lit(2**63 - 1))).alias("v"))
     # A node needs a number also where all its vec_ids are null, or where one vec_id has several vectors.
     nodes = materialize(nodes.select("c", "vec", "w", "v", F.xxhash64("c").alias("id")), "nodes")
-    count = int(min(PIVOTS[1], max(PIVOTS[0], 2 ** np.ceil(np.log2(max(1, nodes.count()) ** 0.5)))))
+    count = int(min(PIVOTS[1], max(PIVOTS[0], 2 ** np.ceil(np.log2(4 * max(1, nodes.count()) ** 0.5)))))
     pivots = nearest_pivots(nodes, count)
     listed = materialize(nodes.select("id", "v").mapInArrow(describe(pivots, count, prefix, shared), "id long, key long"), "lists")
     many = listed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
