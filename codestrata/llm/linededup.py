@@ -69,7 +69,8 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     order: the keep bitmap, run-length compressed.
     """
     lines = materialize(keyed_lines(docs, min_chars), "lines")
-    shared = shared_lines(lines, min_docs)
+    # Written, so that the join deals both sides anew and Spark can split a hot line's rows.
+    shared = materialize(shared_lines(lines, min_docs), "shared")
     gone = lines.join(shared, ["h1", "h2"]).filter(~F.col("doc").eqNullSafe(F.col("keeper"))).select("doc", "text_id", "pos").distinct()
     at = Window.partitionBy("doc", "text_id").orderBy("pos")
     runs = gone.withColumn("run", F.col("pos") - F.row_number().over(at)).groupBy("doc", "text_id", "run").agg(F.min("pos").alias("start"), F.count("*").cast("int").alias("length"))
