@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from codestrata.llm import embeddings, linededup, mixing, packing, quality, simhash, warczip
+from codestrata.llm import embeddings, linededup, mixing, packing, quality, simhash, toxicity, warczip
 
 QUERIES = {}
 ORACLES = {}
@@ -66,3 +66,10 @@ def op1_pivot_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op1_pivot_permutation"] = op1_pivot_permutation
 ORACLES["op1_pivot_permutation"] = embeddings.ORACLE
+
+
+def op2_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES["op2_toxic_segments"] = op2_toxic_segments
