@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from codestrata.llm import embeddings, linededup, mixing, packing, quality, simhash, toxicity, warczip
+from codestrata.llm import embeddings, linededup, mixing, packing, quality, simhash, toxicity, urlfilter, warczip
 
 QUERIES = {}
 ORACLES = {}
@@ -73,3 +73,10 @@ def op2_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op2_toxic_segments"] = op2_toxic_segments
+
+
+def op4_url_language_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(_table(spark, sf_dir, "pages"))
+
+
+QUERIES["op4_url_language_models"] = op4_url_language_models
