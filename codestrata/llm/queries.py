@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from codestrata.llm import embeddings, linededup, mixing, packing, quality, simhash, toxicity, urlfilter, warczip
+from codestrata.llm import embeddings, licenses, linededup, mixing, packing, quality, simhash, toxicity, urlfilter, warczip
 
 QUERIES = {}
 ORACLES = {}
@@ -80,3 +80,10 @@ def op4_url_language_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_url_language_models"] = op4_url_language_models
+
+
+def op5_license_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op5_license_classifier"] = op5_license_classifier
