@@ -48,7 +48,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
         capped.withColumn("budget", F.sum("source_size").over(whole) * float(share))
         .withColumn("all_w", F.sum("w").over(whole))
         .withColumn("x", (F.col("budget") - (F.sum("cap").over(upto) - F.col("cap"))) / (F.col("all_w") - (F.sum("w").over(upto) - F.col("w"))))
-        .withColumn("x", F.min(F.when(F.col("x") * F.col("w") <= F.col("cap"), F.col("x"))).over(whole))
+        .withColumn("x", F.max(F.when(F.col("x") * F.col("w") <= F.col("cap"), F.col("x"))).over(whole))
     )
     return s.select("source", "source_size", F.least("cap", F.coalesce(F.col("x") * F.col("w"), F.col("cap"))).alias("target"))
 
@@ -69,10 +69,13 @@ def thresholds(rows: DataFrame, goals: DataFrame) -> DataFrame:
         below = at.groupBy("source").agg(
             F.coalesce(F.sum(F.when(F.col("upto") <= F.col("left"), F.col("n"))), F.lit(0)).alias("taken"),
             F.min(F.when(F.col("upto") > F.col("left"), F.col("b"))).alias("edge"),
+            F.min_by(F.when(F.col("upto") > F.col("left"), F.col("n")), F.when(F.col("upto") > F.col("left"), F.col("b"))).alias("edge_n"),
         )
         end = F.shiftleft(F.col("prefix") + 1, BITS)
+        # What shares the last boundary hash goes in if that comes nearer to the budget.
+        nearest = F.when(2 * (F.col("left") - F.coalesce("taken", F.lit(0))) >= F.col("edge_n"), 1).otherwise(0)
         state = materialize(
-            state.join(below, F.col("s").eqNullSafe(F.col("source")), "left").select("s", "whole", (F.col("left") - F.coalesce("taken", F.lit(0))).alias("left"), F.coalesce("edge", end).cast("long").alias("prefix"), F.coalesce("source", "s").alias("source")).drop("source"),
+            state.join(below, F.col("s").eqNullSafe(F.col("source")), "left").select("s", "whole", (F.col("left") - F.coalesce("taken", F.lit(0))).alias("left"), (F.coalesce("edge", end) + (nearest if level == LEVELS else 0)).cast("long").alias("prefix")),
             f"level{level}",
         )
     return state.select(F.col("s").alias("source"), "whole", F.col("prefix").alias("cut"))
@@ -119,11 +122,11 @@ s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w FROM s),
 c AS (SELECT *, source_size * 2.0::DOUBLE AS cap, (sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE AS budget, sum(w) OVER () AS all_w FROM w),
 x AS (SELECT *, (budget - (sum(cap) OVER o - cap)) / (all_w - (sum(w) OVER o - w)) AS x FROM c WINDOW o AS (ORDER BY cap / w, source ASC NULLS LAST)),
-t AS (SELECT source, source_size, least(cap, coalesce(w * (SELECT min(x) FROM x WHERE x * w <= cap), cap)) AS target FROM x),
+t AS (SELECT source, source_size, least(cap, coalesce(w * (SELECT max(y.x) FROM x AS y WHERE y.x * y.w <= y.cap), cap)) AS target FROM x),
 q AS (
   SELECT d.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END::INT AS whole,
-    sum(size) OVER (PARTITION BY d.source ORDER BY u RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+    sum(size) OVER (PARTITION BY d.source ORDER BY u RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, sum(size) OVER (PARTITION BY d.source, u) AS n
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, (size * (whole + extra))::BIGINT AS taken, (whole + extra)::INT AS copies
-FROM (SELECT *, CASE WHEN upto <= target - whole * source_size THEN 1 ELSE 0 END AS extra FROM q)
+FROM (SELECT *, CASE WHEN upto <= target - whole * source_size OR 2 * (target - whole * source_size - (upto - n)) >= n THEN 1 ELSE 0 END AS extra FROM q)
 """

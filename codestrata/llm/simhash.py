@@ -185,3 +185,27 @@ def simhash_components(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS)
     roots = components(links(nodes, radius).union(tied))
     by_fp = nodes.join(roots, F.col("id") == F.col("node"), "left").select(F.col("fp").alias("f"), F.coalesce("root", "id").alias("component_id"))
     return fps.join(by_fp, F.col("fp") == F.col("f"), "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """docs with one row of each component, all columns kept: of its smallest doc_id, the first by
+    text where that id is repeated; of a group without doc_ids, the first by fingerprint and text."""
+    found = materialize(simhash_components(docs, k, radius), "components")
+    drop = found.filter("component_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias("__d")).distinct()
+    rows = docs.join(drop, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")), "left_anti")
+    # What is left has one doc_id per component; only repeated or null doc_ids can still be copies.
+    again = rows.groupBy(F.col("doc_id").cast("long").alias("__d")).agg(F.count("*").alias("n"), F.min("text").alias("__first")).filter("n > 1 or __d is null")
+    if again.isEmpty():
+        return rows
+    return _first_rows(rows, again)
+
+
+def _first_rows(rows: DataFrame, again: DataFrame) -> DataFrame:
+    """Repeated doc_ids cut down to one row; rows without doc_id to one per text."""
+    key = F.col("doc_id").cast("long")
+    repeated = again.filter("__d is not null").select(F.col("__d"), F.col("__first"))
+    marked = rows.join(repeated.select("__d"), key == F.col("__d"), "left")
+    single = marked.filter(F.col("doc_id").isNotNull() & F.col("__d").isNull()).drop("__d")
+    double = rows.join(repeated, key == F.col("__d")).filter(F.col("text").eqNullSafe(F.col("__first"))).drop("__d", "__first").dropDuplicates(["doc_id"])
+    without = rows.filter(F.col("doc_id").isNull()).dropDuplicates(["text"])
+    return single.unionByName(double).unionByName(without)
