@@ -1,4 +1,480 @@
 """The registered queries of the engine and their SQL twins."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from codestrata.functions import links
+from codestrata.operators import audit, calls, docs, graph, listing, ownership, paths, resolution, snapshots, structures, targets, text
+from codestrata.plans.adapter import CATCH_ALL, spark_table, with_tables
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+SECTION, NAME = 7, "red_bolt_7"
+
+
+class Tables:
+    """Evidence tables of one driver directory, by attribute."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self._dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        df = spark_table(self.spark, self._dir, f"k_{name}")
+        setattr(self, name, df)
+        return df
+
+    @property
+    def claims(self) -> DataFrame:
+        return paths.rank_claims(self.raw_claims, self.sections)
+
+    @property
+    def sized_sections(self) -> DataFrame:
+        return paths.section_counts(self.claims, self.sections)
+
+    @property
+    def dirs(self) -> DataFrame:
+        return paths.directories(self.files).join(paths.directory_counts(self.files), "path")
+
+
+def query(oracle: str | None = None, needs: str = ""):
+    """Registers a function of Tables as a query; oracle is SQL over the named adapter tables."""
+
+    def register(f: Callable[[Tables], DataFrame]):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        if oracle:
+            ORACLES[f.__name__] = (with_tables(*needs.split()) + ", " if needs else "WITH RECURSIVE ") + oracle.strip()
+        return f
+
+    return register
+
+
+CLAIMS = f"""claims AS (SELECT c.ref_id, c.subsystem_id, c.score, CAST(row_number() OVER (PARTITION BY c.ref_id ORDER BY c.score DESC, s.name, c.subsystem_id) - 1 AS INT) AS rank,
+    c.score = max(c.score) OVER (PARTITION BY c.ref_id) AS is_primary, s.name FROM k_raw_claims c JOIN k_sections s ON s.id = c.subsystem_id)"""
+OWN = "k_raw_claims k_sections k_files"
+BELOW = r"""parts AS (SELECT id, string_split(path, '/') AS p FROM k_files), below AS (SELECT id, array_to_string(p[1:k], '/') AS path, k, len(p) AS n FROM (SELECT id, p, unnest(range(0, len(p))) AS k FROM parts))"""
+ENTRY_SYMBOLS = "entries AS (SELECT s.kind, s.name, f.path, s.start_line AS line, s.end_line, s.end_line - s.start_line + 1 AS span, s.is_static, s.is_exported, s.id AS ref_id FROM k_symbols s JOIN k_files f ON f.id = s.file_id)"
+_SHORT = ["kind", "name", "path", "line", "end_line", "span", "is_static", "is_exported", "ref_id"]
+
+
+@query(f"""{CLAIMS}, n AS (SELECT subsystem_id, count(*) AS n FROM claims GROUP BY 1),
+ o AS (SELECT b.subsystem_id, count(*) AS shared FROM claims a JOIN claims b ON a.ref_id = b.ref_id AND b.subsystem_id <> a.subsystem_id WHERE a.subsystem_id = {SECTION} GROUP BY 1)
+ SELECT s.name, o.shared, o.shared / a.n::DOUBLE AS coverage, o.shared / b.n::DOUBLE AS other_coverage, o.shared / (a.n + b.n - o.shared)::DOUBLE AS jaccard
+ FROM o JOIN k_sections s ON s.id = o.subsystem_id JOIN n b ON b.subsystem_id = o.subsystem_id CROSS JOIN (SELECT n FROM n WHERE subsystem_id = {SECTION}) a WHERE s.name <> '{CATCH_ALL}'""", OWN)
+def ownership_overlap(t: Tables) -> DataFrame:
+    return ownership.overlaps(t.claims, t.sized_sections, SECTION, CATCH_ALL)
+
+
+@query(f"{CLAIMS} SELECT ref_id, subsystem_id, score, rank, is_primary FROM claims", OWN)
+def ownership_rank(t: Tables) -> DataFrame:
+    return t.claims
+
+
+@query(f"""{CLAIMS}, {BELOW}, total AS (SELECT path, count(*) AS total FROM below GROUP BY 1), per AS (SELECT b.path, c.subsystem_id, c.name, count(*) AS n_claimed, count(*) FILTER (WHERE is_primary) AS n_primary FROM below b JOIN claims c ON c.ref_id = b.id GROUP BY ALL)
+ SELECT path, subsystem_id, n_claimed, n_primary, n_primary / total::DOUBLE AS coverage, CAST(row_number() OVER (PARTITION BY path ORDER BY name = '{CATCH_ALL}', n_primary DESC, n_claimed DESC, name, subsystem_id) - 1 AS INT) AS rank FROM per JOIN total USING (path)""", OWN)
+def dir_composition(t: Tables) -> DataFrame:
+    return paths.directory_owners(t.files, t.claims, t.sections, CATCH_ALL)
+
+
+@query(f"""{BELOW}, c AS (SELECT path, count(*) FILTER (WHERE k = n - 1) AS n_files, count(*) AS n_files_recursive FROM below GROUP BY 1),
+ u AS (SELECT CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END AS path, count(*) AS n_subdirs FROM c WHERE path <> '' GROUP BY 1)
+ SELECT path, n_files, coalesce(n_subdirs, 0) AS n_subdirs, n_files_recursive FROM c LEFT JOIN u USING (path)""", "k_files")
+def dir_rollup(t: Tables) -> DataFrame:
+    return paths.directory_counts(t.files)
+
+
+@query(f"""{BELOW}, d AS (SELECT DISTINCT path, k FROM below), i AS (SELECT path, k AS depth, row_number() OVER (ORDER BY k, string_split(path, '/')) AS id FROM d)
+ SELECT i.id, i.path, u.id AS parent_id, string_split(i.path, '/')[-1] AS name, CAST(i.depth AS INT) AS depth FROM i LEFT JOIN i u ON i.path <> '' AND u.path = CASE WHEN contains(i.path, '/') THEN regexp_replace(i.path, '/[^/]*$', '') ELSE '' END""", "k_files")
+def directory_tree(t: Tables) -> DataFrame:
+    return paths.directories(t.files)
+
+
+@query(f"{CLAIMS} SELECT s.id, s.name, count(c.ref_id) AS n_files, count(c.ref_id) FILTER (WHERE c.is_primary) AS n_primary_files FROM k_sections s LEFT JOIN claims c ON c.subsystem_id = s.id GROUP BY 1, 2", OWN)
+def subsystem_rollup(t: Tables) -> DataFrame:
+    return t.sized_sections
+
+
+@query(f"{CLAIMS} SELECT f.id, f.path FROM k_files f WHERE f.path LIKE 'drivers/%' AND NOT EXISTS (SELECT 1 FROM claims c WHERE c.ref_id = f.id AND c.is_primary AND c.score >= 60)", OWN)
+def unclaimed_files(t: Tables) -> DataFrame:
+    return ownership.unclaimed(t.files, t.claims.filter("score >= 60"), "drivers").select("id", "path")
+
+
+_FLOW = f"""{CLAIMS}, p AS (SELECT ref_id, subsystem_id, name FROM claims WHERE is_primary),
+ e AS (SELECT c.caller_id, c.callee_id, a.file_id AS source_file, b.file_id AS target_file FROM k_calls c JOIN k_symbols a ON a.id = c.caller_id JOIN k_symbols b ON b.id = c.callee_id WHERE c.resolution IN ('same_file', 'included_source', 'unique_global')),
+ r AS (SELECT e.*, o.subsystem_id AS owner, o.name, coalesce(o.subsystem_id = {SECTION}, FALSE) AS internal FROM e JOIN p own ON own.ref_id = e.%s AND own.subsystem_id = {SECTION} LEFT JOIN p o ON o.ref_id = e.%s
+   WHERE o.subsystem_id = {SECTION} OR NOT EXISTS (SELECT 1 FROM p x JOIN p y ON x.subsystem_id = y.subsystem_id WHERE x.ref_id = e.source_file AND y.ref_id = e.target_file)),
+ g AS (SELECT *, name IS NULL OR name = '{CATCH_ALL}' AS unclassified FROM r)
+ SELECT '%s' AS direction, CASE WHEN unclassified THEN NULL ELSE name END AS subsystem, count(*) AS edges, count(DISTINCT caller_id) AS callers, count(DISTINCT callee_id) AS callees, count(DISTINCT source_file) AS source_files, count(DISTINCT target_file) AS target_files, internal, unclassified
+ FROM g WHERE %s GROUP BY CASE WHEN unclassified THEN NULL ELSE owner END, CASE WHEN unclassified THEN NULL ELSE name END, internal, unclassified"""
+_CALLS = "k_calls " + OWN
+
+
+@query(_FLOW % ("source_file", "target_file", "outgoing", "NOT internal"), _CALLS)
+def call_flow_outgoing(t: Tables) -> DataFrame:
+    return calls.flows(t.calls, t.symbols, t.claims, t.sections, SECTION, "outgoing", catch_all=CATCH_ALL)
+
+
+@query(_FLOW % ("target_file", "source_file", "incoming", "NOT internal"), _CALLS)
+def call_flow_incoming(t: Tables) -> DataFrame:
+    return calls.flows(t.calls, t.symbols, t.claims, t.sections, SECTION, "incoming", catch_all=CATCH_ALL)
+
+
+@query(_FLOW % ("source_file", "target_file", "outgoing", "TRUE"), _CALLS)
+def call_flow_internal(t: Tables) -> DataFrame:
+    return calls.flows(t.calls, t.symbols, t.claims, t.sections, SECTION, "outgoing", include_internal=True, catch_all=CATCH_ALL)
+
+
+@query("x AS (SELECT 1) SELECT " + ", ".join(f"count(*) FILTER (WHERE resolution = '{s}') AS {s}" for s in calls.STATUSES) + ", count(*) FILTER (WHERE resolution IN ('same_file', 'included_source', 'unique_global')) AS resolved, count(*) AS total FROM k_calls", "k_calls")
+def resolution_coverage(t: Tables) -> DataFrame:
+    return calls.coverage(t.calls, t.symbols)
+
+
+@query("x AS (SELECT 1) SELECT c.caller_id, c.callee, coalesce(s.kind, '?') AS kind, coalesce(f.path, '-') AS path, s.start_line AS line, c.resolution, c.direct_count, c.indirect_count, c.macro_count FROM k_calls c LEFT JOIN k_symbols s ON s.id = c.callee_id LEFT JOIN k_files f ON f.id = s.file_id", "k_calls k_files")
+def callees(t: Tables) -> DataFrame:
+    return calls.callees(t.calls, t.symbols, t.files)
+
+
+@query("x AS (SELECT 1) SELECT c.callee_id, c.caller_id, c.resolution, CAST(sum(direct_count) AS BIGINT) AS direct_count, CAST(sum(indirect_count) AS BIGINT) AS indirect_count, CAST(sum(macro_count) AS BIGINT) AS macro_count, s.name, s.kind, f.path, s.start_line AS line FROM k_calls c JOIN k_symbols s ON s.id = c.caller_id JOIN k_files f ON f.id = s.file_id WHERE c.callee_id IS NOT NULL GROUP BY ALL", "k_calls k_files")
+def callers(t: Tables) -> DataFrame:
+    return calls.callers(t.calls, t.symbols, t.files)
+
+
+@query("x AS (SELECT 1) SELECT k.caller_id, a.name AS caller, k.callee, c.callee_id, k.kind, c.resolution, f.path, k.line, k.byte_offset FROM k_sites k JOIN k_calls c ON c.caller_id = k.caller_id AND c.callee = k.callee JOIN k_symbols a ON a.id = k.caller_id JOIN k_files f ON f.id = a.file_id WHERE k.kind = 'direct' AND c.callee_id IS NOT NULL", "k_calls k_files")
+def call_sites(t: Tables) -> DataFrame:
+    return calls.call_sites(t.sites, t.calls, t.symbols, t.files, incoming=True)[0]
+
+
+@query("x AS (SELECT 1) SELECT caller_id, callee, direct_count, indirect_count, macro_count, CASE WHEN direct_count > 0 THEN 'unresolved' WHEN macro_count > 0 THEN 'macro' ELSE 'indirect' END AS resolution FROM k_edges", "k_edges")
+def grouped_calls(t: Tables) -> DataFrame:
+    return calls.grouped_occurrences(t.sites)
+
+
+_RESOLVE = r"""
+fd AS (SELECT f.id AS file_id, f.ext, f.path, CASE WHEN f.call_domain <> 'kernel' THEN f.call_domain WHEN f.path LIKE 'tools/%' OR f.path LIKE 'scripts/%' OR f.path LIKE '%/tools/%' THEN 'isolated:' || f.path WHEN f.path LIKE 'arch/%/%' THEN 'arch:' || split_part(f.path, '/', 2) ELSE 'kernel' END AS domain FROM k_files f),
+um AS (SELECT id AS u, id AS m FROM k_files WHERE id NOT IN (SELECT included_id FROM k_includes) UNION SELECT um.u, i.included_id FROM um JOIN k_includes i ON i.includer_id = um.m),
+cs AS (SELECT DISTINCT s.file_id AS cf, e.callee AS name FROM k_edges e JOIN k_symbols s ON s.id = e.caller_id WHERE e.direct_count > 0),
+cx AS (SELECT cs.cf, cs.name, um.u, fd.domain FROM cs JOIN um ON um.m = cs.cf JOIN fd ON fd.file_id = um.u),
+eff AS (SELECT DISTINCT um.m AS file_id, fd.domain FROM um JOIN fd ON fd.file_id = um.u),
+loc AS (SELECT cx.cf, cx.name, cx.u, min(s.id) AS sid, min(s.file_id) AS tf, count(*) AS n FROM cx JOIN um ON um.u = cx.u JOIN k_symbols s ON s.file_id = um.m AND s.name = cx.name WHERE s.kind IN ('function', 'syscall') GROUP BY ALL),
+bind AS (SELECT cx.cf, cx.name, cx.u, count(*) FILTER (WHERE s.kind = 'macro') AS mn, count(*) FILTER (WHERE s.kind = 'variable') AS vn FROM cx JOIN um ON um.u = cx.u JOIN k_symbols s ON s.file_id = um.m AND s.name = cx.name WHERE s.kind = 'variable' OR (s.kind = 'macro' AND s.file_id <> cx.cf) GROUP BY ALL),
+gl AS (SELECT e.domain, s.name, min(s.id) AS sid, count(DISTINCT s.id) AS n FROM k_symbols s JOIN eff e ON e.file_id = s.file_id WHERE s.kind IN ('function', 'syscall') AND NOT s.is_static GROUP BY ALL),
+hd AS (SELECT fd.domain, s.name, count(DISTINCT s.id) AS n FROM k_symbols s JOIN fd ON fd.file_id = s.file_id WHERE s.kind IN ('function', 'syscall') AND s.is_static AND fd.ext = '.h' GROUP BY ALL),
+mc AS (SELECT fd.domain, s.name, count(DISTINCT s.id) AS n FROM k_symbols s JOIN fd ON fd.file_id = s.file_id WHERE s.kind = 'macro' AND fd.ext = '.h' GROUP BY ALL),
+vr AS (SELECT e.domain, s.name, count(DISTINCT s.id) AS n FROM k_symbols s JOIN eff e ON e.file_id = s.file_id JOIN k_files f ON f.id = s.file_id WHERE s.kind = 'variable' AND (NOT s.is_static OR f.ext = '.h') GROUP BY ALL),
+el AS (SELECT DISTINCT domain AS c, domain AS d FROM fd UNION SELECT DISTINCT domain, 'kernel' FROM fd WHERE domain LIKE 'arch:%'),
+ar AS (SELECT s.name, count(DISTINCT s.id) AS n FROM k_symbols s JOIN k_files f ON f.id = s.file_id JOIN eff e ON e.file_id = s.file_id WHERE e.domain LIKE 'arch:%' AND ((s.kind IN ('function', 'syscall') AND (NOT s.is_static OR f.ext = '.h')) OR (s.kind = 'macro' AND f.ext = '.h') OR (s.kind = 'variable' AND (NOT s.is_static OR f.ext = '.h'))) GROUP BY 1),
+nm AS (SELECT x.domain, x.name, min(gl.sid) AS gid, coalesce(sum(gl.n), 0) AS gn, coalesce(sum(hd.n), 0) AS hn, coalesce(sum(mc.n), 0) AS mn, coalesce(sum(vr.n), 0) AS vn, CASE WHEN x.domain = 'kernel' THEN coalesce(max(ar.n), 0) ELSE 0 END AS an
+  FROM (SELECT DISTINCT domain, name FROM cx) x JOIN el ON el.c = x.domain LEFT JOIN gl ON gl.domain = el.d AND gl.name = x.name LEFT JOIN hd ON hd.domain = el.d AND hd.name = x.name LEFT JOIN mc ON mc.domain = el.d AND mc.name = x.name LEFT JOIN vr ON vr.domain = el.d AND vr.name = x.name LEFT JOIN ar ON ar.name = x.name GROUP BY 1, 2),
+oc AS (SELECT cx.cf, cx.name, CASE WHEN loc.n = 1 AND bind.name IS NULL THEN CASE WHEN loc.tf = cx.cf THEN 'same_file' ELSE 'included_source' END WHEN loc.n > 0 THEN 'ambiguous' WHEN bind.vn > 0 AND bind.mn = 0 THEN 'indirect' WHEN bind.mn > 0 AND bind.vn = 0 THEN 'macro' WHEN bind.name IS NOT NULL THEN 'ambiguous'
+    WHEN f.ext = '.h' AND gn + hn + nm.mn + nm.vn + an > 0 THEN 'ambiguous' WHEN f.ext = '.h' THEN 'unresolved' WHEN gn = 1 AND hn + nm.mn + nm.vn + an = 0 THEN 'unique_global' WHEN nm.mn > 0 AND gn + hn + nm.vn + an = 0 THEN 'macro' WHEN gn + hn + nm.mn + nm.vn + an > 0 THEN 'ambiguous' ELSE 'unresolved' END AS r, loc.sid, nm.gid
+  FROM cx JOIN k_files f ON f.id = cx.cf LEFT JOIN loc ON loc.cf = cx.cf AND loc.name = cx.name AND loc.u = cx.u LEFT JOIN bind ON bind.cf = cx.cf AND bind.name = cx.name AND bind.u = cx.u JOIN nm ON nm.domain = cx.domain AND nm.name = cx.name),
+od AS (SELECT cf, name, r, CASE WHEN r IN ('same_file', 'included_source') THEN sid WHEN r = 'unique_global' THEN gid END AS id FROM oc)
+SELECT cf AS caller_file_id, name, CASE WHEN count(DISTINCT r) = 1 AND (min(r) NOT IN ('same_file', 'included_source', 'unique_global') OR count(DISTINCT id) = 1) THEN min(r) ELSE 'ambiguous' END AS resolution,
+  CASE WHEN count(DISTINCT r) = 1 AND min(r) IN ('same_file', 'included_source', 'unique_global') AND count(DISTINCT id) = 1 THEN min(id) END AS callee_id FROM od GROUP BY 1, 2"""
+
+
+@query(_RESOLVE, "k_files k_includes k_edges")
+def call_resolution(t: Tables) -> DataFrame:
+    return resolution.resolve(t.files, t.symbols, t.includes, calls.grouped_occurrences(t.sites))
+
+
+@query(_RESOLVE.rsplit("SELECT cf AS", 1)[0] + """, ex AS (SELECT cf, name, CASE WHEN count(DISTINCT r) = 1 AND (min(r) NOT IN ('same_file', 'included_source', 'unique_global') OR count(DISTINCT id) = 1) THEN min(r) ELSE 'ambiguous' END AS resolution FROM od GROUP BY 1, 2)
+SELECT coalesce(ex.resolution, CASE WHEN e.macro_count > 0 THEN 'macro' ELSE 'indirect' END) AS resolution, count(*) AS n FROM k_edges e JOIN k_symbols s ON s.id = e.caller_id LEFT JOIN ex ON ex.cf = s.file_id AND ex.name = e.callee AND e.direct_count > 0 GROUP BY 1""", "k_files k_includes k_edges")
+def applied_resolution(t: Tables) -> DataFrame:
+    grouped = calls.grouped_occurrences(t.sites).withColumn("callee_id", F.lit(None).cast("long"))
+    outcomes = resolution.resolve(t.files, t.symbols, t.includes, grouped)
+    return resolution.apply_outcomes(grouped, t.symbols, outcomes).groupBy("resolution").agg(F.count("*").alias("n"))
+
+
+@query("x AS (SELECT 1) SELECT id AS file_id, CASE WHEN path LIKE 'tools/%' THEN 'isolated:' || path WHEN path LIKE 'arch/%/%' THEN 'arch:' || split_part(path, '/', 2) ELSE 'kernel' END AS domain FROM k_files", "k_files")
+def file_domains(t: Tables) -> DataFrame:
+    return resolution.file_domains(t.files, t.symbols).select("file_id", "domain")
+
+
+@query("u AS (SELECT id AS unit_id, id AS member_id FROM k_files WHERE id NOT IN (SELECT included_id FROM k_includes) UNION SELECT u.unit_id, i.included_id FROM u JOIN k_includes i ON i.includer_id = u.member_id) SELECT unit_id, member_id FROM u", "k_files k_includes")
+def unit_closure(t: Tables) -> DataFrame:
+    return resolution.units(t.files, t.includes)
+
+
+@query("""e AS (SELECT DISTINCT caller_id AS a, callee_id AS b FROM k_calls WHERE callee_id IS NOT NULL AND (caller_id * 7 + callee_id * 3) % 24 = 5), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+ c AS (SELECT a AS v FROM r WHERE a = b) SELECT v AS node FROM c UNION SELECT x.b FROM r x JOIN c ON c.v = x.a WHERE x.b IN (SELECT y.a FROM r y JOIN c d ON d.v = y.b)""", "k_calls")
+def include_cycle(t: Tables) -> DataFrame:
+    edges = t.calls.filter("callee_id is not null and (caller_id * 7 + callee_id * 3) % 24 = 5")
+    return graph.on_cycle(edges.select(F.col("caller_id").alias("src"), F.col("callee_id").alias("dst")))
+
+
+_BFS = """e AS (SELECT DISTINCT caller_id AS a, callee_id AS b FROM k_calls WHERE callee_id IS NOT NULL AND (caller_id + callee_id) % 4 = 1), l1 AS (SELECT DISTINCT b FROM e WHERE a = 0), l2 AS (SELECT DISTINCT e.b FROM l1 JOIN e ON e.a = l1.b), l3 AS (SELECT DISTINCT e.b FROM l2 JOIN e ON e.a = l2.b),
+ s AS (SELECT 0 AS node, 0 AS level UNION ALL SELECT b, 1 FROM l1 UNION ALL SELECT b, 2 FROM l2 UNION ALL SELECT b, 3 FROM l3) SELECT CAST(node AS BIGINT) AS node, CAST(min(level) AS INT) AS level FROM s GROUP BY 1"""
+
+
+@query(_BFS, "k_calls")
+def bfs_depth3(t: Tables) -> DataFrame:
+    edges = t.calls.filter("callee_id is not null and (caller_id + callee_id) % 4 = 1").select(F.col("caller_id").alias("src"), F.col("callee_id").alias("dst"))
+    return graph.levels(t.spark.range(1).select(F.col("id").alias("node")), edges, 3)
+
+
+@query()
+def bounded_exploration(t: Tables) -> DataFrame:
+    found = graph.explore(graph.adjacency(t.calls, t.symbols, t.files), 0, depth=2, max_nodes=50)
+    rows = [(n, lv, found.cycle, ",".join(found.truncated)) for n, lv in found.nodes.items()]
+    return t.spark.createDataFrame(rows, "id long, level int, cycle boolean, truncated string")
+
+
+@query()
+def shortest_path(t: Tables) -> DataFrame:
+    return graph.path_table(t.spark, graph.explore(graph.adjacency(t.calls, t.symbols, t.files), 0, depth=4, to_id=5, max_nodes=2000))
+
+
+_RANK = "CASE kind WHEN 'function' THEN 0 WHEN 'struct' THEN 1 WHEN 'variable' THEN 3 WHEN 'macro' THEN 3 END, (path LIKE 'tools/%')::INT, is_static::INT, len(path) - len(replace(path, '/', '')), len(path), path, line, ref_id"
+
+
+@query(f"{ENTRY_SYMBOLS} SELECT ref_id AS id, name, path, kind AS symbol_kind, CAST(row_number() OVER (PARTITION BY name ORDER BY {_RANK}) AS INT) AS rank, count(*) OVER (PARTITION BY name) AS candidates FROM entries", "k_symbols k_files")
+def resolve_symbol(t: Tables) -> DataFrame:
+    return targets.ranked_symbols(t.symbols, t.files).select("id", "name", "path", "symbol_kind", "rank", "candidates")
+
+
+@query(f"{ENTRY_SYMBOLS} SELECT ref_id AS id, path, name, 4 AS tier, CAST(row_number() OVER (ORDER BY {_RANK}) AS INT) AS rank FROM entries WHERE name = '{NAME}'", "k_symbols k_files")
+def resolve_target(t: Tables) -> DataFrame:
+    return targets.candidates(NAME, t.dirs, t.files, t.symbols).select("id", "path", "name", "tier", "rank")
+
+
+@query("x AS (SELECT 1) SELECT id, name, start_line, end_line FROM k_symbols WHERE 25 BETWEEN start_line AND end_line", "k_symbols")
+def line_span(t: Tables) -> DataFrame:
+    return t.symbols.filter(F.lit(25).between(F.col("start_line"), F.col("end_line"))).select("id", "name", "start_line", "end_line")
+
+
+def _scoped(t: Tables, path: str, kind: str, level: str, **how) -> DataFrame:
+    return listing.collect(listing.build_scope(path, kind, level), t.dirs, t.files, t.symbols, **how)
+
+
+@query(f"{BELOW}, d AS (SELECT DISTINCT path FROM below), e AS (SELECT 'dir' AS kind, path FROM d WHERE path LIKE 'arch/%' AND path NOT LIKE 'arch/%/%' UNION ALL SELECT 'file', path FROM k_files WHERE path LIKE 'arch/%' AND path NOT LIKE 'arch/%/%') SELECT kind, path FROM e", "k_files")
+def scope_dir(t: Tables) -> DataFrame:
+    return _scoped(t, "arch/arm", "dir", "dir", kinds=["dir", "file"]).select("kind", "path")
+
+
+@query(f"{ENTRY_SYMBOLS} SELECT {', '.join(_SHORT)} FROM entries WHERE path LIKE 'arch/arm/%' AND kind = 'function' AND is_exported", "k_symbols k_files")
+def scope_subtree(t: Tables) -> DataFrame:
+    return _scoped(t, "arch/arm", "dir", "subtree", kinds=["function"], exported_only=True).select(*_SHORT)
+
+
+@query(f"{ENTRY_SYMBOLS} SELECT {', '.join(_SHORT)} FROM entries WHERE kind = 'function' AND NOT is_static ORDER BY translate(name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), path, line, kind, ref_id LIMIT 40", "k_symbols k_files")
+def scope_tree(t: Tables) -> DataFrame:
+    return _scoped(t, "", "dir", "tree", kinds=["function"], static="exclude", limit=40).select(*_SHORT)
+
+
+@query(f"{CLAIMS}, {ENTRY_SYMBOLS}, f AS (SELECT ref_id FROM claims WHERE is_primary GROUP BY ref_id HAVING count(*) = 1 AND max(subsystem_id) = {SECTION}) SELECT s.id AS ref_id, s.name FROM k_symbols s WHERE s.file_id IN (SELECT ref_id FROM f)", "k_symbols " + OWN)
+def scope_subsystem(t: Tables) -> DataFrame:
+    own = t.claims.filter("is_primary").groupBy("ref_id").agg(F.count("*").alias("n"), F.max("subsystem_id").alias("s")).filter(f"n = 1 and s = {SECTION}")
+    return t.symbols.join(own.select(F.col("ref_id").alias("file_id")), "file_id", "left_semi").select(F.col("id").alias("ref_id"), "name")
+
+
+@query(f"{ENTRY_SYMBOLS}, me AS (SELECT file_id FROM k_symbols WHERE id = 30) SELECT s.id AS ref_id, s.name FROM k_symbols s JOIN me USING (file_id) WHERE s.id <> 30", "k_symbols k_files")
+def siblings(t: Tables) -> DataFrame:
+    path = t.files.join(t.symbols.filter("id = 30").select(F.col("file_id").alias("id")), "id", "left_semi").first()["path"]
+    return listing.siblings(_scoped(t, path, "symbol", "auto"), t.symbols.filter("id = 30").first()["kind"], 30).select("ref_id", "name")
+
+
+@query(f"{BELOW}, d AS (SELECT DISTINCT path FROM below) SELECT 'dir' AS kind, path FROM d WHERE path LIKE 'drivers/%' AND path NOT LIKE 'drivers/%/%'", "k_files")
+def ls_directory(t: Tables) -> DataFrame:
+    return listing.children("drivers", t.dirs, t.files).select("kind", "path")
+
+
+def _find(where: str, limit: str = "") -> str:
+    return f"{ENTRY_SYMBOLS} SELECT {', '.join(_SHORT)} FROM entries WHERE {where} ORDER BY length(name), name, path, line, ref_id {limit}"
+
+
+@query(_find("contains(name, 'bolt_1')", "LIMIT 50"), "k_symbols k_files")
+def find_substring(t: Tables) -> DataFrame:
+    return listing.search(t.symbols, t.files, "BOLT_1").select(*_SHORT)
+
+
+@query(_find("starts_with(name, 'red_g')"), "k_symbols k_files")
+def find_prefix(t: Tables) -> DataFrame:
+    return listing.search(t.symbols, t.files, "Red_G", mode="prefix", limit=0).select(*_SHORT)
+
+
+@query(_find(f"name = '{NAME}'"), "k_symbols k_files")
+def find_exact(t: Tables) -> DataFrame:
+    return listing.search(t.symbols, t.files, NAME, mode="exact", limit=0).select(*_SHORT)
+
+
+@query(_find("name GLOB '[rh]*_b?lt_[0-4]*'"), "k_symbols k_files")
+def find_glob(t: Tables) -> DataFrame:
+    return listing.search(t.symbols, t.files, "[rh]*_b?lt_[0-4]*", mode="glob", limit=0).select(*_SHORT)
+
+
+@query(_find("regexp_matches(name, '(?i)^(hot|COLD)_.*_[0-9]$') AND is_static"), "k_symbols k_files")
+def find_regex(t: Tables) -> DataFrame:
+    return listing.search(t.symbols, t.files, "", limit=0, grep="^(hot|COLD)_.*_[0-9]$", static="only").select(*_SHORT)
+
+
+@query(f"{ENTRY_SYMBOLS} SELECT ref_id, name, span FROM entries ORDER BY span DESC, name, path, line, kind, ref_id LIMIT 100", "k_symbols k_files")
+def listing_sorts(t: Tables) -> DataFrame:
+    return listing.search(t.symbols, t.files, "", limit=100, sort="lines").select("ref_id", "name", "span")
+
+
+@query("x AS (SELECT 1) SELECT split_part(f.path, '/', 1) AS area, count(*) AS n FROM k_symbols s JOIN k_files f ON f.id = s.file_id GROUP BY 1 ORDER BY n DESC, area LIMIT 8", "k_symbols k_files")
+def topk_areas(t: Tables) -> DataFrame:
+    return paths.top_areas(t.files, t.symbols)
+
+
+@query("x AS (SELECT 1) SELECT kind, count(*) AS n FROM k_symbols GROUP BY 1", "k_symbols")
+def symbols_by_kind(t: Tables) -> DataFrame:
+    return listing.kind_counts(t.symbols)
+
+
+@query("x AS (SELECT 1) SELECT p.id, a.path AS ancestor FROM k_files p JOIN (SELECT id, unnest(['', split_part(path, '/', 1), split_part(path, '/', 1) || '/' || split_part(path, '/', 2), CASE WHEN path LIKE 'arch/%' THEN split_part(path, '/', 1) || '/' || split_part(path, '/', 2) || '/' || split_part(path, '/', 3) END]) AS path FROM k_files) a ON a.id = p.id WHERE a.path IS NOT NULL", "k_files")
+def ancestry(t: Tables) -> DataFrame:
+    return t.files.select("id", F.explode(paths.ancestors(F.col("path"))).alias("ancestor"))
+
+
+_AREA = "CASE split_part(%s, '/', 1) WHEN 'arch' THEN 'Architecture code' WHEN 'kernel' THEN 'Core kernel' WHEN 'tools' THEN 'Tools' WHEN 'drivers' THEN 'Device drivers' WHEN 'fs' THEN 'Filesystems' END"
+
+
+@query(f"""{CLAIMS}, o AS (SELECT ref_id, count(*) AS n, count(*) FILTER (WHERE name <> '{CATCH_ALL}') AS k, min(name) FILTER (WHERE name <> '{CATCH_ALL}') AS one FROM claims WHERE is_primary GROUP BY 1)
+ SELECT f.id, f.path, CASE WHEN k = 1 AND n = 1 THEN one WHEN k > 1 THEN 'Co-owned (' || k || ' subsystems)' ELSE {_AREA % "f.path"} END AS label FROM k_files f LEFT JOIN o ON o.ref_id = f.id""", OWN)
+def owner_labels(t: Tables) -> DataFrame:
+    return ownership.file_labels(t.files, t.claims, t.sections, CATCH_ALL)
+
+
+@query(f"""{CLAIMS}, {BELOW}, tot AS (SELECT path, count(*) AS total FROM below GROUP BY 1), per AS (SELECT b.path, c.name, count(*) FILTER (WHERE is_primary) AS np FROM below b JOIN claims c ON c.ref_id = b.id GROUP BY ALL HAVING np > 0),
+ ow AS (SELECT path, count(*) AS n, count(*) FILTER (WHERE name <> '{CATCH_ALL}') AS k, min(name) AS one, max(np / total::DOUBLE) AS cover FROM per JOIN tot USING (path) GROUP BY 1),
+ op AS (SELECT path, count(*) AS open FROM below WHERE id NOT IN (SELECT ref_id FROM claims WHERE is_primary) GROUP BY 1),
+ a AS (SELECT tot.path, coalesce(n, 0) AS n, coalesce(k, 0) AS k, one, cover, coalesce(open, 0) > 0 OR coalesce(n, 0) > coalesce(k, 0) AS vague, {_AREA % "tot.path"} AS area FROM tot LEFT JOIN ow USING (path) LEFT JOIN op USING (path))
+ SELECT path, CASE WHEN n = 1 AND k = 1 AND cover = 1 THEN one WHEN n > 1 AND area IS NOT NULL THEN area || CASE WHEN vague THEN ' (mixed; includes unclassified)' ELSE ' (mixed)' END
+  WHEN n > 1 THEN 'Mixed (' || k || CASE WHEN k = 1 THEN ' subsystem' ELSE ' subsystems' END || CASE WHEN vague THEN ' + unclassified)' ELSE ')' END WHEN n = 1 AND k = 0 THEN area
+  WHEN k = 1 AND vague AND area IS NOT NULL THEN area || ' (mixed; includes unclassified)' WHEN k = 1 AND vague THEN 'Mixed (1 subsystem + unclassified)' WHEN n = 0 THEN area END AS label FROM a""", OWN)
+def directory_labels(t: Tables) -> DataFrame:
+    owners = paths.directory_owners(t.files, t.claims, t.sections, CATCH_ALL)
+    return ownership.directory_labels(owners, t.sections, ownership.unclaimed_counts(t.files, t.claims), t.dirs.select("path"), CATCH_ALL)
+
+
+@query(f"{BELOW}, d AS (SELECT path, count(*) AS n FROM below GROUP BY 1) SELECT path, string_split(path, '/')[-1] AS name, CAST(len(string_split(path, '/')) AS INT) AS depth, n AS n_files_recursive FROM d WHERE path <> '' AND len(string_split(path, '/')) <= 2", "k_files")
+def tree_depth(t: Tables) -> DataFrame:
+    return listing.tree(t.dirs, "", 2)
+
+
+@query(f"{CLAIMS}, n AS (SELECT s.id, s.name, count(c.ref_id) AS n_files, count(c.ref_id) FILTER (WHERE c.is_primary) AS n_primary_files FROM k_sections s LEFT JOIN claims c ON c.subsystem_id = s.id GROUP BY 1, 2) SELECT id, name, n_files, n_primary_files FROM n ORDER BY n_primary_files DESC, n_files DESC, name LIMIT 20", OWN)
+def subsystem_list(t: Tables) -> DataFrame:
+    return ownership.section_list(t.sized_sections).limit(20)
+
+
+@query(f"{CLAIMS}, n AS (SELECT s.id, s.name, count(c.ref_id) AS n_files, count(c.ref_id) FILTER (WHERE c.is_primary) AS n_primary_files FROM k_sections s LEFT JOIN claims c ON c.subsystem_id = s.id GROUP BY 1, 2) SELECT id, name, n_files, n_primary_files FROM n WHERE contains(lower(name), '00000001') ORDER BY n_files DESC, name LIMIT 50", OWN)
+def subsystem_lookup(t: Tables) -> DataFrame:
+    return ownership.section_by_name(t.sized_sections, "00000001")
+
+
+@query("x AS (SELECT 1) SELECT symbol_id, count(*) FILTER (WHERE parent_id IS NULL) AS direct, count(*) AS total, count(name) AS documentable, count(*) FILTER (WHERE name IS NOT NULL AND description IS NOT NULL) AS described, count(*) FILTER (WHERE name IS NOT NULL AND description IS NOT NULL AND description_source <> 'macro-semantics') AS documented, CASE WHEN count(name) = 0 THEN 0 ELSE count(*) FILTER (WHERE name IS NOT NULL AND description IS NOT NULL) / count(name)::DOUBLE END AS ratio FROM k_members GROUP BY 1", "k_members")
+def struct_coverage(t: Tables) -> DataFrame:
+    return structures.coverage(t.members)
+
+
+@query("x AS (SELECT 1) SELECT id, symbol_id, parent_id, ordinal, name FROM k_members", "k_members")
+def preorder_members(t: Tables) -> DataFrame:
+    return structures.detail(t.members).select("id", "symbol_id", "parent_id", "ordinal", "name")
+
+
+@query("s AS (SELECT s.*, f.path FROM k_symbols s JOIN k_files f ON f.id = s.file_id WHERE kind IN ('struct', 'union')), c AS (SELECT s.*, count(*) OVER (PARTITION BY file_id, name) AS n1, (SELECT count(*) FROM s o WHERE o.file_id = s.file_id AND o.start_line <= s.start_line AND o.end_line >= s.start_line) AS n3 FROM s) SELECT id, CASE WHEN n1 = 1 THEN path || ':' || name WHEN n3 = 1 THEN path || ':' || start_line END AS selector FROM c", "k_symbols k_files")
+def structure_selectors(t: Tables) -> DataFrame:
+    return targets.selectors(t.symbols, t.files)
+
+
+_LINES = "l AS (SELECT path, unnest(string_split(content, chr(10))) AS text, generate_subscripts(string_split(content, chr(10)), 1) AS line FROM k_documents)"
+
+
+@query(f"{_LINES} SELECT path, CAST(line AS INT) AS line FROM l WHERE contains(lower(text), 'license, version')", "k_documents")
+def text_search(t: Tables) -> DataFrame:
+    return text.search(t.documents, "License, Version").select("path", "line")
+
+
+@query(f"{_LINES} SELECT path, CAST(line AS INT) AS line FROM l WHERE regexp_matches(text, '(^|[^A-Za-z0-9_])idiot($|[^A-Za-z0-9_])') ORDER BY path, line LIMIT 5000", "k_documents")
+def mentions(t: Tables) -> DataFrame:
+    return text.search(t.documents, "idiot", mention=True).select("path", "line")
+
+
+@query(f"{_LINES} SELECT path, CAST(line AS INT) AS line, text FROM l WHERE line BETWEEN 2 AND 3", "k_documents")
+def show_lines(t: Tables) -> DataFrame:
+    return text.first_lines(t.documents.select("path", "content"), 2, 3)
+
+
+@query()
+def doc_rank(t: Tables) -> DataFrame:
+    study = docs.Study("src7/net/ipv4/tcp.c", "file", declarations=[r["name"] for r in docs.declarations(t.symbols, 30).collect()], owners=[7, 3])
+    table = t.documents.select("path", "name", "size", F.lit(None).cast("long").alias("lines"), "file_id")
+    owner_of = t.raw_claims.filter("score > 70").join(t.documents.select(F.col("file_id").alias("ref_id"), "path"), "ref_id").select("path", "subsystem_id")
+    return docs.rank(study, table, owner_of)
+
+
+@query("x AS (SELECT 1) SELECT s.id AS symbol_id, s.name, c.line, nullif(c.summary, '') AS summary, CAST(NULL AS VARCHAR) AS context, nullif(c.returns, '') AS returns FROM k_symbols s LEFT JOIN k_contracts c ON c.symbol_id = s.id", "k_symbols k_contracts")
+def contracts(t: Tables) -> DataFrame:
+    return text.contract(t.contracts, t.symbols).select("symbol_id", "name", "line", "summary", "context", "returns")
+
+
+@query("f AS (SELECT e.event_id, x.line, e.event_type AS frame FROM events e CROSS JOIN (SELECT 3 AS line UNION ALL SELECT 4) x) SELECT event_id, line, frame FROM f")
+def trace(t: Tables) -> DataFrame:
+    return text.frames(t.traces).select("event_id", "line", "frame")
+
+
+@query(f"""{ENTRY_SYMBOLS}, v AS (SELECT 'v' || (ref_id % 3) AS version, * FROM entries WHERE name = '{NAME}'), r AS (SELECT *, row_number() OVER (PARTITION BY version ORDER BY {_RANK}) AS at, count(*) OVER (PARTITION BY version) AS n FROM v)
+ SELECT k.version, r.path IS NOT NULL AS found, r.path, r.line, coalesce(r.n, 0) AS candidates FROM (SELECT 'v0' AS version UNION ALL SELECT 'v1' UNION ALL SELECT 'v2') k LEFT JOIN r ON r.version = k.version AND r.at = 1""", "k_symbols k_files")
+def locate(t: Tables) -> DataFrame:
+    names = [f"v{k}" for k in range(3)]
+    symbols = snapshots.versioned({v: t.symbols.filter(F.col("id") % 3 == k) for k, v in enumerate(names)})
+    return snapshots.locate(symbols, snapshots.versioned({v: t.files for v in names}), NAME, names)
+
+
+@query("x AS (SELECT 1) SELECT f.id, 'https://git.kernel.org/pub/scm/linux/kernel/git/stable/linux.git/tree/' || f.path || '?h=v6.12.104#n' || f.lines AS link FROM k_files f", "k_files")
+def source_links(t: Tables) -> DataFrame:
+    return t.files.select("id", links.source_link("6.12.104", F.col("path"), F.col("lines")).alias("link"))
+
+
+@query("x AS (SELECT 1) SELECT name, kind, count(*) AS n FROM k_symbols GROUP BY 1, 2 HAVING count(*) > 1", "k_symbols")
+def duplicate_ids(t: Tables) -> DataFrame:
+    return audit.duplicates(t.symbols, ["name", "kind"])
+
+
+@query("x AS (SELECT 1) SELECT l_orderkey, min(l_linenumber) AS lo, max(l_linenumber) AS hi, count(DISTINCT l_linenumber) AS \"distinct\", count(*) AS n FROM lineitem GROUP BY 1 HAVING min(l_linenumber) <> 0 OR count(DISTINCT l_linenumber) <> count(*) OR max(l_linenumber) <> count(*) - 1")
+def rank_contiguity(t: Tables) -> DataFrame:
+    return audit.gaps(spark_table(t.spark, t._dir, "lineitem"), "l_orderkey", "l_linenumber")
+
+
+@query("x AS (SELECT 1) SELECT o_custkey, o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+def dangling_refs(t: Tables) -> DataFrame:
+    customer = spark_table(t.spark, t._dir, "customer").filter("c_acctbal > 0")
+    return audit.dangling(spark_table(t.spark, t._dir, "orders"), "o_custkey", customer, "c_custkey").select("o_custkey", "o_orderkey")
+
+
+@query("""a AS (SELECT file_id AS k, count(*) AS n FROM k_symbols WHERE kind = 'function' GROUP BY 1), b AS (SELECT file_id AS k, count(*) AS n FROM k_symbols WHERE NOT is_static GROUP BY 1)
+ SELECT coalesce(a.k, b.k) AS file_id, a.n, b.n AS expected_n FROM a FULL JOIN b ON a.k = b.k WHERE a.n IS DISTINCT FROM b.n""", "k_symbols")
+def rollup_diff(t: Tables) -> DataFrame:
+    by = lambda where: t.symbols.filter(where).groupBy("file_id").agg(F.count("*").alias("n"))
+    return audit.differences(by("kind = 'function'"), by("not is_static"), ["file_id"], ["n"])
+
+
+@query("""c AS (SELECT caller_id, callee, CASE WHEN tid % 50 = 0 THEN direct_count + 1 ELSE direct_count END AS direct_count, indirect_count, macro_count, direct_count AS d FROM k_edges)
+ SELECT caller_id, callee, direct_count, d AS expected_direct_count, indirect_count, indirect_count AS expected_indirect_count, macro_count, macro_count AS expected_macro_count FROM c WHERE direct_count <> d""", "k_edges")
+def site_reconcile(t: Tables) -> DataFrame:
+    edges = t.edges.withColumn("direct_count", F.when(F.col("tid") % 50 == 0, F.col("direct_count") + 1).otherwise(F.col("direct_count")))
+    return audit.site_counts(t.sites, edges)
+
+
+@query(f"""{CLAIMS}, bad AS (SELECT symbol_id FROM (SELECT m.symbol_id, m.parent_id, m.ordinal, p.symbol_id AS ps, p.ordinal AS po FROM k_members m LEFT JOIN k_members p ON p.id = m.parent_id) WHERE parent_id IS NOT NULL AND (ps IS NULL OR ps <> symbol_id OR po >= ordinal) GROUP BY 1)
+ SELECT symbol_id FROM bad""", "k_members " + OWN)
+def preorder_audit(t: Tables) -> DataFrame:
+    return audit.preorder(t.members)
+
+
+@query(f"""{CLAIMS} SELECT 'claim_rank' AS "check", 0 AS n UNION ALL SELECT 'claim_primary', 0 UNION ALL SELECT 'claim_gaps', 0 UNION ALL SELECT 'rollup', 0 UNION ALL SELECT 'calls', 0 UNION ALL SELECT 'symbols', 0 UNION ALL SELECT 'directory_depth', 0 UNION ALL SELECT 'spans', (SELECT count(*) FROM k_sites k JOIN k_symbols s ON s.id = k.caller_id WHERE k.line NOT BETWEEN s.start_line AND s.end_line)""", "k_sites " + OWN)
+def integrity_audit(t: Tables) -> DataFrame:
+    owners = paths.directory_owners(t.files, t.claims, t.sections, CATCH_ALL)
+    checks = audit.ownership(t.files, t.claims, t.sections, owners, CATCH_ALL)
+    rows = audit.row_domains({"calls": t.calls, "symbols": t.symbols})
+    return audit.violations(checks | rows | {"directory_depth": audit.paths(t.files, t.dirs)["directory_depth"], "spans": audit.sites_in_spans(t.sites, t.symbols)})
+
+
+@query(f"{ENTRY_SYMBOLS}, n AS (SELECT kind, name, path FROM entries UNION ALL SELECT 'file', name, path FROM k_files) SELECT kind, name, path FROM n WHERE contains(name, 'anvil') ORDER BY length(name), name, path LIMIT 5", "k_symbols k_files")
+def suggestions(t: Tables) -> DataFrame:
+    return targets.suggestions("x/anvil", t.dirs, t.files, t.symbols).select("kind", "name", "path")
