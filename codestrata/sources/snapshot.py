@@ -67,10 +67,10 @@ def build(spark: SparkSession, root: str, kinds: tuple[str, ...] = schema.DEFAUL
     symbols = materialize(_ids(symbols, "file_id", "at"), "symbols")
     key = symbols.select(F.col("id").alias("owner_id"), "file_id", F.col("name").alias("o_name"), F.col("start_line").alias("o_line"), F.col("kind").alias("o_kind"))
 
-    def attach(column: str, name: str, line: str, of: tuple[str, ...]) -> DataFrame:
+    def attach(column: str, name: str, line: str | None, of: tuple[str, ...]) -> DataFrame:
         rows = parsed.select("path", F.inline(column)).join(where, "path")
         k = key.filter(F.col("o_kind").isin(*of)).withColumnRenamed("file_id", "o_file")
-        return rows.join(k, (F.col("file_id") == F.col("o_file")) & (F.col(name) == F.col("o_name")) & (F.col(line) == F.col("o_line"))).drop("o_file", "o_name", "o_line", "o_kind")
+        return rows.join(k, (F.col("file_id") == F.col("o_file")) & (F.col(name) == F.col("o_name")) & (F.col(line) == F.col("o_line") if line else F.lit(True))).drop("o_file", "o_name", "o_line", "o_kind")
 
     members = attach("members", "owner", "owner_line", ("struct", "union")).withColumnRenamed("owner_id", "symbol_id")
     members = materialize(_ids(members, "symbol_id", "ordinal"), "members")
@@ -80,7 +80,7 @@ def build(spark: SparkSession, root: str, kinds: tuple[str, ...] = schema.DEFAUL
     contracts = parsed.select("path", F.inline("contracts")).join(where, "path")
     contracts = contracts.join(symbols.filter(F.col("kind").isin("function", "syscall", "prototype")).select("file_id", F.col("name").alias("n"), F.col("id").alias("symbol_id"), "start_line"), "file_id").filter("n = name and start_line > line")
     contracts = contracts.withColumn("at", F.row_number().over(Window.partitionBy("file_id", "name", "line").orderBy("start_line"))).filter("at = 1").select("symbol_id", "line", "summary", "parameters", "description", "context", "returns")
-    aliases = attach("aliases", "owner", "owner_line", ("struct", "union", "enum")).select(F.col("owner_id").alias("symbol_id"), "name")
+    aliases = attach("aliases", "owner", None, ("struct", "union", "enum")).select(F.col("owner_id").alias("symbol_id"), "name")
 
     pairs = []
     for r in parsed.select("path", F.inline("includes")).filter("name like '%.c'").toLocalIterator():
