@@ -7,8 +7,10 @@ that doesn't fill a sequence. Pieces are then only lengths: a histogram of at mo
 
 The plan: patterns of one, two or three lengths that fill a sequence exactly are enumerated,
 their repeat counts are fitted to the histogram by non-negative least squares (projected
-gradient with momentum), rounded down and held within what is left of each length. What stays
-over is packed best fit, longest first, on counts. The plan is a list of runs: pattern p
+gradient with momentum; long lengths weigh more, as what stays over of them costs most), a share
+of them is rounded down and held within what is left of each length, and what stays over is
+packed best fit, longest first, on counts. Of the shares in ``SHARES``, the one that leaves
+the fewest sequences is taken: exact patterns use up the short lengths that best fit needs. The plan is a list of runs: pattern p
 repeated c times gives each of its slots c consecutive ranks of its length. Documents find
 their slot by their rank among pieces of equal length, which is a task's first rank plus a
 running count within the task, so no length, however common, meets in one task.
@@ -31,6 +33,7 @@ from pyspark.sql import functions as F
 from codestrata.llm.shared import materialize
 
 CAPACITY, END = 1024, 2
+SHARES = (1.0, 0.7, 0.4, 0.2)
 TOKENIZER = "byte_bpe_50k.json"
 #: Fixed value: how byte-level tokenizers split texts before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -159,9 +162,9 @@ def patterns(lengths: np.ndarray, capacity: int, most: int = 200_000) -> np.ndar
 
 
 def fit(hist: np.ndarray, rows: np.ndarray, rounds: int = 300) -> np.ndarray:
-    """Non-negative repeat counts x minimising the squared distance of the lengths used to hist."""
+    """Non-negative repeat counts x minimising the squared distance of the lengths used to hist, weighted by length."""
     size, total = len(hist), max(1.0, float(hist.sum()))
-    target = hist / total
+    target, weight = hist / total, np.arange(size) / size
 
     def used(x):
         out = np.zeros(size)
@@ -171,8 +174,7 @@ def fit(hist: np.ndarray, rows: np.ndarray, rounds: int = 300) -> np.ndarray:
         return out
 
     def back(r):
-        r = r.copy()
-        r[0] = 0
+        r = r * weight
         return r[rows[:, 0]] + r[rows[:, 1]] + r[rows[:, 2]]
 
     v = np.ones(len(rows))
@@ -192,27 +194,27 @@ def fit(hist: np.ndarray, rows: np.ndarray, rounds: int = 300) -> np.ndarray:
 
 def make_plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """(lengths, repeats): sequences that together use every piece of the histogram exactly once."""
-    left = np.zeros(capacity + 1, np.int64)
+    hist = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
-        left[length] = n
-    plan: list[tuple[tuple[int, ...], int]] = []
+        hist[length] = n
+    rows = patterns(np.flatnonzero(hist), capacity)
+    x = fit(hist.astype(float), rows) if len(rows) else np.zeros(0)
+    plans = [_rounded(hist.copy(), rows, np.floor(share * x + 1e-9).astype(np.int64), capacity) for share in SHARES]
+    return min(plans, key=lambda plan: sum(n for _, n in plan))
 
-    def take(row, n):
-        lengths = tuple(int(k) for k in row if k)
-        plan.append((lengths, int(n)))
-        for k in lengths:
-            left[k] -= n
 
-    rows = patterns(np.flatnonzero(left), capacity)
-    if len(rows):
-        x = np.floor(fit(left.astype(float), rows) + 1e-9).astype(np.int64)
-        for i in np.argsort(-x, kind="stable"):
-            if x[i] <= 0:
-                break
-            row = rows[i][rows[i] > 0]
-            n = min(int(x[i]), *(int(left[k] // (row == k).sum()) for k in row))
-            if n > 0:
-                take(row, n)
+def _rounded(left: np.ndarray, rows: np.ndarray, x: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """x repeats of each pattern, as far as ``left`` has the lengths, and the rest by best fit."""
+    plan: list[tuple[tuple[int, ...], int]] = []
+    for i in np.argsort(-x, kind="stable"):
+        if x[i] <= 0:
+            break
+        row = rows[i][rows[i] > 0]
+        n = min(int(x[i]), *(int(left[k] // (row == k).sum()) for k in row))
+        if n > 0:
+            plan.append((tuple(int(k) for k in row), n))
+            for k in row:
+                left[k] -= n
     # Best fit, longest first, on counts: a bin is known by its lengths and room.
     bins: dict[int, dict[tuple[int, ...], int]] = {}
     for length in range(capacity, 0, -1):
