@@ -2,64 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codestrata.functions.storage import fresh_path, materialize, materialize_at, remove
+
+__all__ = ["components", "fold_ascii", "fresh_path", "materialize", "stars", "word_array", "word_count"]
+
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_own_dir: str | None = None
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (local runs)."""
-    global _own_dir
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found.rstrip("/")
-    if _own_dir is None:
-        _own_dir = tempfile.mkdtemp(prefix="codestrata-")
-    return f"file://{_own_dir}"
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; what is under it goes when the driver ends."""
-    path = f"{shared_dir(spark)}/codestrata/{uuid.uuid4().hex}/{name}"
-    if not _written:
-        atexit.register(_clear)
-    _written.append((spark, path))
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path).getParent()
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def _clear() -> None:
-    for spark, path in _written:
-        try:
-            remove(spark, path)
-        except Exception:  # the JVM may have ended first
-            return
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back: cuts lineage, and survives lost executors."""
-    return materialize_at(df, fresh_path(df.sparkSession, name))
-
-
-def materialize_at(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
 
 def fold_ascii(c: Column) -> Column:
     """A-Z lower-cased, nothing else changed."""
