@@ -10,32 +10,63 @@ from pyspark.sql import functions as F
 
 MAINLINE = "https://git.kernel.org/pub/scm/linux/kernel/git/torvalds/linux.git"
 STABLE = "https://git.kernel.org/pub/scm/linux/kernel/git/stable/linux.git"
-_RELEASE = re.compile(r"(\d+)\.(\d+)(?:\.(\d+))?(-rc\d+)?$")
+_RELEASE = re.compile(r"v?(\d+(?:\.\d+){1,3})(-rc\d+)?")
 
 
-def release_tag(version: str) -> str | None:
-    """``6.12.104`` is tag ``v6.12.104``, ``6.12.0`` is ``v6.12``; None if it isn't a release."""
+def _release(version: str) -> tuple[list[int], str] | None:
+    """Numbers and candidate suffix of a release; None if there is no such release.
+
+    From 3.0 on, X.Y is mainline and X.Y.Z with a positive Z stable; 2.6.Z was mainline and
+    2.6.Z.N stable. Candidates are mainline.
+    """
     found = _RELEASE.fullmatch(version.strip())
     if not found:
         return None
-    major, minor, patch, rc = found.groups()
-    return f"v{major}.{minor}" + (f".{patch}" if patch and int(patch) else "") + (rc or "")
+    parts, rc = [int(p) for p in found[1].split(".")], found[2] or ""
+    if not rc:
+        own = 3 if parts[:2] == [2, 6] else 2
+        if parts[0] >= 3 or own == 3:
+            if len(parts) not in (own, own + 1) or (len(parts) == own + 1 and not parts[-1]):
+                return None
+    return parts, rc
 
 
-def series(version: str) -> str | None:
-    found = _RELEASE.fullmatch(version.strip())
-    return f"{found[1]}.{found[2]}" if found else None
+def release_tag(version: str) -> str | None:
+    """``6.12.104`` is tag ``v6.12.104``; None if it isn't a release."""
+    return f"v{version.strip().removeprefix('v')}" if _release(version) else None
+
+
+def series(version: str) -> str:
+    """What documentation is published under: ``v6.12``, or ``latest``."""
+    found = re.match(r"v?(\d+)\.(\d+)(?:\.|$|-)", version.strip())
+    return f"v{found[1]}.{found[2]}" if found else "latest"
+
+
+def browser_tag(version: str) -> str:
+    """The tag of a source browser; unreleased trees are ``latest``."""
+    v = version.strip()
+    return "latest" if not v or v.startswith("next-") else f"v{v.removeprefix('v')}"
 
 
 def repository(version: str) -> str | None:
-    """Patch releases are in the stable repository, others in mainline."""
-    found = _RELEASE.fullmatch(version.strip())
-    if not found:
+    """Stable releases are in the stable repository, others in mainline."""
+    found = _release(version)
+    if found is None:
         return None
-    return STABLE if found[3] and int(found[3]) else MAINLINE
+    parts, rc = found
+    return STABLE if not rc and len(parts) > (3 if parts[:2] == [2, 6] else 2) else MAINLINE
+
+
+def has_provenance(version: str, source: str | None) -> bool:
+    """Whether a snapshot may link upstream: a release whose recorded source, if any, is its own archive."""
+    if _release(version) is None:
+        return False
+    name = f"linux-{version.strip().removeprefix('v')}.tar."
+    return source in (None, "kernel.org") or re.fullmatch(r"https://(?:\w+\.)?kernel\.org/(?:.*/)?" + re.escape(name) + "(?:xz|gz|bz2)", source) is not None
 
 
 def archive_url(version: str) -> str | None:
+    """Where a release's archive is."""
     tag = release_tag(version)
     return f"https://cdn.kernel.org/pub/linux/kernel/v{tag[1:].split('.')[0]}.x/linux-{tag[1:]}.tar.xz" if tag else None
 

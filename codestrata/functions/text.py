@@ -69,11 +69,11 @@ def depth(path: Column) -> Column:
 
 
 def human_size(n: Column) -> Column:
-    """Bytes as B, KiB, MiB or GiB."""
-    out = F.concat(n.cast("string"), F.lit(" B"))
-    for k, unit in enumerate(("KiB", "MiB", "GiB"), 1):
-        out = F.when(n >= 1024**k, F.concat(F.round(n / 1024**k, 1).cast("string"), F.lit(" " + unit))).otherwise(out)
-    return out
+    """Bytes as 512B, 1.5K, 2.0M or 3.0G; ``-`` if unknown."""
+    out = F.concat(n.cast("string"), F.lit("B"))
+    for k, unit in enumerate("KMG", 1):
+        out = F.when(n >= 1024**k, F.format_string("%.1f" + unit, n / 1024**k)).otherwise(out)
+    return F.coalesce(out, F.lit("-"))
 
 
 def occurrences(direct: Column, indirect: Column, macro: Column) -> Column:

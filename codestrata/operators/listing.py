@@ -183,7 +183,8 @@ def projected(entries: DataFrame, columns: list[str]) -> DataFrame:
     """A choice of the closed column vocabulary."""
     if unknown := [c for c in columns if c not in COLUMNS]:
         raise ValueError(f"unknown columns {unknown}")
-    flags = F.concat_ws(",", F.when(F.col("is_static"), "static"), F.when(F.col("is_inline"), "inline"), F.when(F.col("is_exported"), "exported"))
+    flags = F.concat_ws(" ", F.when(F.col("is_exported"), "EXPORT"), F.when(F.col("is_static"), "static"), F.when(F.col("is_inline"), "inline"))
+    flags = F.coalesce(F.nullif(flags, F.lit("")), F.lit("-"))
     own = {"static": F.col("is_static"), "inline": F.col("is_inline"), "exported": F.col("is_exported"), "files": F.col("n_files"), "flags": flags, "location": F.concat_ws(":", "path", F.col("line").cast("string"))}
     return entries.select(*[own.get(c, F.col(c)).alias(c) for c in columns])
 

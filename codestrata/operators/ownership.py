@@ -11,19 +11,19 @@ from codestrata.operators.paths import ancestors, under
 
 #: What the top-level directories are about.
 AREAS = {
-    "arch": "Architecture code",
+    "arch": "Architecture",
     "block": "Block layer",
     "certs": "Certificates",
-    "crypto": "Cryptography",
+    "crypto": "Crypto API",
     "Documentation": "Documentation",
     "drivers": "Device drivers",
     "fs": "Filesystems",
     "include": "Headers",
-    "init": "Boot and init",
+    "init": "Init",
     "io_uring": "io_uring",
-    "ipc": "Interprocess communication",
+    "ipc": "IPC",
     "kernel": "Core kernel",
-    "lib": "Library routines",
+    "lib": "Library",
     "LICENSES": "Licenses",
     "mm": "Memory management",
     "net": "Networking",

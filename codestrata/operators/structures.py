@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from codestrata.functions.text import ratio
+
 CANDIDATES = 100
 
 
@@ -27,15 +29,16 @@ def nested(rows: list[Row]) -> list[dict]:
 
 
 def coverage(members: DataFrame) -> DataFrame:
-    """(symbol_id, direct, total, documentable, described, documented, ratio) of each aggregate.
+    """(symbol_id, direct, total, documentable, described, documented, semantic, ratio) of each aggregate.
 
-    Documentable are named members; described have a text; documented have one that isn't implied by a macro.
+    Documentable are named members; described have a text; documented have one from the source;
+    semantic texts follow from a macro. The ratio is documented over documentable.
     """
-    named = F.col("name").isNotNull() & (F.col("name") != "")
-    told = named & F.col("description").isNotNull() & (F.col("description") != "")
-    implied = F.coalesce(F.col("description_source") == "macro-semantics", F.lit(False))
-    out = members.groupBy("symbol_id").agg(F.count_if(F.col("parent_id").isNull()).alias("direct"), F.count("*").alias("total"), F.count_if(named).alias("documentable"), F.count_if(told).alias("described"), F.count_if(told & ~implied).alias("documented"))
-    return out.withColumn("ratio", F.when(F.col("documentable") == 0, 0.0).otherwise(F.col("described") / F.col("documentable")))
+    named = F.col("name").isNotNull()
+    source = F.col("description_source")
+    counts = {"documentable": named, "described": named & F.col("description").isNotNull(), "documented": named & source.isin("kernel-doc", "inline-kernel-doc", "source-comment"), "semantic": source == "macro-semantics"}
+    out = members.groupBy("symbol_id").agg(F.count_if(F.col("parent_id").isNull()).alias("direct"), F.count("*").alias("total"), *[F.count_if(c).alias(k) for k, c in counts.items()])
+    return out.withColumn("ratio", ratio(F.col("documented"), F.col("documentable")))
 
 
 def resolve_structure(symbols: DataFrame, aliases: DataFrame, name: str, kind: str | None = None) -> DataFrame:

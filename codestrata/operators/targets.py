@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from codestrata.functions.text import LOWER, UPPER, ascii_fold, depth
 
-COPY_TREES = ("tools/", "scripts/", "samples/", "Documentation/")
-KIND_RANK = {"function": 0, "syscall": 0, "struct": 1, "union": 1, "enum": 1, "typedef": 2, "variable": 3, "macro": 3, "prototype": 4}
+#: Trees that hold copies, and which kinds come first.
+COPY_TREES = ("tools/", "samples/", "Documentation/", "usr/")
+KIND_RANK = {"function": 0, "syscall": 0, "struct": 1, "union": 1, "enum": 1, "typedef": 1, "macro": 2, "variable": 3, "prototype": 4}
 
 
 @dataclass

@@ -228,7 +228,7 @@ def shortest_path(t: Tables) -> DataFrame:
     return graph.path_table(t.spark, graph.explore(graph.adjacency(t.calls, t.symbols, t.files), 0, depth=4, to_id=5, max_nodes=2000))
 
 
-_RANK = "CASE kind WHEN 'function' THEN 0 WHEN 'struct' THEN 1 WHEN 'variable' THEN 3 WHEN 'macro' THEN 3 END, (path LIKE 'tools/%')::INT, is_static::INT, len(path) - len(replace(path, '/', '')), len(path), path, line, ref_id"
+_RANK = "CASE kind WHEN 'function' THEN 0 WHEN 'struct' THEN 1 WHEN 'variable' THEN 3 WHEN 'macro' THEN 2 END, (path LIKE 'tools/%')::INT, is_static::INT, len(path) - len(replace(path, '/', '')), len(path), path, line, ref_id"
 
 
 @query(f"{ENTRY_SYMBOLS} SELECT ref_id AS id, name, path, kind AS symbol_kind, CAST(row_number() OVER (PARTITION BY name ORDER BY {_RANK}) AS INT) AS rank, count(*) OVER (PARTITION BY name) AS candidates FROM entries", "k_symbols k_files")
@@ -331,7 +331,7 @@ def ancestry(t: Tables) -> DataFrame:
     return t.files.select("id", F.explode(paths.ancestors(F.col("path"))).alias("ancestor"))
 
 
-_AREA = "CASE split_part(%s, '/', 1) WHEN 'arch' THEN 'Architecture code' WHEN 'kernel' THEN 'Core kernel' WHEN 'tools' THEN 'Tools' WHEN 'drivers' THEN 'Device drivers' WHEN 'fs' THEN 'Filesystems' END"
+_AREA = "CASE split_part(%s, '/', 1) WHEN 'arch' THEN 'Architecture' WHEN 'kernel' THEN 'Core kernel' WHEN 'tools' THEN 'Tools' WHEN 'drivers' THEN 'Device drivers' WHEN 'fs' THEN 'Filesystems' END"
 
 
 @query(f"""{CLAIMS}, o AS (SELECT ref_id, count(*) AS n, count(*) FILTER (WHERE name <> '{CATCH_ALL}') AS k, min(name) FILTER (WHERE name <> '{CATCH_ALL}') AS one FROM claims WHERE is_primary GROUP BY 1)
@@ -367,7 +367,7 @@ def subsystem_lookup(t: Tables) -> DataFrame:
     return ownership.section_by_name(t.sized_sections, "00000001")
 
 
-@query("x AS (SELECT 1) SELECT symbol_id, count(*) FILTER (WHERE parent_id IS NULL) AS direct, count(*) AS total, count(name) AS documentable, count(*) FILTER (WHERE name IS NOT NULL AND description IS NOT NULL) AS described, count(*) FILTER (WHERE name IS NOT NULL AND description IS NOT NULL AND description_source <> 'macro-semantics') AS documented, CASE WHEN count(name) = 0 THEN 0 ELSE count(*) FILTER (WHERE name IS NOT NULL AND description IS NOT NULL) / count(name)::DOUBLE END AS ratio FROM k_members GROUP BY 1", "k_members")
+@query("x AS (SELECT 1) SELECT symbol_id, count(*) FILTER (WHERE parent_id IS NULL) AS direct, count(*) AS total, count(name) AS documentable, count(*) FILTER (WHERE name IS NOT NULL AND description IS NOT NULL) AS described, count(*) FILTER (WHERE name IS NOT NULL AND description_source = 'kernel-doc') AS documented, count(*) FILTER (WHERE description_source = 'macro-semantics') AS semantic, CASE WHEN count(name) = 0 THEN 0 ELSE count(*) FILTER (WHERE name IS NOT NULL AND description_source = 'kernel-doc') / count(name)::DOUBLE END AS ratio FROM k_members GROUP BY 1", "k_members")
 def struct_coverage(t: Tables) -> DataFrame:
     return structures.coverage(t.members)
 

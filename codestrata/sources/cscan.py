@@ -12,10 +12,29 @@ from bisect import bisect_right
 from dataclasses import asdict, dataclass, field
 
 KEYWORDS = frozenset("if for while switch return sizeof typeof __typeof__ do else case goto asm __asm__ __attribute__ _Static_assert static_assert defined alignof _Alignof __alignof__".split())
-#: Macros that define an object, by the argument that names it.
-NAMED_FIRST = ("DEFINE_MUTEX", "DEFINE_SPINLOCK", "DEFINE_RAW_SPINLOCK", "DEFINE_RWLOCK", "DECLARE_WAIT_QUEUE_HEAD", "DECLARE_RWSEM", "DEFINE_IDA", "DEFINE_IDR", "DEFINE_STATIC_KEY_FALSE", "DEFINE_STATIC_KEY_TRUE", "LIST_HEAD", "HLIST_HEAD", "DECLARE_WORK", "DECLARE_DELAYED_WORK", "DECLARE_BITMAP", "DEFINE_XARRAY")
-NAMED_SECOND = ("DEFINE_PER_CPU", "DEFINE_PER_CPU_SHARED_ALIGNED", "DEFINE_PER_CPU_READ_MOSTLY", "DECLARE_PER_CPU", "DEFINE_HASHTABLE_OF")
-ATTRIBUTES = {"DEVICE_ATTR": "dev_attr_", "DRIVER_ATTR": "driver_attr_", "BUS_ATTR": "bus_attr_", "CLASS_ATTR": "class_attr_"}
+#: Macros that define an object, by the argument that names it, and generated attributes.
+NAMED_FIRST = re.compile(
+    r"DECLARE_(?:WORK|DELAYED_WORK|DEFERRABLE_WORK|BITMAP|COMPLETION(?:_ONSTACK)?|WAIT_QUEUE_HEAD(?:_ONSTACK)?|TIMER|TRANSPORT_CLASS|RWSEM)"
+    r"|DEFINE_(?:MUTEX|SPINLOCK|RAW_SPINLOCK|RWLOCK|SEQLOCK|TIMER|STATIC_KEY_(?:TRUE|FALSE)|STATIC_KEY_ARRAY_(?:TRUE|FALSE)|STATIC_KEY_(?:FALSE_RO|DEFERRED_FALSE)|SEMAPHORE|SIMPLE_DEV_PM_OPS|XARRAY(?:_ALLOC)?|IDR|IDA|HASHTABLE|RATELIMIT_STATE)"
+    r"|(?:ATOMIC|BLOCKING|RAW|SRCU)_NOTIFIER_HEAD|SIMPLE_DEV_PM_OPS|SOC_ENUM_SINGLE_DECL|(?:LIST|HLIST|LLIST)_HEAD|RADIX_TREE"
+)
+NAMED_SECOND = re.compile(r"(?:DEFINE|DECLARE)_PER_CPU(?:_[A-Z0-9_]+)?|DEFINE_STATIC_KEY_MAYBE")
+ATTRIBUTES = {
+    r"DEVICE_(?:ATTR(?:_(?:RW|RO|WO|ADMIN_RW|ADMIN_RO|RW_NAMED|RO_NAMED|WO_NAMED|IGNORE_LOCKDEP))?|(?:ULONG|INT|BOOL)_ATTR|STRING_ATTR_RO)": "dev_attr_",
+    r"DRIVER_ATTR_(?:RW|RO|WO|IGNORE_LOCKDEP)": "driver_attr_",
+    r"BUS_ATTR_(?:RW|RO|WO)": "bus_attr_",
+    r"CLASS_ATTR_(?:RW|RO|WO|STRING)": "class_attr_",
+    r"BIN_ATTR(?:_(?:RO|WO|RW|ADMIN_RO|ADMIN_RW|SIMPLE_RO|SIMPLE_ADMIN_RO))?": "bin_attr_",
+    r"SENSOR_DEVICE_ATTR(?:_2)?(?:_(?:RO|WO|RW))?": "sensor_dev_attr_",
+    r"IIO_DEVICE_ATTR(?:_(?:RO|WO|RW|NAMED))?": "iio_dev_attr_",
+    r"IIO_CONST_ATTR(?:_NAMED)?": "iio_const_attr_",
+}
+FIXED_ATTRIBUTES = {
+    "IIO_CONST_ATTR_SAMP_FREQ_AVAIL": "iio_const_attr_sampling_frequency_available",
+    "IIO_CONST_ATTR_INT_TIME_AVAIL": "iio_const_attr_integration_time_available",
+    "IIO_CONST_ATTR_TEMP_OFFSET": "iio_const_attr_in_temp_offset",
+    "IIO_CONST_ATTR_TEMP_SCALE": "iio_const_attr_in_temp_scale",
+}
 _SYSCALL = re.compile(r"\b(COMPAT_)?SYSCALL_DEFINE\d\s*\(\s*(\w+)")
 _EXPORT = re.compile(r"\bEXPORT(?:_PER_CPU)?_SYMBOL(?:_GPL|_NS|_NS_GPL|_FOR_MODULES)?\s*\(\s*(\w+)")
 _AGGREGATE = re.compile(r"\b(struct|union|enum)\s+(?:__\w+(?:\([^()]*\))?\s+)*(\w+)?\s*(?:__\w+(?:\([^()]*\))?\s*)*\{")
@@ -284,13 +303,15 @@ class Scanner:
         call = re.match(r"\s*((?:static\s+|extern\s+)*)([A-Z][A-Z0-9_]*)\s*\((.*)\)\s*;?\s*$", flat, re.S)
         if call:
             arguments = split_arguments(call[3])
-            family = next((f for f in sorted(ATTRIBUTES, key=len, reverse=True) if re.fullmatch(f + r"(?:_RO|_RW|_WO|_ADMIN_RO|_ADMIN_RW)?", call[2])), None)
-            if call[2] in NAMED_FIRST and arguments:
+            family = next((prefix for f, prefix in ATTRIBUTES.items() if re.fullmatch(f, call[2])), None)
+            if NAMED_FIRST.fullmatch(call[2]) and arguments:
                 self.add(arguments[0], "variable", start, end, flat, call[1])
-            elif call[2] in NAMED_SECOND and len(arguments) > 1:
+            elif NAMED_SECOND.fullmatch(call[2]) and len(arguments) > 1:
                 self.add(arguments[1], "variable", start, end, flat, call[1])
+            elif call[2] in FIXED_ATTRIBUTES:
+                self.add(FIXED_ATTRIBUTES[call[2]], "variable", start, end, flat, "static")
             elif family and arguments:
-                self.add(ATTRIBUTES[family] + arguments[0], "variable", start, end, flat, "static")
+                self.add(family + arguments[0], "variable", start, end, flat, "static")
             return
         plain = flat.rstrip().rstrip(";")
         left = plain.split("=", 1)[0]
@@ -412,7 +433,7 @@ class Scanner:
             return
         if macro := re.fullmatch(r"\s*([A-Z_][A-Za-z0-9_]*)\s*\((.*)\)\s*", text, re.S):
             arguments = split_arguments(macro[2])
-            named = arguments[1] if macro[1] in NAMED_SECOND and len(arguments) > 1 else arguments[0] if arguments else None
+            named = arguments[1] if NAMED_SECOND.fullmatch(macro[1]) and len(arguments) > 1 else arguments[0] if arguments else None
             put(named if named and re.fullmatch(r"\w+", named) else None, "macro", macro[1], text)
             return
         parts = split_arguments(text)

@@ -76,16 +76,20 @@ def targets(directory: str, text: str, files: set[str]) -> tuple[set[str], dict[
     return roots, domains
 
 
+#: Kernel-side files beside a vDSO's own.
+VDSO_GLUE = ("extable.c", "vma.c", "vdso.c", "vdso32-setup.c")
+
+
 def image_domain(path: str) -> str | None:
-    """The separately linked image a path belongs to: boot, EFI stub, purgatory, real mode, vDSO or BPF."""
-    found = re.match(r"arch/([^/]+)/(boot|purgatory|realmode)/", path)
-    if found:
-        return f"image:{found[2]}:{found[1]}"
-    if m := re.match(r"arch/([^/]+)/(?:.*/)?vdso\w*/", path):
-        return f"image:vdso:{m[1]}"
+    """The separately linked image a path belongs to: BPF, EFI stub, boot, purgatory, real mode or vDSO."""
+    if path.endswith(".bpf.c"):
+        return f"isolated:{path}"
     if path.startswith("drivers/firmware/efi/libstub/"):
-        return "image:efistub"
-    return "image:bpf" if re.search(r"(?:^|/)[^/]*\.bpf\.c$", path) else None
+        return "image:efi-stub"
+    if found := re.match(r"arch/([^/]+)/(boot/compressed|boot|purgatory|realmode)/", path):
+        return f"image:arch:{found[1]}:{found[2].replace('/', '-')}"
+    found = re.match(r"(arch/[^/]+/(?:(?!vdso|include/)[^/]+/)*vdso[^/]*)/(?:.*/)?([^/]+)$", path)
+    return f"image:{found[1]}" if found and found[2] not in VDSO_GLUE else None
 
 
 def include_target(includer: str, name: str, quoted: bool, files: set[str]) -> str | None:

@@ -56,8 +56,9 @@ def test_path_regex(pattern, yes, no):
 
 
 def test_links(spark):
-    assert links.release_tag("6.12.0") == "v6.12" and links.release_tag("6.12.104") == "v6.12.104" and links.release_tag("next") is None
-    assert links.series("6.12.104") == "6.12"
+    assert links.release_tag("6.12") == "v6.12" and links.release_tag("6.12.104") == "v6.12.104" and links.release_tag("6.12.0") is None and links.release_tag("next") is None
+    assert links.repository("2.6.32") == links.MAINLINE and links.repository("2.6.32.4") == links.STABLE and links.repository("6.12-rc3") == links.MAINLINE
+    assert links.series("6.12.104") == "v6.12" and links.series("next-2") == "latest" and not links.has_provenance("6.12", "/home/x.tar.gz")
     got = one(spark, links.source_link("6.12.104", F.lit("fs/a b.c"), F.lit(7)))
     assert got == links.plain_link("6.12.104", "fs/a b.c", 7)
     assert links.archive_url("6.12.104").endswith("v6.x/linux-6.12.104.tar.xz")

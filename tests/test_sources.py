@@ -145,7 +145,7 @@ def test_makefiles():
     assert makefiles.detect_version(text) == "6.12.104"
     roots, domains = makefiles.targets("d", text, {f"d/{x}.c" for x in ("a", "b", "c", "p", "q", "no", "no2", "gen")})
     assert roots == {"d/a.c", "d/p.c", "d/q.c", "d/c.c", "d/gen.c"} and domains == {"d/gen.c": "program:d:gen"}
-    assert makefiles.image_domain("arch/x86/boot/a.c") == "image:boot:x86" and makefiles.image_domain("mm/a.c") is None
+    assert makefiles.image_domain("arch/x86/boot/compressed/a.c") == "image:arch:x86:boot-compressed" and makefiles.image_domain("arch/arm/vdso/v.c") == "image:arch/arm/vdso" and makefiles.image_domain("arch/arm/vdso/vma.c") is None and makefiles.image_domain("mm/a.c") is None
     assert makefiles.include_target("k/a.c", "b.c", True, {"k/b.c"}) == "k/b.c"
 
 
