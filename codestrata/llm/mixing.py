@@ -27,6 +27,8 @@ from codestrata.llm.shared import materialize, word_count
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 BITS, LEVELS = 12, 3
+#: Sources whose plan is broadcast: 50,000 rows of names and five numbers.
+BROADCAST = 50_000
 
 
 def draw(doc_id: Column) -> Column:
@@ -94,7 +96,11 @@ def plan(rows: DataFrame, **how) -> DataFrame:
 
 
 def _with_copies(docs: DataFrame, sources: DataFrame) -> DataFrame:
-    """docs with __copies, __source_size, __target. sources has a row per source; Spark picks the join by its size."""
+    """docs with __copies, __source_size, __target. sources has a row per source; up to BROADCAST of them are
+    broadcast, so that no text moves; more are joined by source."""
+    sources = materialize(sources, "plan")
+    if sources.count() <= BROADCAST:
+        sources = F.broadcast(sources)
     p = sources.select(F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("whole").alias("__whole"), F.col("cut").alias("__cut"))
     joined = docs.join(p, F.col("source").cast("string").eqNullSafe(F.col("__source")), "left")
     copies = F.col("__whole") + F.when(draw(F.col("doc_id")) < F.col("__cut"), 1).otherwise(0)
