@@ -13,7 +13,7 @@ CANDIDATES = 100
 def detail(members: DataFrame, symbol_id: int | None = None) -> DataFrame:
     """Members in preorder with depth and dotted path; a flat table, as members nest without bound."""
     rows = members if symbol_id is None else members.filter(F.col("symbol_id") == symbol_id)
-    flexible = F.coalesce(F.element_at("array_dimensions", -1) == "", F.lit(False)) if "array_dimensions" in members.columns else F.lit(False)
+    flexible = F.coalesce(F.try_element_at("array_dimensions", F.lit(-1)) == "", F.lit(False)) if "array_dimensions" in members.columns else F.lit(False)
     return rows.withColumn("flexible", flexible).orderBy("symbol_id", "ordinal")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.functions import links
-from codestrata.operators import audit, calls, docs, graph, listing, ownership, paths, resolution, snapshots, structures, targets, text
+from codestrata.operators import audit, calls, docs, graph, listing, ownership, paths, reports, resolution, snapshots, structures, targets, text
 from codestrata.plans.adapter import CATCH_ALL, spark_table, with_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -478,3 +478,19 @@ def integrity_audit(t: Tables) -> DataFrame:
 @query(f"{ENTRY_SYMBOLS}, n AS (SELECT kind, name, path FROM entries UNION ALL SELECT 'file', name, path FROM k_files) SELECT kind, name, path FROM n WHERE contains(name, 'anvil') ORDER BY length(name), name, path LIMIT 5", "k_symbols k_files")
 def suggestions(t: Tables) -> DataFrame:
     return targets.suggestions("x/anvil", t.dirs, t.files, t.symbols).select("kind", "name", "path")
+
+
+@query(f"""{ENTRY_SYMBOLS}, f AS (SELECT e.event_id, x.line, e.event_type || '_' || (e.event_id % 3) AS frame FROM events e CROSS JOIN (SELECT 3 AS line UNION ALL SELECT 4) x), n AS (SELECT s.*, CASE s.ref_id % 5 WHEN 0 THEN 'click' WHEN 1 THEN 'view' WHEN 2 THEN 'error' WHEN 3 THEN 'signup' ELSE 'none' END || '_' || (s.ref_id % 4) AS own FROM entries s),
+ r AS (SELECT own, path, line AS defined, row_number() OVER (PARTITION BY own ORDER BY {_RANK}) AS rank, count(*) OVER (PARTITION BY own) AS candidates FROM n)
+ SELECT event_id, f.line, frame, r.path, r.defined, r.candidates, {_AREA % "r.path"} AS area FROM f LEFT JOIN r ON r.own = f.frame AND r.rank = 1""", "k_symbols k_files")
+def trace_annotate(t: Tables) -> DataFrame:
+    own = F.expr("concat(CASE id % 5 WHEN 0 THEN 'click' WHEN 1 THEN 'view' WHEN 2 THEN 'error' WHEN 3 THEN 'signup' ELSE 'none' END, '_', id % 4)")
+    frames = text.frames(t.traces).withColumn("frame", F.concat_ws("_", "frame", (F.col("event_id") % 3).cast("string")))
+    rows = reports.annotate_trace(frames, t.symbols.withColumn("name", own), t.files, t.claims, t.sections, CATCH_ALL)
+    return rows.select("event_id", "line", "frame", "path", "defined", "candidates", "area")
+
+
+@query("""a AS (SELECT split_part(f.path, '/', 1) AS name, count(*) AS n FROM k_symbols s JOIN k_files f ON f.id = s.file_id GROUP BY 1 ORDER BY n DESC, name LIMIT 8)
+ SELECT 'rows' AS measure, 'files' AS name, count(*) AS n FROM k_files UNION ALL SELECT 'rows', 'symbols', count(*) FROM k_symbols UNION ALL SELECT 'rows', 'subsystems', count(*) FROM k_sections UNION ALL SELECT 'kind', kind, count(*) FROM k_symbols GROUP BY kind UNION ALL SELECT 'area', name, n FROM a""", "k_symbols k_files k_sections")
+def statistics(t: Tables) -> DataFrame:
+    return reports.statistics(t.files, t.symbols, t.sections)

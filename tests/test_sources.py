@@ -217,3 +217,27 @@ def test_sinks(spark):
     df = spark.createDataFrame([("a/b.c", 3, "f"), ("a/c.c", None, "g")], "path string, line int, name string")
     assert [r["value"] for r in sinks.plain(df).collect()] == ["a/b.c:3:f", "a/c.c:g"]
     assert '"line"' not in sinks.json_rows(df).collect()[1]["value"] and sinks.tree_lines(["a/b.c", "a/c.c"]) == ["a/", "  b.c", "  c.c"]
+
+
+def test_reports(spark, built):
+    from codestrata.operators import reports, targets
+
+    t = built.tables
+    counts = {r["check"]: r["n"] for r in reports.full_audit(t).collect()}
+    assert len(counts) > 40 and {k: n for k, n in counts.items() if n} == {}
+    found = targets.resolve("ext4_get", t["dirs"], t["files"], t["symbols"])
+    card = reports.describe_target(found.target, t["dirs"], t["files"], t["symbols"], t["path_subsys"], t["subsystems"])
+    assert card["owners"][0]["name"] == "EXT4 FILE SYSTEM" and card["ancestry"] == ["", "fs", "fs/ext4"] and card["linkage"] == "global"
+    here = targets.resolve("fs/ext4", t["dirs"], t["files"], t["symbols"]).target
+    assert reports.describe_target(here, t["dirs"], t["files"], t["symbols"], t["path_subsys"], t["subsystems"])["counts"]["n_files"] == 4
+    section = lambda spec: reports.section_of(spec, t["subsystems"], t["dirs"], t["files"], t["symbols"], t["path_subsys"])
+    assert section("ext4 file system") == 0 and section("ext4_get") == 0 and section("tools") is None and section("ext4 file") == 0
+    lines = spark.createDataFrame([("ext4_get+0x1/0x2\nmissing+0x3/0x4",)], "text string")
+    rows = reports.annotate_trace(reports.trace_frames(lines), t["symbols"], t["files"], t["path_subsys"], t["subsystems"]).orderBy("at").collect()
+    assert [(r["frame"], r["path"], r["label"]) for r in rows] == [("ext4_get", "fs/ext4/inode.c", "EXT4 FILE SYSTEM"), ("missing", None, None)]
+    packet = targets.symbol_targets(t["symbols"].filter("kind = 'struct'"), t["files"]).filter("path like 'include/%'").first()
+    empty = spark.createDataFrame([], "file_id long, line int, owner_id long, kind string, name string, role string")
+    report = reports.structure_report(packet, t["type_members"], t["type_aliases"], empty, t["symbols"], t["files"])
+    assert report["aliases"] == ["packet_t"] and report["coverage"]["total"] == 15 and [m["name"] for m in report["members"]][:2] == ["size", "flag"]
+    assert reports.source_lines(spark.createDataFrame([("a", "x\ny\nz")], "path string, content string"), "a", 2, 3) == ["y", "z"]
+    assert reports.check_manifest(built.manifest, t) == [] and "schema_version" in reports.check_manifest(built.manifest | {"schema_version": 1}, t)
