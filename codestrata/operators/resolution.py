@@ -65,51 +65,47 @@ def resolve(files: DataFrame, symbols: DataFrame, includes: DataFrame, calls: Da
         F.count_if(F.col("kind") == "variable").alias("bound_variable"),
     )
 
-    # By domain: what can be linked, and what can shadow it.
+    # By domain: what can be linked, and what can shadow it. A row per (domain, name, symbol) with
+    # what the symbol is there, counted once however many ways it is seen.
     effective = members.join(domains.select(F.col("file_id").alias("unit_id"), "domain"), "unit_id").select(F.col("member_id").alias("file_id"), "domain").distinct()
     program = domains.filter("domain like 'program:%'").select("domain", F.substring("domain", 9, 10000).alias("tail")).filter("instr(tail, ':') > 0").select("domain", F.substring_index("tail", ":", 1).alias("root")).distinct()
     headers = domains.filter(F.col("ext").isin(*HEADERS))
-    visible = headers.select("file_id", F.explode(ancestors(F.col("path"))).alias("dir")).join(F.broadcast(program), F.col("dir") == F.col("root")).select("domain", "file_id").distinct()
-    in_header = known.join(headers.select("file_id"), "file_id", "left_semi")
-    own = domains.select("file_id", "domain")
-
-    def named(parts: list[DataFrame], name: str) -> DataFrame:
-        rows = parts[0]
-        for p in parts[1:]:
-            rows = rows.union(p)
-        return rows.distinct().groupBy("domain", "name").agg(F.count("*").alias(name))
-
-    pick = lambda df: df.select("domain", "symbol_id", "name")
-    static_headers = in_header.filter(callable_ & F.col("is_static"))
-    macros, variables = in_header.filter("kind = 'macro'"), known.filter("kind = 'variable'")
-    header_variables = in_header.filter("kind = 'variable'")
-    see = lambda df: pick(df.join(visible, "file_id"))
-    globals_ = known.filter(callable_ & ~F.col("is_static")).join(effective, "file_id").groupBy("domain", "name").agg(F.min("symbol_id").alias("global_id"), F.countDistinct("symbol_id").alias("global_n"))
-    linkable_variables = variables.filter(~F.col("is_static")).select("symbol_id", "file_id", "name").union(header_variables.select("symbol_id", "file_id", "name")).distinct()
-    blockers = [
-        named([pick(static_headers.join(own, "file_id")), see(static_headers)], "header_n"),
-        named([pick(macros.join(own, "file_id")), see(macros)], "macro_n"),
-        named([pick(linkable_variables.join(effective, "file_id")), see(variables)], "variable_n"),
-        named([pick(header_variables.join(effective, "file_id")), see(variables)], "shared_n"),
-    ]
+    visible = headers.select("file_id", F.explode(ancestors(F.col("path"))).alias("dir")).join(program, F.col("dir") == F.col("root")).select("domain", "file_id").distinct()
+    placed = known.join(domains.select("file_id", F.col("domain").alias("own"), "ext"), "file_id").withColumn("header", F.col("ext").isin(*HEADERS))
+    placed = materialize(placed, "placed")
+    static, variable = F.col("is_static"), F.col("kind") == "variable"
+    no = F.lit(False)
+
+    def seen(df: DataFrame, domain: str, linkable: Column, in_header: Column, macro: Column, named: Column, shared: Column) -> DataFrame:
+        return df.select(F.col(domain).alias("domain"), "name", "symbol_id", linkable.alias("g"), in_header.alias("h"), macro.alias("m"), named.alias("v"), shared.alias("s")).filter("g or h or m or v or s")
+
+    parts = seen(placed, "own", no, F.col("header") & callable_ & static, F.col("header") & (F.col("kind") == "macro"), no, no)
+    parts = parts.union(seen(placed.join(effective, "file_id"), "domain", callable_ & ~static, no, no, variable & (~static | F.col("header")), variable & F.col("header")))
+    parts = parts.union(seen(placed.filter("header").join(visible, "file_id"), "domain", no, callable_ & static, F.col("kind") == "macro", variable, variable))
+    once = parts.groupBy("domain", "name", "symbol_id").agg(*[F.bool_or(c).alias(c) for c in "ghmvs"])
+    there = once.groupBy("domain", "name").agg(F.min(F.when(F.col("g"), F.col("symbol_id"))).alias("gid"), *[F.count_if(c).alias(f"{c}_n") for c in "ghmvs"])
+    there = materialize(there.withColumnRenamed("domain", "candidate"), "there")
+
     here = domains.select("domain", "path").distinct()
     is_arch, is_image = F.col("domain").startswith("arch:"), F.col("domain").startswith("image:")
-    linked = here.select("domain", F.col("domain").alias("candidate")).union(here.filter(is_arch).select("domain", F.lit("kernel"))).distinct()
-    shadow = linked.withColumn("shared_only", F.lit(False)).union(here.filter(is_image).select("domain", F.lit("kernel"), F.lit(True))).union(here.filter(is_image & arch_of(F.col("path")).isNotNull()).select("domain", F.concat(F.lit("arch:"), arch_of(F.col("path"))), F.lit(True)))
-    shadow = shadow.groupBy("domain", "candidate").agg(F.min("shared_only").alias("shared_only"))
-
-    names = contexts.select("domain", "name").distinct()
-    g = names.join(linked, "domain").join(globals_.withColumnRenamed("domain", "candidate"), ["candidate", "name"], "left").groupBy("domain", "name").agg(F.min("global_id").alias("global_id"), F.coalesce(F.sum("global_n"), F.lit(0)).alias("global_n"))
-    b = names.join(shadow, "domain")
-    for part in blockers:
-        b = b.join(part.withColumnRenamed("domain", "candidate"), ["candidate", "name"], "left")
+    pairs = here.select("domain", F.col("domain").alias("candidate"), no.alias("shared_only")).union(here.filter(is_arch).select("domain", F.lit("kernel"), no))
+    pairs = pairs.union(here.filter(is_image).select("domain", F.lit("kernel"), F.lit(True))).union(here.filter(is_image & arch_of(F.col("path")).isNotNull()).select("domain", F.concat(F.lit("arch:"), arch_of(F.col("path"))), F.lit(True)))
+    pairs = pairs.groupBy("domain", "candidate").agg(F.min("shared_only").alias("shared_only"))
+
+    links = ~F.col("shared_only")  # what shadows an image only can't be linked into it
     total = lambda c: F.coalesce(F.sum(c), F.lit(0))
-    b = b.groupBy("domain", "name").agg(total("header_n").alias("header_n"), total("macro_n").alias("macro_n"), total(F.when(F.col("shared_only"), F.col("shared_n")).otherwise(F.col("variable_n"))).alias("variable_n"))
-    arch_symbols = known.join(effective.filter(is_arch).select("file_id").distinct(), "file_id").join(domains.select("file_id", "ext"), "file_id")
-    seen = F.col("ext").isin(*HEADERS)
-    blocks = (callable_ & (~F.col("is_static") | seen)) | ((F.col("kind") == "macro") & seen) | ((F.col("kind") == "variable") & (~F.col("is_static") | seen))
+    facts = contexts.select("domain", "name").distinct().join(pairs, "domain").join(there, ["candidate", "name"], "left")
+    facts = facts.groupBy("domain", "name").agg(
+        F.min(F.when(links, F.col("gid"))).alias("global_id"),
+        total(F.when(links, F.col("g_n"))).alias("global_n"),
+        total("h_n").alias("header_n"),
+        total("m_n").alias("macro_n"),
+        total(F.when(links, F.col("v_n")).otherwise(F.col("s_n"))).alias("variable_n"),
+    )
+    arch_symbols = placed.join(effective.filter(is_arch).select("file_id").distinct(), "file_id", "left_semi")
+    blocks = (callable_ & (~static | F.col("header"))) | ((F.col("kind") == "macro") & F.col("header")) | (variable & (~static | F.col("header")))
     arch = arch_symbols.filter(blocks).groupBy("name").agg(F.countDistinct("symbol_id").alias("arch_n")).withColumn("domain", F.lit("kernel"))
-    facts = g.join(b, ["domain", "name"]).join(arch, ["domain", "name"], "left").withColumn("arch_n", F.coalesce("arch_n", F.lit(0)))
+    facts = materialize(facts.join(arch, ["domain", "name"], "left").withColumn("arch_n", F.coalesce("arch_n", F.lit(0))), "facts")
 
     rows = contexts.join(local, key, "left").join(facts, ["domain", "name"]).join(domains.select(F.col("file_id").alias("caller_file_id"), F.col("ext").alias("caller_ext")), "caller_file_id")
     zero = F.lit(0)

@@ -411,6 +411,9 @@ class Scanner:
             arguments = split_arguments(text[group.end() : close])
             skip = {"struct_group": 1, "struct_group_attr": 2, "struct_group_tagged": 2, "__struct_group": 3}[group[1]]
             name = arguments[1] if group[1] in ("struct_group_tagged", "__struct_group") and len(arguments) > 1 else arguments[0]
+            tag = arguments[0] if group[1] in ("struct_group_tagged", "__struct_group") else ""
+            if tag:
+                self.add(tag, "struct", place, start + close + 1, f"struct {tag}")
             me = put(name, "struct_group", None, text[: group.end()] + name + ")")
             offset = group.end()
             for a in arguments[:skip]:

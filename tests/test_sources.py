@@ -91,6 +91,11 @@ def test_members():
     assert m["size"].description == "how long" and m["tail"].array_dimensions == [""] and m["tail"].visibility == "private" and m["map"].conditions == ["!defined(A_H)", "defined(CONFIG_MAP)"]
 
 
+def test_tagged_groups_are_types():
+    p = cscan.parse("struct a {\n\tstruct_group_tagged(tag, part, int x; int y;);\n\tint z;\n};\n")
+    assert [(s.name, s.kind) for s in p.symbols] == [("a", "struct"), ("tag", "struct")] and [m.name for m in p.members] == ["part", "x", "y", "z"]
+
+
 def test_calls():
     got = [(s.caller, s.callee, s.kind) for s in cscan.parse(SOURCE).sites]
     assert got == [("do_open", "TWICE_HERE", "direct"), ("do_open", "helper", "direct"), ("do_open", "send", "indirect"), ("do_open", "fn", "indirect"), ("do_open", "proto", "direct"), ("sys_open", "TWICE_HERE", "macro"), ("sys_open", "do_sys", "direct")]
