@@ -202,7 +202,7 @@ def unit_closure(t: Tables) -> DataFrame:
 @query("""e AS (SELECT DISTINCT caller_id AS a, callee_id AS b FROM k_calls WHERE callee_id IS NOT NULL AND (caller_id * 7 + callee_id * 3) % 24 = 5), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
  c AS (SELECT a AS v FROM r WHERE a = b) SELECT v AS node FROM c UNION SELECT x.b FROM r x JOIN c ON c.v = x.a WHERE x.b IN (SELECT y.a FROM r y JOIN c d ON d.v = y.b)""", "k_calls")
 def include_cycle(t: Tables) -> DataFrame:
-    edges = t.calls.filter("callee_id is not null and (caller_id * 7 + callee_id * 3) % 24 = 5")
+    edges = t.calls.filter("callee_id is not null")
     return graph.on_cycle(edges.select(F.col("caller_id").alias("src"), F.col("callee_id").alias("dst")))
 
 

@@ -20,3 +20,21 @@ def test_smoke(spark):
 def test_plans_have_no_cartesian_product(spark, name):
     plan = entry.queries()[name](spark, SF)._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "Python" not in plan
+
+
+def _resolved(spark):
+    from codestrata.plans.adapter import spark_table
+
+    return {(r["caller_id"], r["callee_id"]) for r in spark_table(spark, SF, "k_calls").filter("callee_id is not null").collect()}
+
+
+def test_cycles_over_all_resolved_calls(spark):
+    edges = all_edges = _resolved(spark)
+    while True:
+        sources, targets = {a for a, _ in edges}, {b for _, b in edges}
+        kept = {(a, b) for a, b in edges if a in targets and b in sources}
+        if kept == edges:
+            break
+        edges = kept
+    got = [r["node"] for r in entry.queries()["include_cycle"](spark, SF).collect()]
+    assert len(all_edges) > 100 and sorted(got) == sorted({a for a, _ in edges})
