@@ -38,3 +38,12 @@ def test_cycles_over_all_resolved_calls(spark):
         edges = kept
     got = [r["node"] for r in entry.queries()["include_cycle"](spark, SF).collect()]
     assert len(all_edges) > 100 and sorted(got) == sorted({a for a, _ in edges})
+
+
+def test_levels_over_all_resolved_calls(spark):
+    edges, want, frontier = _resolved(spark), {0: 0}, {0}
+    for level in (1, 2, 3):
+        frontier = {b for a, b in edges if a in frontier} - set(want)
+        want |= dict.fromkeys(frontier, level)
+    got = [(r["node"], r["level"]) for r in entry.queries()["bfs_depth3"](spark, SF).collect()]
+    assert len(want) > 1 and sorted(got) == sorted(want.items())
