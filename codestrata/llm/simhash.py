@@ -14,8 +14,8 @@ Equal fingerprints are one node. A bucket above ``block`` members is dealt into
 blocks, and what leaves a block is one star per component, never all pairs.
 
 Defined results: null text is empty text; empty texts share fingerprint 0; rows with the same
-doc_id are one node; a null doc_id gets its fingerprint and the component of its copies (null
-if there is none); extra columns are ignored; an empty table gives an empty result.
+doc_id are one node; a null doc_id gets its fingerprint and the component of what is linked to
+it (null if that holds no doc_id), and links others as any row does; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -174,17 +174,23 @@ def links(nodes: DataFrame, radius: int = RADIUS, block: int = 1024) -> DataFram
     return dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(_link_blocks(radius), "a long, b long")
 
 
-def simhash_components(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable) of each row of docs."""
+def _classes(docs: DataFrame, k: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of each row, and (f, root, component_id) of each fingerprint: the smallest fingerprint
+    of its component and the component's smallest doc_id, null if it has none."""
     fps = materialize(with_fingerprints(docs, k), "fps")
-    # A doc_id repeated with other text is still one node: each node's smallest row stands for it.
-    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("id"))
-    nodes = materialize(classes.filter("id is not null"), "nodes")
+    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    # A doc_id repeated with other text is still one node: its fingerprints are tied.
     tied = fps.filter("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("f1"), F.max("fp").alias("f2")).filter("f1 != f2")
-    tied = fps.join(tied.select("doc_id"), "doc_id").join(nodes, "fp").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    roots = components(links(nodes, radius).union(tied))
-    by_fp = nodes.join(roots, F.col("id") == F.col("node"), "left").select(F.col("fp").alias("f"), F.coalesce("root", "id").alias("component_id"))
-    return fps.join(by_fp, F.col("fp") == F.col("f"), "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    tied = fps.join(tied.select("doc_id", "f1"), "doc_id").select(F.col("fp").alias("a"), F.col("f1").alias("b"))
+    roots = components(links(nodes.select(F.col("fp").alias("id"), "fp"), radius).union(tied))
+    rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("f"), F.coalesce("root", "fp").alias("root"), "least")
+    return fps, rooted.select("f", "root").join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root")
+
+
+def simhash_components(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable) of each row of docs."""
+    fps, classes = _classes(docs, k, radius)
+    return fps.join(classes, F.col("fp") == F.col("f"), "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS) -> DataFrame:

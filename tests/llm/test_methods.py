@@ -94,6 +94,30 @@ def test_links_are_exact(spark, block):
     assert got == {k: v for k, v in union(pairs, range(len(fps))).items() if k != v}
 
 
+def near_texts(n, r):
+    """A text and variants of it, each 1 to 3 bits from the one before and more than 3 from all others."""
+    bits = lambda a, b: int(np.bitwise_count(simhash.fingerprints([a])[0] ^ simhash.fingerprints([b])[0]))
+    chain = [text_of(300, r)]
+    for _ in range(100_000):
+        words = chain[-1].split()
+        words[r.randrange(len(words))] = r.choice(WORDS)
+        new = " ".join(words)
+        if 1 <= bits(new, chain[-1]) <= 3 and all(bits(new, x) > 3 for x in chain[:-1]):
+            chain.append(new)
+            if len(chain) == n:
+                return chain
+    raise AssertionError("no such texts")
+
+
+def test_rows_without_id_link(spark):
+    r = random.Random(11)
+    a, b, c = near_texts(3, r)
+    rows = [(7, a), (None, b), (9, c), (None, text_of(200, r)), (4, text_of(200, r))]
+    got = {(r["doc_id"], r["fingerprint"]): r["component_id"] for r in simhash.simhash_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    at = lambda i: (rows[i][0], f"{simhash.fingerprints([rows[i][1]])[0]:016x}")
+    assert [got[at(i)] for i in range(5)] == [7, 7, 7, None, 4]  # 7 and 9 are linked through the row without doc_id only
+
+
 # 1 Embeddings
 
 @pytest.mark.parametrize("block", [16, 1024])
