@@ -195,23 +195,39 @@ def simhash_components(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS)
 
 def keep_one(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """docs with one row of each component, all columns kept: of its smallest doc_id, the first by
-    text where that id is repeated; of a group without doc_ids, the first by fingerprint and text."""
-    found = materialize(simhash_components(docs, k, radius), "components")
-    drop = found.filter("component_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias("__d")).distinct()
-    rows = docs.join(drop, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")), "left_anti")
-    # What is left has one doc_id per component; only repeated or null doc_ids can still be copies.
-    again = rows.groupBy(F.col("doc_id").cast("long").alias("__d")).agg(F.count("*").alias("n"), F.min("text").alias("__first")).filter("n > 1 or __d is null")
-    if again.isEmpty():
+    text where that id is repeated; of a component without doc_ids, the first by fingerprint and text."""
+    fps, classes = _classes(docs, k, radius)
+    classes = materialize(classes, "components")
+    key = F.col("doc_id").cast("long")
+    drop = fps.join(classes, F.col("fp") == F.col("f")).filter("doc_id != component_id").select(F.col("doc_id").alias("__d")).distinct()
+    rows = docs.filter(key.isNotNull()).join(drop, key == F.col("__d"), "left_anti")
+    # What is left has one doc_id per component; only repeated doc_ids can still be copies.
+    again = rows.groupBy(key.alias("__d")).agg(F.count("*").alias("n"), F.min("text").alias("__first")).filter("n > 1")
+    if not again.isEmpty():
+        rows = _first_rows(rows, again)
+    if fps.filter("doc_id is null").isEmpty():
         return rows
-    return _first_rows(rows, again)
+    return rows.unionByName(_without_id(docs.filter(key.isNull()), classes, k))
 
 
 def _first_rows(rows: DataFrame, again: DataFrame) -> DataFrame:
-    """Repeated doc_ids cut down to one row; rows without doc_id to one per text."""
+    """Repeated doc_ids cut down to one row."""
     key = F.col("doc_id").cast("long")
-    repeated = again.filter("__d is not null").select(F.col("__d"), F.col("__first"))
-    marked = rows.join(repeated.select("__d"), key == F.col("__d"), "left")
-    single = marked.filter(F.col("doc_id").isNotNull() & F.col("__d").isNull()).drop("__d")
+    repeated = again.select(F.col("__d"), F.col("__first"))
+    single = rows.join(repeated.select("__d"), key == F.col("__d"), "left_anti")
     double = rows.join(repeated, key == F.col("__d")).filter(F.col("text").eqNullSafe(F.col("__first"))).drop("__d", "__first").dropDuplicates(["doc_id"])
-    without = rows.filter(F.col("doc_id").isNull()).dropDuplicates(["text"])
-    return single.unionByName(double).unionByName(without)
+    return single.unionByName(double)
+
+
+def _without_id(rows: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """Of rows without doc_id, one of each component that has no doc_id."""
+
+    @F.arrow_udf("long")
+    def fp(texts: pa.Array) -> pa.Array:
+        return pa.array(fingerprints(texts.to_pylist(), k).view("int64"))
+
+    # A component's smallest fingerprint is its root, and a text has one fingerprint, so the text decides.
+    free = classes.filter("component_id is null and f = root").select("f")
+    texts = rows.select(F.col("text").alias("__t"), fp(F.col("text").cast("string")).alias("fp")).join(free, F.col("fp") == F.col("f"), "left_semi")
+    texts = texts.groupBy("fp").agg(F.min("__t").alias("__t")).select("__t")
+    return rows.join(texts, F.col("text").eqNullSafe(F.col("__t")), "left_semi").dropDuplicates(["text"])

@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, repeated rows, empty tables and clashing columns, for every operator and stage."""
 
 import os
+import random
 
 import numpy as np
 import pytest
@@ -74,6 +75,19 @@ def test_near_dedup_keeps_one_of_each(docs):
     assert sum(i in (2, 3, 6) for i in ids) == 1  # empty texts are linked
 
 
+def test_near_dedup_decides_rows_without_id_by_text(spark):
+    from test_methods import near_texts, text_of
+
+    r = random.Random(11)
+    a, b, c = near_texts(3, r)
+    alone, held = text_of(120, r), text_of(120, r)
+    rows = [(1, held, "named"), (None, held, "copy"), (None, alone, "alone"), (None, alone.upper(), "alone"), (None, a, "near"), (None, b, "near"), (None, c, "near"), (2, "", "empty"), (None, "", "copy"), (None, None, "copy")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted(r["source"] for r in simhash.keep_one(df).collect())
+    assert got == ["alone", "empty", "named", "near"]
+    assert sorted(r["source"] for r in simhash.keep_one(df.filter("doc_id is null")).collect()) == ["alone", "copy", "copy", "near"]  # held, and the empty texts
+
+
 def test_packing(docs):
     rows = packing.pack(docs, PATH).collect()
     assert len({(r["sequence_id"], r["offset"]) for r in rows}) == len(rows)
