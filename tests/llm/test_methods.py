@@ -224,6 +224,19 @@ def test_url_rules_and_models(spark):
     assert all(got[i]["verdict"] == ("block" if "casino" in urls[i] else "allow") for i in free)
 
 
+def test_url_models_count_urls(spark):
+    rows = [("ab.com/a", False, 5), ("cd.com/0", False, 1), ("casino.com/", True, 3), ("abcd.com/a", True, 1)]
+    model = lambda rows: {r["gram"]: r["diff"] for r in urlfilter.train(spark.createDataFrame(rows, "line string, bad boolean, n long")).collect()}
+    assert model(rows) == pytest.approx(model([(line, bad, 1) for line, bad, n in rows for _ in range(n)]))
+    r = random.Random(2)
+    for share in (0.002, 0.1, 0.5):
+        scored = [(r.choice([r.random(), 0.25, 0.75]), r.randint(1, 500)) for _ in range(80)]
+        total = sum(n for _, n in scored)
+        want = min(s for s, _ in scored if sum(n for x, n in scored if x > s) <= share * total)
+        assert urlfilter.cutoff_of(spark.createDataFrame(scored, "score double, n long"), share) == want
+    assert urlfilter.cutoff_of(spark.createDataFrame([], "score double, n long")) is None
+
+
 # 5 Licenses
 
 def test_licenses(spark):
