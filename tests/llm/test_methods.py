@@ -237,6 +237,14 @@ def test_url_models_count_urls(spark):
     assert urlfilter.cutoff_of(spark.createDataFrame([], "score double, n long")) is None
 
 
+def test_url_models_keep_all_ngrams(spark):
+    r = random.Random(3)
+    lines = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz0./-_~%") for _ in range(12)) for _ in range(8000)]
+    want = {("^^^" + x)[i : i + 4] for x in lines for i in range(len(x))}
+    model = urlfilter.train(spark.createDataFrame([(x, i % 2 == 0, 1) for i, x in enumerate(lines)], "line string, bad boolean, n long"))
+    assert len(want) > 60_000 and model.filter(F.length("gram") == 4).count() == len(want)
+
+
 # 5 Licenses
 
 def test_licenses(spark):
