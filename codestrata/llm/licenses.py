@@ -1,7 +1,9 @@
 """License scans: a trained paragraph classifier, confirmed by template comparison.
 
 A paragraph is a line. Only lines with an anchor (``ANCHOR``) can be license paragraphs: every
-family's notices hold one. Words are lower-case runs of letters and digits, ``.`` and ``-``
+family's notices hold one. Notices are wrapped too, so the words around each line end (as many on
+either side as the longest template has, up to a blank line) are judged likewise if they hold an
+anchor; a family found only so counts as one line. Words are lower-case runs of letters and digits, ``.`` and ``-``
 inside them included; features are the word 1- to 3-grams of the training paragraphs.
 
 Model: softmax regression with an unknown class, fitted on the driver to the notices below and
@@ -12,8 +14,9 @@ A prediction is confirmed if some template of the family has at least ``SIMILAR`
 five-word shingles in the line (a template of fewer words is one shingle). A line without
 family, below the needed probability or unconfirmed is of family ``unknown``.
 
-Equal lines are judged once. Weights and templates are bounded by the notices below and are
-broadcast. Texts are read once; what is kept of a document is its anchor lines.
+Equal lines and equal words around line ends are judged once. Weights and templates are bounded by the notices below and are
+broadcast. Texts are read once; what is kept of a document is its anchor
+lines and the words around line ends that hold an anchor.
 
 Defined results: null or empty text has one paragraph and no license; rows with equal doc_id
 and text get equal results; null doc_ids are kept; extra columns are ignored; an empty table
@@ -33,6 +36,7 @@ from codestrata.llm.shared import materialize
 
 LEAST, SIMILAR, SHINGLE, GRAMS, VARIANTS, UNKNOWN = 0.6, 0.8, 5, 3, 24, "unknown"
 ANCHOR = r"(?i)licen[cs]e|licensing|\bspdx\b|all rights reserved|public domain|copyright|permission is hereby granted|permission to use|redistribut|creative commons|warranty|warranties"
+ANYWHERE = ANCHOR.replace(" ", "[^a-z0-9]+")  # over line ends too
 WORD = r"[a-z0-9]+(?:[.\-][a-z0-9]+)*"
 
 #: The usual short notices of each family.
@@ -106,7 +110,7 @@ NOTICES = {
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "SPDX-License-Identifier: MPL-2.0",
     ],
-    "Proprietary": ["Confidential and proprietary. All rights reserved.", "All rights reserved. No part of this work may be reproduced without written permission."],
+    "Proprietary": ["All rights reserved.", "Confidential and proprietary. All rights reserved.", "All rights reserved. No part of this work may be reproduced without written permission."],
     "Unlicense": ["This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: Unlicense"],
 }
 #: Ordinary sentences that hold anchors; every third is held out for calibration.
@@ -233,6 +237,26 @@ def classify(lines: DataFrame) -> DataFrame:
     return near.select("norm", F.when(confirmed, F.col("guess")).otherwise(UNKNOWN).alias("family"), "probability", "similarity")
 
 
+def _wrapped(text: Column) -> Column:
+    """The distinct normalised words around line ends inside runs of non-blank lines that hold an anchor."""
+    reach = max(len(words_of(x)) for xs in NOTICES.values() for x in xs)
+    is_end = lambda t: t.startswith("\n")
+
+    def around(tokens: Column) -> Column:
+        # Line ends never follow each other, so twice the reach holds enough words.
+        def window(i: Column) -> Column:
+            before = F.filter(F.slice(tokens, F.greatest(F.lit(1), i - 2 * reach), F.least(i - 1, F.lit(2 * reach))), lambda t: ~is_end(t))
+            after = F.filter(F.slice(tokens, i + 1, F.lit(2 * reach)), lambda t: ~is_end(t))
+            return F.array_join(F.concat(F.slice(before, F.greatest(F.lit(1), F.size(before) - reach + 1), F.lit(reach)), F.slice(after, 1, reach)), " ")
+
+        ends = F.filter(F.transform(tokens, lambda t, i: F.when(is_end(t) & (i > 0), i + 1)), lambda i: i.isNotNull())
+        return F.transform(ends, window)
+
+    runs = F.filter(F.split(F.lower(text), r"\n[ \t\r\x0B\f]*\n", -1), lambda x: x.contains("\n") & x.rlike(ANYWHERE))
+    tokens = F.transform(runs, lambda x: F.regexp_extract_all(x, F.lit(rf"{WORD}|\n(?:[^a-z0-9]*\n)*"), F.lit(0)))
+    return F.array_distinct(F.filter(F.flatten(F.transform(tokens, around)), lambda x: x.rlike(ANCHOR)))
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """A row per row of docs: doc_id, n_paragraphs, n_candidates, license (the family of most lines, null
     if none was confirmed), families (all, sorted), probability and similarity of the best line."""
@@ -241,12 +265,13 @@ def scan(docs: DataFrame) -> DataFrame:
     lines = F.split("text", "\n", -1)
     candidates = F.when(F.col("text").rlike(ANCHOR), F.filter(lines, lambda x: x.rlike(ANCHOR))).otherwise(F.array().cast("array<string>"))
     norms = F.filter(F.transform(candidates, lambda x: F.array_join(F.regexp_extract_all(F.lower(x), F.lit(WORD), F.lit(0)), " ")), lambda x: x != "")
-    rows = materialize(rows.select("doc_id", F.xxhash64("text").alias("tid"), F.size(lines).cast("long").alias("n_paragraphs"), norms.alias("norms")), "anchors")
-    each = rows.select("doc_id", "tid", F.explode("norms").alias("norm"))
+    wrapped = F.when(F.col("text").rlike(ANYWHERE), _wrapped(F.col("text"))).otherwise(F.array().cast("array<string>"))
+    rows = materialize(rows.select("doc_id", F.xxhash64("text").alias("tid"), F.size(lines).cast("long").alias("n_paragraphs"), norms.alias("norms"), wrapped.alias("wrapped")), "anchors")
+    each = rows.select("doc_id", "tid", F.explode("norms").alias("norm"), F.lit(1).alias("lines")).union(rows.select("doc_id", "tid", F.explode("wrapped"), F.lit(0)))
     judged = materialize(classify(each.select("norm").distinct()), "families").withColumnRenamed("norm", "known")
     # Written, so that both sides are dealt anew and a line that most documents hold can be split.
     found = each.join(judged, F.col("norm") == F.col("known")).filter(F.col("family") != UNKNOWN)
-    count = found.groupBy("doc_id", "tid", "family").agg(F.count("*").alias("n"), F.max("probability").alias("p"), F.max("similarity").alias("s"))
+    count = found.groupBy("doc_id", "tid", "family").agg(F.greatest(F.lit(1), F.sum("lines")).alias("n"), F.max("probability").alias("p"), F.max("similarity").alias("s"))
     by_doc = count.groupBy(F.col("doc_id").alias("d"), F.col("tid").alias("t")).agg(F.max_by("family", F.struct("n", "p", "s", "family")).alias("license"), F.array_sort(F.collect_set("family")).alias("families"), F.max("p").alias("probability"), F.max("s").alias("similarity"))
     out = rows.join(by_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tid") == F.col("t")), "left")
     return out.select("doc_id", "n_paragraphs", F.size("norms").cast("long").alias("n_candidates"), "license", F.array_join("families", ",").alias("families"), "probability", "similarity")

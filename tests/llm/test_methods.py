@@ -258,6 +258,22 @@ def test_licenses(spark):
     assert all(re.search(licenses.ANCHOR, n) for ns in licenses.NOTICES.values() for n in ns if not n.startswith("under the terms") and not n.startswith("You may") and not n.startswith("made available"))
 
 
+def test_short_and_wrapped_notices(spark):
+    prose, r = " ".join(WORDS[:12]), random.Random(4)
+    texts = {
+        "All rights reserved.": "Proprietary",
+        f"{prose}\nAll rights\nreserved.\n{prose}": "Proprietary",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files": "MIT",
+        f"{prose}\n * Permission is hereby\n * granted, free of charge, to any\n * person obtaining a copy of\n *\n * this software and associated\n * documentation files\n{prose}": "MIT",
+        f"{text_of(90, r)}\nThis work is licensed under the GNU General Public\nLicense, version 3.\n{text_of(90, r)}": "GPL-3.0",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy\n\nof this software and associated documentation files": None,
+        f"{prose}\nHis driving license was suspended\nby the board.\n{prose}": None,
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: x["license"] for x in licenses.scan(df).collect()}
+    assert got == dict(enumerate(texts.values()))
+
+
 # 6 Packing
 
 def test_encoder():
