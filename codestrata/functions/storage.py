@@ -13,10 +13,13 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where that is unset (local runs)."""
+    """spark.checkpoint.dir, or a temporary folder where that is unset and the driver is the only machine."""
     global _own_dir
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="codestrata-")
     return f"file://{_own_dir}"
