@@ -14,8 +14,8 @@ by weight until none is above. Solved in one pass: the targets are min(most * S,
 and sorting by S / weight gives x from running sums.
 
 Defined results: null text has size 0; null sources are one source; documents with equal
-doc_id share their hash; a null doc_id is hashed as the empty string; extra columns are kept
-by ``mix``; a source of size 0 has target 0; an empty table gives an empty result.
+doc_id share their hash; a null doc_id is hashed as the empty string; extra columns, of any
+names, are kept by ``mix``; a source of size 0 has target 0; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -96,28 +96,28 @@ def plan(rows: DataFrame, **how) -> DataFrame:
 
 
 def _with_copies(docs: DataFrame, sources: DataFrame) -> DataFrame:
-    """docs with __copies, __source_size, __target. sources has a row per source; up to BROADCAST of them are
-    broadcast, so that no text moves; more are joined by source."""
+    """(row, source_size, target, copies): docs' rows as structs. sources has a row per source; up to BROADCAST
+    of them are broadcast, so that no text moves; more are joined by source."""
     sources = materialize(sources, "plan")
     if sources.count() <= BROADCAST:
         sources = F.broadcast(sources)
-    p = sources.select(F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("whole").alias("__whole"), F.col("cut").alias("__cut"))
-    joined = docs.join(p, F.col("source").cast("string").eqNullSafe(F.col("__source")), "left")
-    copies = F.col("__whole") + F.when(draw(F.col("doc_id")) < F.col("__cut"), 1).otherwise(0)
-    return joined.withColumn("__copies", copies.cast("int"))
+    p = sources.select(F.col("source").alias("s"), "source_size", "target", "whole", "cut")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("source").cast("string").alias("of"), draw(F.col("doc_id")).alias("u"))
+    joined = rows.join(p, F.col("of").eqNullSafe(F.col("s")), "left")
+    return joined.select("row", "source_size", "target", (F.col("whole") + F.when(F.col("u") < F.col("cut"), 1).otherwise(0)).cast("int").alias("copies"))
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """The mix: each row of docs as often as it goes in (0, 1 or 2 times), all columns kept."""
-    rows = _with_copies(docs, plan(sized(docs), **how)).filter("__copies > 0")
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    rows = _with_copies(docs, plan(sized(docs), **how)).filter("copies > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def mix_report(docs: DataFrame, **how) -> DataFrame:
     """doc_id, size, source_size, target, taken and copies of each row of docs."""
     narrow = sized(docs)
     rows = _with_copies(narrow, plan(narrow, **how))
-    return rows.select("doc_id", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("size") * F.col("__copies")).alias("taken"), F.col("__copies").alias("copies"))
+    return rows.select("row.doc_id", "row.size", "source_size", "target", (F.col("row.size") * F.col("copies")).alias("taken"), "copies")
 
 
 ORACLE = r"""

@@ -23,10 +23,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.llm.shared import components, materialize, stars
+from codestrata.llm.shared import apart, components, materialize, stars
 
 SHINGLE, RADIUS, BITS, SEED = 3, 3, 64, 42
 
@@ -75,17 +75,23 @@ def fingerprints(texts: list[str | None], k: int = SHINGLE) -> np.ndarray:
     return out
 
 
+def text_key(text: Column) -> Column:
+    """Names a text: 128 hash bits; null and empty text are one."""
+    return F.md5(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def with_fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """(doc_id long, fp long) of each row."""
+    """(doc_id long, text_key string, fp long) of each row."""
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(1)
+            texts = batch.column(2)
             for at in range(0, batch.num_rows, 512):
                 fps = fingerprints(texts.slice(at, 512).to_pylist(), k)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 512), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, 512) for c in (0, 1)), pa.array(fps.view(np.int64))], ["doc_id", "text_key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, text_key string, fp long")
 
 
 def _link_blocks(radius: int):
@@ -194,40 +200,33 @@ def simhash_components(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS)
 
 
 def keep_one(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """docs with one row of each component, all columns kept: of its smallest doc_id, the first by
-    text where that id is repeated; of a component without doc_ids, the first by fingerprint and text."""
+    """docs with one row of each component, all columns kept: the smallest doc_id's (rows without
+    doc_id come last), of several by fingerprint, text hash and the row as JSON.
+
+    Texts stay where they are: what goes is decided on (doc_id, text hash), and only rows that a
+    bit table can't clear meet the list of what goes.
+    """
     fps, classes = _classes(docs, k, radius)
-    classes = materialize(classes, "components")
-    key = F.col("doc_id").cast("long")
-    drop = fps.join(classes, F.col("fp") == F.col("f")).filter("doc_id != component_id").select(F.col("doc_id").alias("__d")).distinct()
-    rows = docs.filter(key.isNotNull()).join(drop, key == F.col("__d"), "left_anti")
-    # What is left has one doc_id per component; only repeated doc_ids can still be copies.
-    again = rows.groupBy(key.alias("__d")).agg(F.count("*").alias("n"), F.min("text").alias("__first")).filter("n > 1")
-    if not again.isEmpty():
-        rows = _first_rows(rows, again)
-    if fps.filter("doc_id is null").isEmpty():
-        return rows
-    return rows.unionByName(_without_id(docs.filter(key.isNull()), classes, k))
-
-
-def _first_rows(rows: DataFrame, again: DataFrame) -> DataFrame:
-    """Repeated doc_ids cut down to one row."""
-    key = F.col("doc_id").cast("long")
-    repeated = again.select(F.col("__d"), F.col("__first"))
-    single = rows.join(repeated.select("__d"), key == F.col("__d"), "left_anti")
-    double = rows.join(repeated, key == F.col("__d")).filter(F.col("text").eqNullSafe(F.col("__first"))).drop("__d", "__first").dropDuplicates(["doc_id"])
-    return single.unionByName(double)
-
-
-def _without_id(rows: DataFrame, classes: DataFrame, k: int) -> DataFrame:
-    """Of rows without doc_id, one of each component that has no doc_id."""
-
-    @F.arrow_udf("long")
-    def fp(texts: pa.Array) -> pa.Array:
-        return pa.array(fingerprints(texts.to_pylist(), k).view("int64"))
-
-    # A component's smallest fingerprint is its root, and a text has one fingerprint, so the text decides.
-    free = classes.filter("component_id is null and f = root").select("f")
-    texts = rows.select(F.col("text").alias("__t"), fp(F.col("text").cast("string")).alias("fp")).join(free, F.col("fp") == F.col("f"), "left_semi")
-    texts = texts.groupBy("fp").agg(F.min("__t").alias("__t")).select("__t")
-    return rows.join(texts, F.col("text").eqNullSafe(F.col("__t")), "left_semi").dropDuplicates(["text"])
+    # The first row of each fingerprint, then of each component; both are minima with map-side combining.
+    order = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "fp", "text_key")
+    firsts = fps.groupBy("fp").agg(F.min(order).alias("first")).join(classes.select("f", "root"), F.col("fp") == F.col("f"))
+    firsts = firsts.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("d"), F.col("first.text_key").alias("t"))
+    keys = fps.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).withColumn("key", F.xxhash64("doc_id", "text_key"))
+    kept = keys.join(firsts.withColumn("mine", F.lit(True)), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t")), "left")
+    touched = materialize(kept.filter("mine is null or n > 1").select("key", F.col("doc_id").alias("__d"), F.col("text_key").alias("__t"), F.col("mine").isNotNull().alias("__kept")), "touched")
+
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"))
+    clear, rest = apart(rows.withColumn("key", F.xxhash64("doc_id", "text_key")), "key", touched.select("key"))
+    rest = rest.drop("key").join(touched.drop("key"), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("text_key") == F.col("__t")), "left")
+    out = clear.select("row").union(rest.filter("__kept is null").select("row"))
+    if not touched.filter("__kept").isEmpty():
+        out = out.union(_one_each(rest.filter("__kept").select("row", "doc_id", "text_key")))
+    return out.select("row.*")
+
+
+def _one_each(rows: DataFrame) -> DataFrame:
+    """The first row, as JSON, of each (doc_id, text_key): rows that repeat."""
+    json = F.to_json("row")
+    first = rows.groupBy(F.col("doc_id").alias("d"), F.col("text_key").alias("t")).agg(F.min(json).alias("j"))
+    same = rows.join(first, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t")) & (json == F.col("j")))
+    return same.dropDuplicates(["doc_id", "text_key"]).select("row")

@@ -16,7 +16,7 @@ probability by a logistic fit on labelled documents. Labels, lang, source and do
 inputs of a score; rows with crc32(doc_id as text) mod 3 = 1 take no part in any fit.
 
 The fit takes a bounded sample of labelled rows, the ``PER_CLASS`` of each class with the
-smallest hash; the model is at most ``VOCABULARY`` tokens.
+smallest hash; that bounds the tokens of the model, all of which are kept.
 
 Defined results: null text is empty text, which has no passage and the lowest score; null
 doc_ids are not held out and have no label; a doc_id labelled twice is toxic if one label says
@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 
 from codestrata.llm.shared import materialize
 
-PER_CLASS, VOCABULARY, CUTOFF = 12_000, 20_000, 0.7
+PER_CLASS, CUTOFF = 12_000, 0.7
 PRIOR, MIN_G2, MIN_COUNT, EXPECTED = 1000.0, 25.0, 4, 0.05
 TOKEN = re.compile(r"\w+")
 
@@ -107,12 +107,12 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
-    """(toxic, text) of the bounded labelled sample, exact copies of a text once."""
+    """(toxic, text) of the bounded labelled sample, exact copies of a text once, toxic if one of them is."""
     known = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").alias("toxic")).filter(~held_out(F.col("id")))
     order = F.xxhash64("id")
     sample = known.filter("toxic = 1").orderBy(order, "id").limit(per_class).union(known.filter("toxic = 0").orderBy(order, "id").limit(per_class))
     sample = docs.select(F.col("doc_id").cast("long").alias("d"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), F.col("d") == F.col("id"))  # 2 * per_class rows at most
-    return materialize(sample.filter("text is not null").dropDuplicates(["text"]).select(F.col("toxic").cast("int").alias("toxic"), "text"), "labelled")
+    return materialize(sample.filter("text is not null").groupBy("text").agg(F.max(F.col("toxic").cast("int")).alias("toxic")).select("toxic", "text"), "labelled")
 
 
 def _count(batches):
@@ -127,7 +127,7 @@ def _count(batches):
         yield pa.RecordBatch.from_pydict({"token": pa.array(part, pa.string()), "t": pa.array([seen[1][w] for w in part], pa.int64()), "c": pa.array([seen[0][w] for w in part], pa.int64())})
 
 
-def log_odds(sample: DataFrame, vocabulary: int = VOCABULARY) -> Model | None:
+def log_odds(sample: DataFrame) -> Model | None:
     counts = materialize(sample.mapInArrow(_count, "token string, t long, c long").groupBy("token").agg(F.sum("t").alias("t"), F.sum("c").alias("c")), "counts")
     n = counts.agg(F.sum("t"), F.sum("c")).first()
     if not n[0] or not n[1]:
@@ -141,7 +141,7 @@ def log_odds(sample: DataFrame, vocabulary: int = VOCABULARY) -> Model | None:
         return F.when(n > 0, n * F.log(n / expected)).otherwise(0.0)
 
     g2 = 2 * (part(F.col("t"), both * nt / total) + part(F.col("c"), both * nc / total))
-    picked = counts.withColumns({"odds": odds, "g2": g2}).filter((F.col("odds") > 0) & (F.col("g2") >= MIN_G2) & (F.col("t") >= MIN_COUNT)).orderBy(F.desc("g2"), "token").limit(vocabulary).collect()
+    picked = counts.withColumns({"odds": odds, "g2": g2}).filter((F.col("odds") > 0) & (F.col("g2") >= MIN_G2) & (F.col("t") >= MIN_COUNT)).orderBy(F.desc("g2"), "token").collect()  # tokens of 2 * per_class documents at most
     scores = {r["token"]: float(r["odds"]) for r in picked}
     qt, qc = sum(r["t"] for r in picked) / nt, sum(r["c"] for r in picked) / nc
     rest = math.log(max(1e-9, 1 - qt) / max(1e-9, 1 - qc))

@@ -2,6 +2,7 @@
 
 import os
 import random
+import time
 
 import numpy as np
 import pytest
@@ -23,7 +24,7 @@ ROWS = [
     (6, " \n\t\r\n", "fr", "s3", 1),
     (7, "é€😀 <|endoftext|> \x0b tab\tx", "es", "s3", 1),
 ]
-CLASH = ["score", "kept", "size", "line", "fp", "id", "row", "rank", "n", "word", "__x"]
+CLASH = ["score", "kept", "size", "line", "fp", "id", "row", "rank", "n", "word", "__x", "__d", "__t", "__doc", "__tid", "__dropped", "__source", "__cut", "__copies", "__row", "key", "text_key", "copies", "dropped", "tid", "s", "of", "whole"]
 PATH = public_tokenizers.path(packing.TOKENIZER)
 
 
@@ -88,6 +89,28 @@ def test_near_dedup_decides_rows_without_id_by_text(spark):
     assert sorted(r["source"] for r in simhash.keep_one(df.filter("doc_id is null")).collect()) == ["alone", "copy", "copy", "near"]  # held, and the empty texts
 
 
+def test_near_dedup_keeps_unique_texts_without_id(spark):
+    rows = [(1, "one text of its own", "a"), (None, "one text of its own", "b"), (None, "another text that nobody copies", "c"), (2, "a third text, quite unlike the rest", "d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __d string")
+    assert sorted(r["__d"] for r in simhash.keep_one(df).collect()) == ["a", "c", "d"]
+
+
+def test_near_dedup_orders_repeated_rows(spark):
+    rows = [(1, "same text here", "z"), (1, "same text here", "b"), (1, "same text here", "k"), (None, "alone", "y"), (None, "alone", "x"), (4, None, "u"), (4, "", "t")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for part in (1, 5):
+        assert sorted(r["source"] for r in simhash.keep_one(df.repartition(part)).collect()) == ["b", "u", "x"]  # null columns are left out of the JSON
+
+
+def test_long_document_of_lines(spark):
+    lines = [f"this long line number {i} is in several of the documents" if i % 2 else f"own {i}" for i in range(100_000)]
+    rows = [(d, "\n".join(lines)) for d in range(5)]
+    began = time.perf_counter()
+    got = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert time.perf_counter() - began < 60
+    assert {r["doc_id"]: r["text"] for r in got} == {d: t if d == 4 else "\n".join(lines[::2]) for d, t in rows}
+
+
 def test_packing(docs):
     rows = packing.pack(docs, PATH).collect()
     assert len({(r["sequence_id"], r["offset"]) for r in rows}) == len(rows)

@@ -297,9 +297,36 @@ def test_plans_use_every_piece_once(hist):
         for k in lengths:
             used[k] += n
     assert used == Counter(hist)
-    bound = -(-sum(k * n for k, n in hist.items()) // 64)
-    big = sum(n for k, n in hist.items() if k > 32)
-    assert sum(n for _, n in plan) <= 1.25 * max(bound, big) + 1
+    assert sum(n for _, n in plan) <= first_fit(hist, 64)
+
+
+def first_fit(hist, capacity):
+    """Sequences that first fit, longest first, needs: what the plan may never exceed."""
+    room = []
+    for k in sorted(hist, reverse=True):
+        for _ in range(hist[k]):
+            at = next((i for i, r in enumerate(room) if r >= k), None)
+            if at is None:
+                room.append(capacity - k)
+            else:
+                room[at] -= k
+    return len(room)
+
+
+@pytest.mark.parametrize("capacity, hist", [(64, {22: 23}), (64, {33: 7}), (64, {64: 3}), (64, {21: 10}), (64, {1: 65}), (10, {6: 2, 4: 2, 3: 2, 2: 1}), (10, {5: 3, 7: 1, 3: 1}), (12, {7: 1, 6: 2, 5: 1, 4: 2, 2: 2})])
+def test_plans_are_best_on_small_histograms(capacity, hist):
+    def best(left, bins):
+        """The fewest sequences, by trying every place of every piece."""
+        if not left:
+            return len(bins)
+        k, rest, found = left[0], left[1:], len(bins) + len(left)
+        for i in {r: i for i, r in enumerate(bins) if r >= k}.values():
+            found = min(found, best(rest, [*bins[:i], bins[i] - k, *bins[i + 1 :]]))
+        return min(found, best(rest, [*bins, capacity - k])) if len(bins) + 1 <= found else found
+
+    pieces = sorted((k for k, n in hist.items() for _ in range(n)), reverse=True)
+    want = -(-len(pieces) // (capacity // pieces[0])) if len(hist) == 1 else best(pieces, [])
+    assert sum(n for _, n in packing.make_plan(hist, capacity)) == want
 
 
 def test_many_small_documents_fill_up():
