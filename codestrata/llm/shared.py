@@ -50,14 +50,14 @@ def apart(rows: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFr
     return marked.filter("not __maybe").select(*rows.columns), marked.filter("__maybe").select(*rows.columns)
 
 
-def join_hot(left: DataFrame, right: DataFrame, on: list[str], n: str, total: int) -> DataFrame:
-    """The inner join of left with right, whose keys are unique and have ``n`` rows each in left, of ``total`` altogether.
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], n: str, total: int, how: str = "inner") -> DataFrame:
+    """The inner or left join of left with right, whose keys are unique and have ``n`` rows each in left, of ``total`` altogether.
 
     Keys with over total / HOT_SHARE rows, fewer than HOT_SHARE therefore, are broadcast: their
     rows stay where they are. No other key is large enough to hold a task up. Both are read twice.
     """
     hot = right.filter(F.col(n) > total / HOT_SHARE)
-    rest = left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(right.filter(F.col(n) <= total / HOT_SHARE), on)
+    rest = left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(right.filter(F.col(n) <= total / HOT_SHARE), on, how)
     return left.join(F.broadcast(hot), on).unionByName(rest)
 
 
