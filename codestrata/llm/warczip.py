@@ -9,7 +9,11 @@ without an index is walked record by record.
 
 Files are reached through Arrow's file systems, so a package may lie in any shared store.
 Writers give every attempt its own file name; only files named in the written manifest count,
-so a lost or repeated task leaves nothing that is read.
+so a lost or repeated task leaves nothing that is read. A package takes records up to
+``PACKAGE`` bytes of payload; packages are read by as many tasks as there are packages.
+
+Which payloads repeat is decided on digests. A payload moves only if a bit table can't clear it
+of being one of them, and not even then if its digest is among the very frequent ones.
 
 Defined results: null html is an empty payload; payloads of at least ``MIN_BYTES`` bytes that
 occur more than once have one response, at the largest page_id; a null page_id is never that
@@ -33,9 +37,9 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.llm.shared import fresh_path, materialize
+from codestrata.llm.shared import apart, fresh_path, join_hot, materialize
 
-MIN_BYTES = 1000
+MIN_BYTES, PACKAGE = 1000, 256 << 20
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 EOCD, EOCD64, LOCATOR, CENTRAL, LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
 
@@ -217,22 +221,26 @@ def read_records(uri: str):
 
 
 def decided(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """page_id, url, html with __size, __sha1, __kind and __refers."""
+    """page_id, url, html, size, sha1, kind and refers of each row of pages."""
     body = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("html")).withColumn("__size", F.octet_length("html").cast("long")).withColumn("__sha1", F.sha1(F.col("html").cast("binary")))
-    narrow = rows.filter(F.col("__size") >= min_bytes).select("__sha1", "page_id")
-    repeated = narrow.groupBy("__sha1").agg(F.count("*").alias("n"), F.max("page_id").alias("__top")).filter("n > 1").select(F.col("__sha1").alias("__d"), "__top")
-    joined = rows.join(repeated, (F.col("__sha1") == F.col("__d")) & (F.col("__size") >= min_bytes), "left")
-    revisit = F.col("__top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("__top"))
-    return joined.select("page_id", "url", "html", "__size", "__sha1", F.when(revisit, "revisit").otherwise("response").alias("__kind"), F.when(revisit, F.col("__top")).alias("__refers"))
-
-
-def write_packages(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """Writes a package per task under folder; returns the written manifest (path, records)."""
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("html"))
+    rows = rows.withColumn("size", F.octet_length("html").cast("long")).withColumn("sha1", F.sha1(F.col("html").cast("binary")))
+    large = F.col("size") >= min_bytes
+    counts = materialize(rows.filter(large).groupBy("sha1").agg(F.count("*").alias("n"), F.max("page_id").alias("top")), "digests")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    repeated = materialize(counts.filter("n > 1"), "repeated")
+    clear, rest = apart(rows.withColumn("key", F.when(large, F.xxhash64("sha1"))), "key", repeated.select(F.xxhash64("sha1").alias("key")))
+    rest = join_hot(rest.drop("key"), repeated, ["sha1"], "n", total, "left")
+    both = clear.drop("key").withColumn("top", F.lit(None).cast("long")).withColumn("n", F.lit(None).cast("long")).unionByName(rest)
+    # A digest whose page_ids are all null has n, but no top: its rows are all the response.
+    revisit = F.col("n").isNotNull() & F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top"))
+    return both.select("page_id", "url", "html", "size", "sha1", F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, F.col("top")).alias("refers"))
+
+
+def write_packages(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES, package: int = PACKAGE) -> DataFrame:
+    """Writes each task's records as packages under folder; returns the written manifest (path, records)."""
 
     def run(batches):
-        path, n = f"{folder}/{uuid.uuid4().hex}.wacz", 0
-
         def rows():
             for batch in batches:
                 for at in range(0, batch.num_rows, 256):
@@ -240,9 +248,17 @@ def write_packages(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES) ->
                     for page, url, html, size, sha1, kind, refers in zip(*(part.column(c).to_pylist() for c in range(7))):
                         yield page, url, kind, b"" if kind == "revisit" else html.encode("utf-8"), size, sha1, refers
 
-        first = next(records := rows(), None)
-        if first is not None:
-            n = write_package(path, (r for rs in ([first], records) for r in rs))
+        def up_to(first, records):
+            yield first
+            held = len(first[3])
+            while held < package and (record := next(records, None)) is not None:
+                yield record
+                held += len(record[3])
+
+        records = rows()
+        while (first := next(records, None)) is not None:
+            path = f"{folder}/{uuid.uuid4().hex}.wacz"
+            n = write_package(path, up_to(first, records))
             yield pa.RecordBatch.from_pydict({"path": pa.array([path], pa.string()), "records": pa.array([n], pa.int64())})
 
     return materialize(decided(pages, min_bytes).mapInArrow(run, "path string, records long"), "manifest")
@@ -275,7 +291,7 @@ def read_packages(manifest: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kinds)], schema=kinds)
 
-    spread = manifest.select("path").repartition("path")
+    spread = manifest.select("path").repartition(max(1, manifest.count()))  # numbered, so that small rows aren't merged into one task
     return spread.mapInArrow(run, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string")
 
 
