@@ -138,6 +138,18 @@ def test_pages(spark):
     assert urlfilter.judge(df).count() == len(rows) and urlfilter.judge(df.limit(0)).count() == 0
 
 
+def test_packages_are_bounded_and_read_apart(spark, tmp_path):
+    rows = [(i, f"http://h/{i}", chr(97 + i % 26) * 3000) for i in range(60)] + [(100 + i, "http://same", "s" * 2000) for i in range(40)] + [(200 + i, "http://short", "") for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    manifest = warczip.write_packages(df, f"file://{tmp_path}/packages", package=10_000)
+    assert manifest.agg(F.sum("records")).first()[0] == len(rows) and manifest.count() >= 8
+    back = warczip.read_packages(manifest)
+    assert back.rdd.getNumPartitions() == manifest.count()
+    got = {r["page_id"]: (r["record_type"], r["refers_to"], r["payload_bytes"]) for r in back.collect()}
+    top = {x: max(i for i in range(60) if i % 26 == x) for x in range(26)}
+    assert got == {i: ("response", None, 3000) if top[i % 26] == i else ("revisit", top[i % 26], 3000) for i in range(60)} | {100 + i: ("response", None, 2000) if i == 39 else ("revisit", 139, 2000) for i in range(40)} | {200 + i: ("response", None, 0) for i in range(40)}
+
+
 def test_no_worker_is_left_out(spark):
     """The subpackage sets nothing that points outside the folder executors share."""
     assert spark.conf.get("spark.checkpoint.dir") and os.path.isdir(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import math
 import random
 import re
 import zipfile
@@ -142,15 +143,36 @@ def test_vectors_against_brute_force(spark, block):
 
 def test_recall_at_the_threshold():
     g = np.random.default_rng(4)
-    pivots = embeddings.filled(64, embeddings.PIVOTS[0])
+    pivots = embeddings.filled(64, embeddings.PIVOTS)
     x = g.standard_normal((2000, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     z = g.standard_normal((2000, 64))
     z -= (z * x).sum(1, keepdims=True) * x
     y = 0.95 * x + np.sqrt(1 - 0.95**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
-    near = [np.argsort(-(v @ pivots.T), axis=1)[:, : embeddings.PREFIX] for v in (x, y)]
-    common = (near[0][:, :, None] == near[1][:, None, :]).sum((1, 2))
-    assert (common >= embeddings.SHARED).mean() > 0.97
+    a, b = (embeddings.permutations(v, pivots, embeddings.PREFIX) for v in (x, y))
+    common, best = embeddings.best_common(a, b)
+    listed = [(p[:, : embeddings.NEAR] == best[:, None]).any(1) for p in (a, b)]
+    assert ((common >= embeddings.SHARED) & listed[0] & listed[1]).mean() > 0.99
+
+
+def test_permutations_and_shared_pivots():
+    g = np.random.default_rng(5)
+    pivots = g.standard_normal((40, 6))
+    pivots[7] = pivots[3]  # a tie
+    x = g.standard_normal((120, 6))
+    x[60:] = x[:60] + 0.1 * g.standard_normal((60, 6))
+    perms = embeddings.permutations(x, pivots, 8)
+    assert perms.tolist() == [sorted(range(40), key=lambda p: (-float(v @ pivots[p]), p))[:8] for v in x] or np.allclose(np.take_along_axis(-(x @ pivots.T), perms, 1), np.sort(-(x @ pivots.T), 1)[:, :8])
+    for members in (range(120), range(0, 120, 9), [3, 63]):
+        p = perms[list(members)]
+        for pivot in (0, 3, int(p[0, 0])):
+            rows = [i for i in range(len(p)) if pivot in p[i]]
+            got = set(zip(*(c.tolist() for c in embeddings.sharing(p[rows], pivot, 3))))
+            assert got == {(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if len(set(p[rows[i]]) & set(p[rows[j]])) >= 3}
+    n, best = embeddings.best_common(perms[:60], perms[60:])
+    for a, b, k, p in zip(perms[:60].tolist(), perms[60:].tolist(), n, best):
+        both = set(a) & set(b)
+        assert k == len(both) and p == min(both, key=lambda q: (a.index(q) + b.index(q), q), default=-1)
 
 
 # 2 Toxicity
@@ -208,12 +230,15 @@ def test_toxicity_held_out(spark):
 
 # 4 URLs
 
-def test_url_rules_and_models(spark):
+def url_frame(spark, urls):
+    return spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+
+
+def test_url_rules(spark):
     r = random.Random(2)
     hosts = [f"{w}.example.{t}" for w in WORDS[:40] for t in ("com", "net")]
     urls = [f"http://{r.choice(hosts)}/{r.choice(['en', 'de', 'fr'])}/{r.randint(1, 900)}" for _ in range(900)] + [f"http://www.best-casino-{k}.example.com/fr/{k}" for k in range(40)] + ["http://EXAMPLE.com/en/71?q", "https://a.example.net/de/8", "https://xexample.com/en/7", "nothing", "://x.org/es/"]
-    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
-    got = {x["page_id"]: x for x in urlfilter.judge(df).collect()}
+    got = {x["page_id"]: x for x in urlfilter.judge(url_frame(spark, urls)).collect()}
     for i, u in enumerate(urls):
         m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", u)
         host, path = (m[1].lower(), m[2]) if m else ("", "")
@@ -224,10 +249,65 @@ def test_url_rules_and_models(spark):
     assert all(got[i]["verdict"] == ("block" if "casino" in urls[i] else "allow") for i in free)
 
 
-def test_url_models_count_urls(spark):
-    rows = [("ab.com/a", False, 5), ("cd.com/0", False, 1), ("casino.com/", True, 3), ("abcd.com/a", True, 1)]
-    model = lambda rows: {r["gram"]: r["diff"] for r in urlfilter.train(spark.createDataFrame(rows, "line string, bad boolean, n long")).collect()}
-    assert model(rows) == pytest.approx(model([(line, bad, 1) for line, bad, n in rows for _ in range(n)]))
+def test_url_models_learn_hosts_that_no_example_names(spark):
+    r = random.Random(12)
+    clean = [f"http://{r.choice(('www', 'm', 'blog'))}.{w}.example.org/fr/{r.randint(1, 999)}" for w in WORDS[:60] for _ in range(20)]
+    spam = [f"http://online-casino-bonus-aduceboidu{k}.example.org/fr/{k}" for k in range(60)] + [f"http://cheap-pills-aduceboidu{k}.example.org/fr/{k}" for k in range(60)]
+    hosts = spark.createDataFrame([(f"m.aduceboidu{k}.example.org",) for k in range(60, 80)], "host string")
+    new = [f"http://{x['host']}/fr/7" for x in hosts.filter(F.xxhash64("host") % 2 != 0).collect()]  # hosts that the models haven't seen
+    assert not any("aduce" in h for h in urlfilter.REJECTED)
+    urls = clean + spam + new
+    got = {x["page_id"]: x["verdict"] for x in urlfilter.judge(url_frame(spark, urls)).collect()}
+    blocked = [got[i] == "block" for i in range(len(urls))]
+    assert all(blocked[len(clean) :]) and not any(blocked[: len(clean)])
+    assert len(new) > 4
+    assert not any(x["verdict"] == "block" for x in urlfilter.judge(url_frame(spark, clean + new)).collect())  # without URLs to learn them from
+
+
+def slow_url_models(rows, order0, order=4):
+    """log P1 - log P0 of every n-gram, by dictionaries."""
+    c = [{}, {}]
+    for line, n, *w in rows:
+        padded = urlfilter.START * (order - 1) + line
+        for i in range(len(line)):
+            for k in range(1, order + 1):
+                g = padded[i + order - k : i + order]
+                for side in (0, 1):
+                    c[side][g] = c[side].get(g, 0.0) + n * w[side]
+    def smooth(side, g, lower):  # noqa: E306
+        after = [v for x, v in c[side].items() if len(x) == len(g) and x[:-1] == g[:-1]]
+        total, kinds = sum(after), sum(v > 0 for v in after)
+        return (c[side].get(g, 0) + kinds * lower) / (total + kinds) if total else lower
+    out = {}  # noqa: E306
+    for g in (x for x in c[0] if len(x) == order):
+        p0 = 1 / 256
+        for k in range(1, order0 + 1):
+            p0 = smooth(0, g[order - k :], p0)
+        p1 = smooth(1, g, smooth(1, g[1:], p0))
+        out[g] = math.log(p1 / p0)
+    return out
+
+
+@pytest.mark.parametrize("order0", [2, 4])
+def test_url_models_against_dictionaries(spark, order0):
+    r = random.Random(7)
+    rows = [("".join(r.choice("ab/1é") for _ in range(r.randint(1, 9))), r.randint(1, 5), float(r.random() < 0.6), float(r.random() < 0.3)) for _ in range(60)]
+    table = spark.createDataFrame(rows, "line string, n long, w0 double, w1 double")
+    model = urlfilter.train(table, order0)
+    want = slow_url_models(rows, order0)
+    assert {x["gram"]: x["diff"] for x in model.collect()} == pytest.approx(want)
+    lines = spark.createDataFrame([(0, "ab/1é"), (1, rows[3][0]), (2, rows[4][0] * 3)], "id long, line string")
+    for x in urlfilter.score(lines, model).collect():
+        line = {0: "ab/1é", 1: rows[3][0], 2: rows[4][0] * 3}[x["id"]]
+        padded = urlfilter.START * 3 + line
+        parts = [want.get(padded[i : i + 4], 0.0) for i in range(len(line))]
+        assert (x["total"], x["score"]) == pytest.approx((sum(parts), sum(parts) / len(parts)))
+
+
+def test_url_models_and_cutoff_count_urls(spark):
+    rows = [("ab.com/a", 5, 1.0, 0.0), ("cd.com/0", 1, 1.0, 0.0), ("casino.com/", 3, 0.0, 1.0), ("abcd.com/a", 1, 0.0, 1.0)]
+    model = lambda rows: {r["gram"]: r["diff"] for r in urlfilter.train(spark.createDataFrame(rows, "line string, n long, w0 double, w1 double")).collect()}
+    assert model(rows) == pytest.approx(model([(line, 1, *w) for line, n, *w in rows for _ in range(n)]))
     r = random.Random(2)
     for share in (0.002, 0.1, 0.5):
         scored = [(r.choice([r.random(), 0.25, 0.75]), r.randint(1, 500)) for _ in range(80)]
@@ -237,12 +317,16 @@ def test_url_models_count_urls(spark):
     assert urlfilter.cutoff_of(spark.createDataFrame([], "score double, n long")) is None
 
 
-def test_url_models_keep_all_ngrams(spark):
+def test_url_models_keep_all_ngrams_and_join_large_tables(spark, monkeypatch):
     r = random.Random(3)
     lines = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz0./-_~%") for _ in range(12)) for _ in range(8000)]
-    want = {("^^^" + x)[i : i + 4] for x in lines for i in range(len(x))}
-    model = urlfilter.train(spark.createDataFrame([(x, i % 2 == 0, 1) for i, x in enumerate(lines)], "line string, bad boolean, n long"))
-    assert len(want) > 60_000 and model.filter(F.length("gram") == 4).count() == len(want)
+    want = {(urlfilter.START * 3 + x)[i : i + 4] for x in lines for i in range(len(x))}
+    model = urlfilter.train(spark.createDataFrame([(x, 1, float(i % 2), float(1 - i % 2)) for i, x in enumerate(lines)], "line string, n long, w0 double, w1 double"))
+    assert len(want) > 60_000 and model.count() == len(want)
+    some = spark.createDataFrame(list(enumerate(lines[:300])), "id long, line string")
+    small = {x["id"]: x["score"] for x in urlfilter.score(some, model).collect()}
+    monkeypatch.setattr(urlfilter, "BROADCAST", 10)
+    assert {x["id"]: x["score"] for x in urlfilter.score(some, model).collect()} == pytest.approx(small)
 
 
 # 5 Licenses
