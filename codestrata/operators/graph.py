@@ -7,12 +7,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.functions.storage import materialize
 
 MAX_DEPTH, MAX_NODES, EDGES_PER_NODE = 64, 5000, 10
+LOCAL_EDGES = 1_000_000
 
 
 def closure(start: DataFrame, edges: DataFrame) -> DataFrame:
@@ -29,19 +30,43 @@ def closure(start: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def on_cycle(edges: DataFrame) -> DataFrame:
-    """(node): what is left when nodes without outgoing or incoming edges are peeled off; empty if there is no cycle."""
-    now = materialize(edges.select("src", "dst").distinct(), "edges")
+    """(node): what is left when nodes without outgoing or incoming edges are peeled off; empty if there is no cycle.
+
+    Peeled by joins while there are over ``LOCAL_EDGES`` edges; what is left then is peeled on the
+    driver in linear time, so that long chains don't cost a round a node.
+    """
+    spark = edges.sparkSession
+    now = materialize(edges.filter("src is not null and dst is not null").select("src", "dst").distinct(), "edges")
     n = now.count()
-    while n:
+    while n > LOCAL_EDGES:
         kept = now.join(now.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(now.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst")
         kept = materialize(kept, "edges")
         m = kept.count()
         if m == n:
-            break
+            return now.select(F.col("src").alias("node")).distinct()
         now, n = kept, m
-    else:
-        return now.select(F.col("src").alias("node"))
-    return now.select(F.col("src").alias("node")).distinct()
+    left = peeled([(r["src"], r["dst"]) for r in now.collect()])  # LOCAL_EDGES rows at most
+    return spark.createDataFrame([(x,) for x in sorted(left)], "node long")
+
+
+def peeled(edges: list[tuple[int, int]]) -> set[int]:
+    """The nodes that keep an edge in and an edge out when all others are taken away, again and again."""
+    ends: tuple[dict[int, list[int]], ...] = ({}, {})
+    for a, b in edges:
+        ends[0].setdefault(a, []).append(b)
+        ends[1].setdefault(b, []).append(a)
+    nodes = set(ends[0]) | set(ends[1])
+    degree = [{x: len(side.get(x, ())) for x in nodes} for side in ends]
+    ready = [x for x in nodes if not degree[0][x] or not degree[1][x]]
+    gone = set(ready)
+    for x in ready:
+        for side in (0, 1):
+            for y in ends[side].get(x, ()):
+                degree[1 - side][y] -= 1
+                if not degree[1 - side][y] and y not in gone:
+                    gone.add(y)
+                    ready.append(y)
+    return nodes - gone
 
 
 @dataclass
@@ -158,6 +183,3 @@ def path_table(spark, exploration: Exploration) -> DataFrame:
     """(hop, id) of the path found, no rows if there is none."""
     return spark.createDataFrame(list(enumerate(exploration.path or [])), "hop int, id long")
 
-
-def ordered_levels(df: DataFrame) -> DataFrame:
-    return df.withColumn("admitted", F.row_number().over(Window.partitionBy("level").orderBy("node")))

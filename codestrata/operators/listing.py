@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codestrata.functions.text import UPPER, LOWER, ascii_fold, checked_regex, glob_regex
-from codestrata.operators.paths import parent, under
+from codestrata.operators.paths import ancestors, parent, under
 from codestrata.schema import DEFAULT_KINDS, ENTRY, SYMBOL_KINDS
 
 KIND_ALIASES = {
@@ -55,16 +55,43 @@ def symbol_entries(symbols: DataFrame, files: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Scope:
-    """What a level means for a target: one predicate on entry paths per stream; None leaves the stream out."""
+    """What a level means for a target: one predicate on entry paths per stream; None leaves the stream out.
+    ``within``: the paths of directories and files (kind, path) that entries must have, if given."""
 
     label: str
     dirs: Column | None
     files: Column | None
     symbols: Column | None
+    within: DataFrame | None = None
+
+
+def section_scope(name: str, subsystem_id: int, dirs: DataFrame, files: DataFrame, claims: DataFrame) -> Scope:
+    """All that one section claims: files, their symbols, and the directories that hold any of its files."""
+    mine = files.join(claims.filter(F.col("subsystem_id") == subsystem_id).select(F.col("ref_id").alias("id")), "id", "left_semi").select("path")
+    above = mine.select(F.explode(ancestors(F.col("path"))).alias("path")).join(dirs.select("path"), "path", "left_semi").distinct()
+    yes = F.lit(True)
+    return Scope(f"subsystem {name}", yes, yes, yes, above.select(F.lit("dir").alias("of"), F.col("path").alias("at")).union(mine.select(F.lit("file"), "path")))
+
+
+def owner_scope(path: str, kind: str, dirs: DataFrame, files: DataFrame, claims: DataFrame, sections: DataFrame, catch_all: str) -> Scope:
+    """The subsystem level of a target: its only primary owner's section_scope. A plurality is no ownership:
+    with several primary owners, none, or the catch-all there are no entries, and the label says why."""
+    below = files.filter(under(F.col("path"), path) if kind == "dir" else F.col("path") == path).select(F.col("id").alias("ref_id"))
+    owners = below.join(claims.filter("is_primary"), "ref_id", "left").groupBy("ref_id").agg(F.count("subsystem_id").alias("n"), F.min("subsystem_id").alias("s"))
+    row = owners.agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.countDistinct("s").alias("kinds"), F.min("s").alias("s")).first()
+    name = None
+    if row["lo"] == row["hi"] == row["kinds"] == 1:
+        name = sections.filter(F.col("id") == row["s"]).first()["name"]
+    if name is not None and name != catch_all:
+        return section_scope(name, row["s"], dirs, files, claims)
+    mixed = (row["hi"] or 0) > 1 or row["kinds"] > 1
+    label = "no subsystem found" if not mixed else "directory has mixed subsystem ownership" if kind == "dir" else "file has co-primary subsystem ownership"
+    return Scope(label, None, None, None)
 
 
 def build_scope(path: str, kind: str, level: str = "auto") -> Scope:
-    """The peers of a target. auto: a directory's siblings, a file's directory, a symbol's file."""
+    """The peers of a target. auto: a directory's siblings, a file's directory, a symbol's file. The
+    subsystem level needs ownership: owner_scope()."""
     level = {"dir": "dir", "file": "dir"}.get(kind, "file") if level == "auto" else level
     here = path if kind == "dir" else path.rpartition("/")[0]
     p = F.col("path")
@@ -77,7 +104,7 @@ def build_scope(path: str, kind: str, level: str = "auto") -> Scope:
     if level == "dir":
         top = here if kind != "dir" else path.rpartition("/")[0]
         return Scope(top or ".", parent(p) == top, parent(p) == top, parent(p) == top)
-    raise ValueError(f"level {level!r} needs ownership")
+    raise ValueError(f"unknown level {level!r}" if level != "subsystem" else "the subsystem level is owner_scope()")
 
 
 def order_of(sort: str = "name") -> list:
@@ -87,6 +114,7 @@ def order_of(sort: str = "name") -> list:
     rank = F.when(F.col("kind") == "dir", 0).when(F.col("kind") == "file", 1).otherwise(2)
     folded, line = ascii_fold(F.col("name")), F.col("line").asc_nulls_first()
     many = F.when(F.col("kind") == "dir", F.col("n_files"))
+    # The documented orders.
     key = {
         "name": [folded, "path", line, "kind"],
         "path": ["path", line, "kind", folded],
@@ -121,10 +149,15 @@ def limited(df: DataFrame, limit: int) -> DataFrame:
 def collect(scope: Scope, dirs: DataFrame, files: DataFrame, symbols: DataFrame, kinds=(), limit: int = 0, grep: str | None = None, exported_only: bool = False, static: str = "any", sort: str = "name") -> DataFrame:
     """The entries of a scope: three streams, filtered each before they meet, then one order and limit."""
     kinds = tuple(kinds) or ("dir", "file", *DEFAULT_KINDS)
+    if sort == "size" and not {"dir", "file"} & set(kinds):
+        raise ValueError("symbols have no size; sort them by lines")
     streams = []
     for pred, entries, own in ((scope.dirs, lambda: directory_entries(dirs), ("dir",)), (scope.files, lambda: file_entries(files), ("file",)), (scope.symbols, lambda: symbol_entries(symbols, files), SYMBOL_KINDS)):
         if pred is not None and set(own) & set(kinds):
-            streams.append(narrowed(entries().filter(pred), [k for k in kinds if k in own], grep, exported_only, static))
+            rows = entries().filter(pred)
+            if scope.within is not None:
+                rows = rows.join(scope.within.filter(F.col("of") == ("dir" if own == ("dir",) else "file")), F.col("path") == F.col("at"), "left_semi")
+            streams.append(narrowed(rows, [k for k in kinds if k in own], grep, exported_only, static))
     if not streams:
         return dirs.sparkSession.createDataFrame([], ENTRY)
     out = streams[0]
@@ -163,6 +196,8 @@ def search(symbols: DataFrame, files: DataFrame, pattern: str, mode: str = "subs
     }
     if mode not in test:
         raise ValueError(f"unknown mode {mode!r}")
+    if sort == "size":
+        raise ValueError("symbols have no size; sort them by lines")
     rows = narrowed(symbol_entries(symbols.filter(test[mode]()), files), tuple(kinds) or SYMBOL_KINDS, grep, exported_only, static)
     order = order_of(sort)[1:] if sort else [F.length("name"), "name", "path", "line", "ref_id"]
     return limited(rows.orderBy(*order), limit)

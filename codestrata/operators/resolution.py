@@ -43,6 +43,24 @@ def units(files: DataFrame, includes: DataFrame, roots: DataFrame | None = None)
     return reached.select(F.col("start").alias("unit_id"), F.col("node").alias("member_id"))
 
 
+def program_headers(domains: DataFrame) -> DataFrame:
+    """(domain, file_id): the headers below a program's directory, seen by all of the program's sources."""
+    tail = F.substring("domain", len("program:") + 1, 10000)
+    program = domains.filter(F.col("domain").startswith("program:")).select("domain", tail.alias("tail")).filter("instr(tail, ':') > 0").select("domain", F.substring_index("tail", ":", 1).alias("root")).distinct()
+    headers = domains.filter(F.col("ext").isin(*HEADERS))
+    return headers.select("file_id", F.explode(ancestors(F.col("path"))).alias("dir")).join(program, F.col("dir") == F.col("root")).select("domain", "file_id").distinct()
+
+
+def eligible_domains(domains: DataFrame) -> DataFrame:
+    """(domain, candidate, shared_only): where a domain's calls may find definitions. Architecture code sees the
+    kernel too; a separately linked image sees the kernel's and its architecture's headers only (shared_only)."""
+    here = domains.select("domain", "path").distinct()
+    is_arch, is_image, no, kernel = F.col("domain").startswith("arch:"), F.col("domain").startswith("image:"), F.lit(False), F.lit("kernel")
+    pairs = here.select("domain", F.col("domain").alias("candidate"), no.alias("shared_only")).union(here.filter(is_arch).select("domain", kernel, no))
+    pairs = pairs.union(here.filter(is_image).select("domain", kernel, F.lit(True))).union(here.filter(is_image & arch_of(F.col("path")).isNotNull()).select("domain", F.concat(F.lit("arch:"), arch_of(F.col("path"))), F.lit(True)))
+    return pairs.groupBy("domain", "candidate").agg(F.min("shared_only").alias("shared_only"))
+
+
 def resolve(files: DataFrame, symbols: DataFrame, includes: DataFrame, calls: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """(caller_file_id, name, resolution, callee_id) for every name called directly and not yet resolved."""
     domains = materialize(file_domains(files, symbols), "domains")
@@ -52,8 +70,9 @@ def resolve(files: DataFrame, symbols: DataFrame, includes: DataFrame, calls: Da
     contexts = materialize(contexts, "contexts")
     known = symbols.join(contexts.select("name").distinct(), "name", "left_semi").select(F.col("id").alias("symbol_id"), "file_id", "name", "kind", "is_static")
 
-    # Within the unit.
-    inside = contexts.join(members, "unit_id").join(known, (F.col("member_id") == F.col("file_id")) & (contexts["name"] == known["name"])).select("caller_file_id", contexts["name"], "unit_id", "symbol_id", "file_id", "kind")
+    # Within the unit. Names meet first: (unit, name) pairs of defined symbols, not all members of each context's unit.
+    defined = known.join(members, F.col("file_id") == F.col("member_id")).select("unit_id", "name", "symbol_id", "file_id", "kind")
+    inside = contexts.join(defined, ["unit_id", "name"]).select("caller_file_id", "name", "unit_id", "symbol_id", "file_id", "kind")
     elsewhere = F.col("file_id") != F.col("caller_file_id")
     callable_ = F.col("kind").isin(*CALLABLE)
     key = ["caller_file_id", "name", "unit_id"]
@@ -68,9 +87,7 @@ def resolve(files: DataFrame, symbols: DataFrame, includes: DataFrame, calls: Da
     # By domain: what can be linked, and what can shadow it. A row per (domain, name, symbol) with
     # what the symbol is there, counted once however many ways it is seen.
     effective = members.join(domains.select(F.col("file_id").alias("unit_id"), "domain"), "unit_id").select(F.col("member_id").alias("file_id"), "domain").distinct()
-    program = domains.filter("domain like 'program:%'").select("domain", F.substring("domain", 9, 10000).alias("tail")).filter("instr(tail, ':') > 0").select("domain", F.substring_index("tail", ":", 1).alias("root")).distinct()
-    headers = domains.filter(F.col("ext").isin(*HEADERS))
-    visible = headers.select("file_id", F.explode(ancestors(F.col("path"))).alias("dir")).join(program, F.col("dir") == F.col("root")).select("domain", "file_id").distinct()
+    visible = program_headers(domains)
     placed = known.join(domains.select("file_id", F.col("domain").alias("own"), "ext"), "file_id").withColumn("header", F.col("ext").isin(*HEADERS))
     placed = materialize(placed, "placed")
     static, variable = F.col("is_static"), F.col("kind") == "variable"
@@ -86,11 +103,8 @@ def resolve(files: DataFrame, symbols: DataFrame, includes: DataFrame, calls: Da
     there = once.groupBy("domain", "name").agg(F.min(F.when(F.col("g"), F.col("symbol_id"))).alias("gid"), *[F.count_if(c).alias(f"{c}_n") for c in "ghmvs"])
     there = materialize(there.withColumnRenamed("domain", "candidate"), "there")
 
-    here = domains.select("domain", "path").distinct()
-    is_arch, is_image = F.col("domain").startswith("arch:"), F.col("domain").startswith("image:")
-    pairs = here.select("domain", F.col("domain").alias("candidate"), no.alias("shared_only")).union(here.filter(is_arch).select("domain", F.lit("kernel"), no))
-    pairs = pairs.union(here.filter(is_image).select("domain", F.lit("kernel"), F.lit(True))).union(here.filter(is_image & arch_of(F.col("path")).isNotNull()).select("domain", F.concat(F.lit("arch:"), arch_of(F.col("path"))), F.lit(True)))
-    pairs = pairs.groupBy("domain", "candidate").agg(F.min("shared_only").alias("shared_only"))
+    is_arch = F.col("domain").startswith("arch:")
+    pairs = eligible_domains(domains)
 
     links = ~F.col("shared_only")  # what shadows an image only can't be linked into it
     total = lambda c: F.coalesce(F.sum(c), F.lit(0))

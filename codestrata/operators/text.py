@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codestrata.functions.text import literal_regex, mention_regex
 
-SNIPPET, BEFORE, MOST_HITS = 240, 70, 5000
+SNIPPET, BEFORE, MOST_HITS, MOST_TEXT = 240, 70, 5000, 1024
 
 
 def lines_of(documents: DataFrame, content: str = "content") -> DataFrame:
@@ -16,30 +16,65 @@ def lines_of(documents: DataFrame, content: str = "content") -> DataFrame:
     return documents.select(*keep, F.posexplode(F.split(F.regexp_replace(content, "\r\n?", "\n"), "\n")).alias("at", "text")).select(*keep, (F.col("at") + 1).alias("line"), "text")
 
 
+#: Characters that underline a title.
+ADORNMENT = "=-~^\"'`:+#*"
+
+
+def _hash_title(line: Column) -> Column:
+    """The title of a Markdown heading: one to six # after at most three spaces, then white space; a closing run of # goes. Else null."""
+    flush = F.ltrim(line)
+    marks = F.length(flush) - F.length(F.ltrim(flush, F.lit("#")))
+    rest = F.substring(flush, marks + 1, F.length(flush))
+    title = F.rtrim(rest, F.lit(" \t"))
+    bare = F.rtrim(title, F.lit("#"))
+    title = F.trim(F.when(bare.endswith(" ") | bare.endswith("\t"), bare).otherwise(title))
+    opens = marks.between(1, 6) & (rest.startswith(" ") | rest.startswith("\t")) & (F.length(line) - F.length(flush) <= 3)
+    return F.when(opens & (title != ""), title)
+
+
+def _is_underline(line: Column) -> Column:
+    """Three or more of one adornment character and nothing else."""
+    n, first = F.length(line), F.substring(line, 1, 1)
+    return (n >= 3) & (F.instr(F.lit(ADORNMENT), first) > 0) & (line == F.repeat(first, n))
+
+
 def headings(lines: DataFrame, key: str = "path") -> DataFrame:
     """Lines with ``heading``: the nearest Markdown or underlined heading at or above each line."""
     order = Window.partitionBy(key).orderBy("line")
-    hashed = F.regexp_extract("text", r"^ {0,3}#{1,6}\s+(.+?)(?:\s+#+)?\s*$", 1)
-    under = F.trim(F.lead("text").over(order))
-    title = F.trim("text")
-    underlined = (title != "") & under.rlike(r"^([=\-~^\"'`:+#*])\1{2,}$") & (F.length(under) >= F.length(title)) & (hashed == "") & ~F.coalesce(F.lead(hashed).over(order), F.lit("")).rlike(".")
-    own = F.when(hashed != "", hashed).when(underlined, title)
-    marked = lines.withColumn("own", own)
+    below, title = F.trim(F.lead("text").over(order)), F.trim("text")
+    underlined = (title != "") & _is_underline(below) & (F.length(below) >= F.length(title))
+    marked = lines.withColumn("own", F.when(underlined, title).otherwise(_hash_title(F.col("text"))))
     return marked.withColumn("heading", F.last("own", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("own")
 
 
-def snippet(text: Column, start: Column) -> Column:
-    """240 characters of a line around a match that starts at ``start`` (from 0), white space squeezed."""
+def snippet(text: Column, start: Column, length: int = 0) -> Column:
+    """About 240 characters of a line around a match of ``length`` that starts at ``start`` (from 0), white space squeezed; … where cut."""
     left = F.greatest(F.lit(0), start - BEFORE)
-    cut = F.trim(F.regexp_replace(F.substring(text, left + 1, F.lit(SNIPPET)), r"\s+", " "))
-    return F.concat(F.when(left > 0, F.lit("…")).otherwise(F.lit("")), cut, F.when(F.length(text) > left + SNIPPET, F.lit("…")).otherwise(F.lit("")))
+    right = F.least(F.length(text), F.greatest(start + length, left + SNIPPET))
+    squeezed = F.trim(F.regexp_replace(F.substring(text, left + 1, right - left), r"\s+", " "))
+    more = (right < F.length(text)) | (F.length(squeezed) > SNIPPET)
+    return F.concat(F.when(left > 0, F.lit("…")).otherwise(F.lit("")), F.substring(squeezed, 1, SNIPPET), F.when(more, F.lit("…")).otherwise(F.lit("")))
 
 
-def _hits(documents: DataFrame, regex: str) -> DataFrame:
+def _hits(documents: DataFrame, regex: str, length: int) -> DataFrame:
     """First match of each line, late: only documents that match at all are split into lines."""
     lines = headings(lines_of(documents.filter(F.col("content").rlike(regex)).select("path", "content")))
     start = F.regexp_instr("text", F.lit(regex)) - 1
-    return lines.withColumn("start", start).filter("start >= 0").select("path", "line", F.lit("documentation").alias("source_kind"), "heading", snippet(F.col("text"), F.col("start")).alias("snippet"))
+    return lines.withColumn("start", start).filter("start >= 0").select("path", "line", F.lit("documentation").alias("source_kind"), "heading", snippet(F.col("text"), F.col("start"), length).alias("snippet"))
+
+
+def documentation_prefix(value: str) -> str:
+    """The directory a documentation scope means; anything but a relative path of plain names is an error."""
+    parts = value.strip().rstrip("/").split("/")
+    if any(x in ("", ".", "..") or "\\" in x or ":" in x for x in parts):
+        raise ValueError(f"{value!r} is no path below Documentation")
+    return "/".join(parts if parts[0] == "Documentation" else ["Documentation", *parts])
+
+
+def in_documentation(value: str) -> Column:
+    """The scope as a condition on document paths: the document of that path, or what is below the directory."""
+    path = documentation_prefix(value)
+    return (F.col("path") == path) | F.col("path").startswith(path + "/")
 
 
 def contract_texts(contracts: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
@@ -53,14 +88,16 @@ def contract_texts(contracts: DataFrame, symbols: DataFrame, files: DataFrame) -
 
 def search(documents: DataFrame, text: str, scope: Column | None = None, mention: bool = False, contracts: DataFrame | None = None, limit: int = 0) -> DataFrame:
     """Literal hits (case-insensitive) or mentions of an identifier, one a line; documents come before contracts, the limit is shared."""
-    if not text:
-        raise ValueError("empty search text")
+    if not text.strip() or len(text) > MOST_TEXT:
+        raise ValueError(f"search text must have 1 to {MOST_TEXT} characters")
+    if mention and not text.isascii() or mention and not text.isidentifier():
+        raise ValueError(f"{text!r} is no C identifier")
     regex = mention_regex(text) if mention else literal_regex(text)
     docs = documents if scope is None else documents.filter(scope)
-    out = _hits(docs, regex).withColumn("tier", F.lit(0))
+    out = _hits(docs, regex, len(text)).withColumn("tier", F.lit(0))
     if contracts is not None:
         start = F.regexp_instr("text", F.lit(regex)) - 1
-        found = contracts.withColumn("start", start).filter("start >= 0").select("path", "line", F.lit("contract").alias("source_kind"), F.col("section").alias("heading"), snippet(F.col("text"), F.col("start")).alias("snippet"), F.lit(1).alias("tier"))
+        found = contracts.withColumn("start", start).filter("start >= 0").select("path", "line", F.lit("contract").alias("source_kind"), F.col("section").alias("heading"), snippet(F.col("text"), F.col("start"), len(text)).alias("snippet"), F.lit(1).alias("tier"))
         out = out.union(found)
     out = out.orderBy("tier", "path", "line", "heading").drop("tier")
     return out.limit(min(limit or MOST_HITS, MOST_HITS))
@@ -75,18 +112,32 @@ def contract(contracts: DataFrame, symbols: DataFrame, symbol_id: int | None = N
 
 
 def frames(traces: DataFrame, text: str = "text") -> DataFrame:
-    """(…, line, frame): symbol names in a backtrace, in order. Rules by line, first that finds any:
-    ``name+0x``; ``name.clone``; ``in name``; a single identifier. ``<TASK>`` marks are no frames."""
+    """(…, line, nth, frame): symbol names in a backtrace, in order. A line's tokens are words (dots included)
+    and signs; a name is a token up to its first dot. By line, the first that finds any: names before
+    ``+ 0x…``; a token with a clone suffix alone on its line; the first name after ``in``; the only name.
+    Marks like ``<TASK>`` are no frames."""
     keep = [c for c in traces.columns if c != text]
-    rows = traces.select(*keep, F.posexplode(F.split(text, "\n")).alias("at", "raw")).select(*keep, (F.col("at") + 1).alias("line"), F.trim(F.regexp_replace("raw", r"[\t\r]", " ")).alias("l"))
-    rows = rows.filter((F.col("l") != "") & ~F.col("l").rlike(r"^</?[A-Za-z_][A-Za-z0-9_]*>$"))
-    ident = F.lit(r"\b([A-Za-z_][A-Za-z0-9_]*)\b")
-    offsets = F.regexp_extract_all("l", F.lit(r"\b([A-Za-z_][A-Za-z0-9_]*)(?:\.[A-Za-z_0-9]+)*\s*\+\s*0x"), F.lit(1))
-    clone = F.regexp_extract("l", r"^([A-Za-z_][A-Za-z0-9_]*)(?:\.[A-Za-z_0-9]+)+$", 1)
-    after = F.regexp_extract_all(F.when(F.instr("l", " in ") > 0, F.expr("substring(l, instr(l, ' in ') + 4)")).otherwise(""), ident, F.lit(1))
-    alone = F.regexp_extract_all("l", ident, F.lit(1))
-    found = F.when(F.size(offsets) > 0, offsets).when(clone != "", F.array(clone)).when(F.size(after) > 0, F.slice(after, 1, 1)).when(F.size(alone) == 1, alone)
-    return rows.select(*keep, "line", F.posexplode(found).alias("nth", "frame"))
+    rows = traces.select(*keep, F.posexplode(F.split(text, "\n")).alias("at", "raw")).select(*keep, (F.col("at") + 1).alias("line"), F.trim(F.translate("raw", "\t\r", "  ")).alias("l"))
+    rows = rows.withColumn("tokens", F.regexp_extract_all("l", F.lit(r"[\w.]+|[^\w.\s]"), F.lit(0))).filter(F.size("tokens") > 0)
+
+    def base(token: Column) -> Column:
+        return F.substring_index(token, ".", 1)
+
+    def named(token: Column) -> Column:
+        return base(token).rlike("^[A-Za-z_]")
+
+    first, n = F.get("tokens", F.lit(0)), F.size("tokens")
+    mark = (first == "<") & (F.element_at("tokens", -1) == ">") & (n - F.when(F.get("tokens", F.lit(1)) == "/", 1).otherwise(0) == 3)
+    offsets = F.filter("tokens", lambda t, i: named(t) & F.coalesce((F.get("tokens", i + 1) == "+") & F.get("tokens", i + 2).startswith("0x"), F.lit(False)))
+    after = F.filter(F.slice("tokens", F.array_position("tokens", "in").cast("int") + 1, n), named)
+    names = F.filter(F.flatten(F.transform("tokens", lambda t: F.split(t, r"\."))), named)
+    found = (
+        F.when(F.size(offsets) > 0, F.transform(offsets, base))
+        .when((n == 1) & named(first) & first.rlike(r"\.\w"), F.array(base(first)))
+        .when((F.array_position("tokens", "in") > 1) & (F.size(after) > 0), F.transform(F.slice(after, 1, 1), base))
+        .when(F.size(names) == 1, names)
+    )
+    return rows.filter(~mark).select(*keep, "line", F.posexplode(found).alias("nth", "frame"))
 
 
 def area_histogram(annotated: DataFrame) -> DataFrame:
