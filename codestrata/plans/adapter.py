@@ -39,6 +39,12 @@ SQL = {
         CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INT) AS ordinal, CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE o_orderpriority END AS name, 'field' AS kind,
         CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_orderpriority END AS description, CASE WHEN o_orderstatus = 'P' THEN 'macro-semantics' ELSE 'kernel-doc' END AS description_source
       FROM {orders}""",
+    "k_aliases": "SELECT id AS symbol_id, concat('t_', CAST(id % 40 AS STRING)) AS name FROM {k_symbols} WHERE kind = 'struct'",
+    "k_references": """SELECT s.file_id, CAST(s.start_line + s.id % 3 AS INT) AS line, s.id AS owner_id, CASE WHEN t.id % 4 = 3 THEN 'typedef' ELSE 'struct' END AS kind, CASE WHEN t.id % 4 = 3 THEN concat('t_', CAST(t.id % 40 AS STRING)) ELSE t.name END AS name,
+        CASE WHEN t.id % 2 = 0 THEN 'function_parameter' ELSE 'function_return' END AS role
+      FROM {k_symbols} s JOIN {k_symbols} t ON t.kind = 'struct' AND (t.id % 500 = s.id % 500 OR t.file_id = s.file_id) WHERE s.kind = 'function'""",
+    "k_domains": """SELECT id AS file_id, path, ext, CASE WHEN path LIKE 'tools/brand_1%' THEN concat('program:tools/brand_1', substring(path, 14, 1), ':p') WHEN path LIKE 'tools/%' THEN concat('isolated:', path) WHEN path LIKE 'arch/x86/brand_2%' THEN 'image:arch:x86:boot'
+        WHEN path LIKE 'arch/x86/%' THEN 'arch:x86' WHEN path LIKE 'arch/arm/%' THEN 'arch:arm' WHEN path LIKE 'fs/brand_5%' THEN 'image:efi-stub' ELSE 'kernel' END AS domain FROM {k_files}""",
     "k_documents": """SELECT doc_id AS file_id, concat('Documentation/', source, '/', lang, '/', doc_id, '.txt') AS path, concat(doc_id, '.txt') AS name, n_chars AS size, text AS content FROM {documents}""",
     "k_contracts": """SELECT conv_id AS symbol_id, CAST(1 AS INT) AS line, max(CASE WHEN turn = 0 THEN text END) AS summary, '' AS description, '' AS context, max(CASE WHEN turn = 1 THEN text END) AS returns
       FROM {conversations} GROUP BY conv_id""",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.functions import links
-from codestrata.operators import audit, calls, docs, graph, listing, ownership, paths, reports, resolution, snapshots, structures, targets, text
+from codestrata.operators import audit, calls, graph, listing, ownership, paths, reports, resolution, snapshots, structures, targets, text
 from codestrata.plans.adapter import CATCH_ALL, spark_table, with_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,11 +97,6 @@ def subsystem_rollup(t: Tables) -> DataFrame:
     return t.sized_sections
 
 
-@query(f"{CLAIMS} SELECT f.id, f.path FROM k_files f WHERE f.path LIKE 'drivers/%' AND NOT EXISTS (SELECT 1 FROM claims c WHERE c.ref_id = f.id AND c.is_primary AND c.score >= 60)", OWN)
-def unclaimed_files(t: Tables) -> DataFrame:
-    return ownership.unclaimed(t.files, t.claims.filter("score >= 60"), "drivers").select("id", "path")
-
-
 _FLOW = f"""{CLAIMS}, p AS (SELECT ref_id, subsystem_id, name FROM claims WHERE is_primary),
  e AS (SELECT c.caller_id, c.callee_id, a.file_id AS source_file, b.file_id AS target_file FROM k_calls c JOIN k_symbols a ON a.id = c.caller_id JOIN k_symbols b ON b.id = c.callee_id WHERE c.resolution IN ('same_file', 'included_source', 'unique_global')),
  r AS (SELECT e.*, o.subsystem_id AS owner, o.name, coalesce(o.subsystem_id = {SECTION}, FALSE) AS internal FROM e JOIN p own ON own.ref_id = e.%s AND own.subsystem_id = {SECTION} LEFT JOIN p o ON o.ref_id = e.%s
@@ -199,14 +194,16 @@ def unit_closure(t: Tables) -> DataFrame:
     return resolution.units(t.files, t.includes)
 
 
-@query("""e AS (SELECT DISTINCT caller_id AS a, callee_id AS b FROM k_calls WHERE callee_id IS NOT NULL AND (caller_id * 7 + callee_id * 3) % 24 = 5), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
- c AS (SELECT a AS v FROM r WHERE a = b) SELECT v AS node FROM c UNION SELECT x.b FROM r x JOIN c ON c.v = x.a WHERE x.b IN (SELECT y.a FROM r y JOIN c d ON d.v = y.b)""", "k_calls")
+# What peeling leaves are the nodes from which walks of any length lead on, and to which they lead.
+@query("""e AS (SELECT DISTINCT caller_id AS a, callee_id AS b FROM k_calls WHERE callee_id IS NOT NULL), v AS (SELECT a AS node FROM e UNION SELECT b FROM e), n AS (SELECT count(*) AS n FROM v),
+ f AS (SELECT node, 0 AS k FROM v UNION SELECT e.a, f.k + 1 FROM f JOIN e ON e.b = f.node WHERE f.k < least((SELECT n FROM n), 60)), g AS (SELECT node, 0 AS k FROM v UNION SELECT e.b, g.k + 1 FROM g JOIN e ON e.a = g.node WHERE g.k < least((SELECT n FROM n), 60))
+ SELECT node FROM f WHERE k = least((SELECT n FROM n), 60) INTERSECT SELECT node FROM g WHERE k = least((SELECT n FROM n), 60)""", "k_calls")
 def include_cycle(t: Tables) -> DataFrame:
     edges = t.calls.filter("callee_id is not null")
     return graph.on_cycle(edges.select(F.col("caller_id").alias("src"), F.col("callee_id").alias("dst")))
 
 
-_BFS = """e AS (SELECT DISTINCT caller_id AS a, callee_id AS b FROM k_calls WHERE callee_id IS NOT NULL AND (caller_id + callee_id) % 4 = 1), l1 AS (SELECT DISTINCT b FROM e WHERE a = 0), l2 AS (SELECT DISTINCT e.b FROM l1 JOIN e ON e.a = l1.b), l3 AS (SELECT DISTINCT e.b FROM l2 JOIN e ON e.a = l2.b),
+_BFS = """e AS (SELECT DISTINCT caller_id AS a, callee_id AS b FROM k_calls WHERE callee_id IS NOT NULL), l1 AS (SELECT DISTINCT b FROM e WHERE a = 0), l2 AS (SELECT DISTINCT e.b FROM l1 JOIN e ON e.a = l1.b), l3 AS (SELECT DISTINCT e.b FROM l2 JOIN e ON e.a = l2.b),
  s AS (SELECT 0 AS node, 0 AS level UNION ALL SELECT b, 1 FROM l1 UNION ALL SELECT b, 2 FROM l2 UNION ALL SELECT b, 3 FROM l3) SELECT CAST(node AS BIGINT) AS node, CAST(min(level) AS INT) AS level FROM s GROUP BY 1"""
 
 
@@ -216,18 +213,6 @@ def bfs_depth3(t: Tables) -> DataFrame:
     return graph.levels(t.spark.range(1).select(F.col("id").alias("node")), edges, 3)
 
 
-@query()
-def bounded_exploration(t: Tables) -> DataFrame:
-    found = graph.explore(graph.adjacency(t.calls, t.symbols, t.files), 0, depth=2, max_nodes=50)
-    rows = [(n, lv, found.cycle, ",".join(found.truncated)) for n, lv in found.nodes.items()]
-    return t.spark.createDataFrame(rows, "id long, level int, cycle boolean, truncated string")
-
-
-@query()
-def shortest_path(t: Tables) -> DataFrame:
-    return graph.path_table(t.spark, graph.explore(graph.adjacency(t.calls, t.symbols, t.files), 0, depth=4, to_id=5, max_nodes=2000))
-
-
 _RANK = "CASE kind WHEN 'function' THEN 0 WHEN 'struct' THEN 1 WHEN 'variable' THEN 3 WHEN 'macro' THEN 2 END, (path LIKE 'tools/%')::INT, is_static::INT, len(path) - len(replace(path, '/', '')), len(path), path, line, ref_id"
 
 
@@ -400,14 +385,6 @@ def show_lines(t: Tables) -> DataFrame:
     return text.first_lines(t.documents.select("path", "content"), 2, 3)
 
 
-@query()
-def doc_rank(t: Tables) -> DataFrame:
-    study = docs.Study("src7/net/ipv4/tcp.c", "file", declarations=[r["name"] for r in docs.declarations(t.symbols, 30).collect()], owners=[7, 3])
-    table = t.documents.select("path", "name", "size", F.lit(None).cast("long").alias("lines"), "file_id")
-    owner_of = t.raw_claims.filter("score > 70").join(t.documents.select(F.col("file_id").alias("ref_id"), "path"), "ref_id").select("path", "subsystem_id")
-    return docs.rank(study, table, owner_of)
-
-
 @query("x AS (SELECT 1) SELECT s.id AS symbol_id, s.name, c.line, nullif(c.summary, '') AS summary, CAST(NULL AS VARCHAR) AS context, nullif(c.returns, '') AS returns FROM k_symbols s LEFT JOIN k_contracts c ON c.symbol_id = s.id", "k_symbols k_contracts")
 def contracts(t: Tables) -> DataFrame:
     return text.contract(t.contracts, t.symbols).select("symbol_id", "name", "line", "summary", "context", "returns")
