@@ -6,7 +6,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _own_dir: str | None = None
 _written: list[tuple[SparkSession, str]] = []
@@ -55,3 +56,21 @@ def materialize_at(df: DataFrame, path: str) -> DataFrame:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back: cuts lineage, and survives lost executors."""
     return materialize_at(df, fresh_path(df.sparkSession, name))
+
+
+def numbered(df: DataFrame, name: str, *order) -> DataFrame:
+    """df, written, with ``id``: dense numbers from 1 in the given order, which must tell all rows apart.
+
+    Rows are dealt by ranges of the order and numbered within their range; what lies before a
+    range is a running sum over one row a range, so no task sorts the whole table.
+    """
+    ranged = df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id())
+    rows = materialize(ranged, name)  # the range is read back, not taken again
+    sizes = sorted((r["__range"], r["n"]) for r in rows.groupBy("__range").agg(F.count("*").alias("n")).collect())
+    before, sums = 0, []
+    for k, n in sizes:
+        sums.append((k, before))
+        before += n
+    starts = df.sparkSession.createDataFrame(sums, "__of int, __before long")  # a row per range
+    nth = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return rows.withColumn("__nth", nth).join(F.broadcast(starts), F.col("__range") == F.col("__of")).withColumn("id", F.col("__nth") + F.col("__before")).select(*df.columns, "id")

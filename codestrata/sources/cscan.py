@@ -8,7 +8,7 @@ place is left out, never guessed; files with unbalanced brackets carry a warning
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from dataclasses import asdict, dataclass, field
 
 KEYWORDS = frozenset("if for while switch return sizeof typeof __typeof__ do else case goto asm __asm__ __attribute__ _Static_assert static_assert defined alignof _Alignof __alignof__".split())
@@ -56,6 +56,7 @@ class Symbol:
     summary: str | None = None
     description: str | None = None
     conditions: list[str] = field(default_factory=list)
+    unmatched_docs: list[dict] = field(default_factory=list)  # documented members that aren't there: name, text
 
 
 @dataclass
@@ -70,9 +71,11 @@ class Member:
     type_text: str | None
     declaration: str
     line: int
+    end_line: int
     bit_width: str | None = None
     array_dimensions: list[str] = field(default_factory=list)
     description: str | None = None
+    description_source: str | None = None
     visibility: str = "unspecified"
     conditions: list[str] = field(default_factory=list)
 
@@ -161,11 +164,20 @@ class Scanner:
         self.out = Parsed([], [], [], [], [], [], [])
         self.macros: list[tuple[int, str, bool]] = []  # place, name, defined
         self.conditions: list[tuple[int, list[str]]] = [(0, [])]
+        self.comment_starts = [c[0] for c in self.comments]
+        self.sizes: dict[int, int] = {}  # members so far, by aggregate
+        self.reached = (0, 0)  # a character place and its byte place
         self._directives()
 
     def line(self, at: int) -> int:
         return bisect_right(self.starts, at)
 
+    def byte(self, at: int) -> int:
+        """The byte place of a character; places mostly come in order, so only what lies between is encoded."""
+        place, size = self.reached if self.reached[0] <= at else (0, 0)
+        self.reached = (at, size + len(self.source[place:at].encode()))
+        return self.reached[1]
+
     def _directives(self) -> None:
         """Preprocessor lines: macros, includes and condition stacks; then they are blanked."""
         stack: list[str] = []
@@ -347,7 +359,7 @@ class Scanner:
                 continue
             member = bool(m[1]) or before.endswith(("->", ".")) and not before.endswith("...")
             kind = "indirect" if member or callee in local else "macro" if self.live(callee, m.start()) else "direct"
-            self.out.sites.append(Site(name, line, callee, kind, self.line(m.start(2)), len(self.source[: m.start(2)].encode())))
+            self.out.sites.append(Site(name, line, callee, kind, self.line(m.start(2)), self.byte(m.start(2))))
 
     def live(self, name: str, at: int) -> bool:
         """Whether a macro of this file may be defined at a place; a conditional #undef leaves it possible."""
@@ -372,7 +384,10 @@ class Scanner:
             if doc:
                 s.summary, s.description = doc["summary"], doc["description"] or None
             if m[1] != "enum":
+                before = len(self.out.members)
                 self.members(s, m.end(), close, None, 0, doc["parameters"] if doc else {}, ["unspecified"])
+                named = {x.name for x in self.out.members[before:]}
+                s.unmatched_docs = [{"name": k, "text": v} for k, v in (doc["parameters"] if doc else {}).items() if k.rpartition(".")[2] not in named]
             at = close + 1
 
     def members(self, s: Symbol, start: int, end: int, parent: int | None, depth: int, told: dict[str, str], seen: list[str], group: bool = False) -> None:
@@ -393,18 +408,21 @@ class Scanner:
     def member(self, s: Symbol, start: int, end: int, parent: int | None, depth: int, told: dict[str, str], seen: list[str]) -> None:
         text = self.code[start:end]
         place = start + len(text) - len(text.lstrip())
-        for c_start, c_end, c in self.comments:
-            if start - 1 <= c_start and c_end <= place and (v := re.search(r"\b(private|public):", c)):
+        for c_start, c_end, c in self.comments[bisect_left(self.comment_starts, start - 1) : bisect_right(self.comment_starts, place)]:
+            if c_end <= place and (v := re.search(r"\b(private|public):", c)):
                 seen[0] = v[1]
-        trailing = next((c for a, _, c in self.comments if a >= end and self.line(a) == self.line(end) and not self.code[end + 1 : a].strip()), None)
-        count = sum(m.owner == s.name and m.owner_line == s.start_line for m in self.out.members)
+        after = bisect_left(self.comment_starts, end)
+        trailing = None
+        if after < len(self.comments) and self.line(self.comment_starts[after]) == self.line(end) and not self.code[end + 1 : self.comment_starts[after]].strip():
+            trailing = self.comments[after][2]
 
         def put(name, kind, type_text, declaration, **more) -> int:
-            nonlocal count
-            note = told.get(name or "") or inline_doc(self.comment_before(place) or "", name) or (squash(re.sub(r"^/\*+<?|\*/$|^//+", "", trailing)) if trailing else None)
-            self.out.members.append(Member(s.name, s.start_line, count, parent, depth, name, kind, type_text, squash(declaration), self.line(place), description=note, visibility=seen[0], conditions=list(self.under(place)), **more))
-            count += 1
-            return count - 1
+            count = self.sizes.get(id(s), 0)
+            notes = {"kernel-doc": told.get(name or ""), "inline-kernel-doc": inline_doc(self.comment_before(place) or "", name), "source-comment": squash(re.sub(r"^/\*+<?|\*/$|^//+", "", trailing)) if trailing else None}
+            source, note = next(((k, v) for k, v in notes.items() if v), (None, None))
+            self.out.members.append(Member(s.name, s.start_line, count, parent, depth, name, kind, type_text, squash(declaration), self.line(place), self.line(max(place, end - 1)), description=note, description_source=source, visibility=seen[0], conditions=list(self.under(place)), **more))
+            self.sizes[id(s)] = count + 1
+            return count
 
         if group := re.match(r"\s*(struct_group(?:_attr|_tagged)?|__struct_group)\s*\(", text):
             close = matching(text, group.end() - 1)

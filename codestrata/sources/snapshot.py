@@ -17,7 +17,7 @@ from codestrata import schema
 from codestrata.operators import calls as call_ops
 from codestrata.operators import ownership, paths, resolution
 from codestrata.functions.owners import CATCH_ALL_NAME, compile_rules
-from codestrata.functions.storage import materialize
+from codestrata.functions.storage import materialize, numbered
 from codestrata.sources import makefiles, tree
 from codestrata.sources.owners import parse_sections
 
@@ -39,15 +39,11 @@ class Catalog:
         return name in self.tables
 
 
-def _ids(df: DataFrame, *order) -> DataFrame:
-    return df.withColumn("id", F.row_number().over(Window.orderBy(*order)).cast("long"))
-
-
 def build(spark: SparkSession, root: str, kinds: tuple[str, ...] = schema.DEFAULT_KINDS, owner_file: str = "MAINTAINERS") -> Catalog:
     """Scan, parse, own, roll up and resolve one source tree."""
     raw = materialize(tree.read_tree(spark, root), "raw")
     order = [F.size(F.split("path", "/")), F.split("path", "/")]
-    files = _ids(raw, *order).withColumn("name", F.element_at(F.split("path", "/"), -1)).withColumn("ext", F.regexp_extract("name", r"(\.[^.]+)$", 1))
+    files = numbered(raw, "numbered_files", *order).withColumn("name", F.element_at(F.split("path", "/"), -1)).withColumn("ext", F.regexp_extract("name", r"(\.[^.]+)$", 1))
     known = {r["path"] for r in raw.select("path").toLocalIterator()}  # a tree's paths, as its listing was
     texts = {r["path"]: r["content"] for r in raw.filter(F.element_at(F.split("path", "/"), -1).isin(*makefiles.NAMES, owner_file) & F.col("content").isNotNull()).select("path", "content").toLocalIterator()}
     roots: set[str] = set()
@@ -63,8 +59,8 @@ def build(spark: SparkSession, root: str, kinds: tuple[str, ...] = schema.DEFAUL
 
     parsed = materialize(tree.parse_sources(raw, kinds), "parsed")
     where = files.select("path", F.col("id").alias("file_id"))
-    symbols = parsed.select("path", F.posexplode("symbols").alias("at", "s")).select("path", "at", "s.*").join(where, "path")
-    symbols = materialize(_ids(symbols, "file_id", "at"), "symbols")
+    symbols = parsed.select("path", F.posexplode("symbols").alias("at", "s")).select("path", "at", "s.*").join(where, "path").join(parsed.select("path", "warnings"), "path")
+    symbols = materialize(numbered(symbols, "numbered_symbols", "file_id", "at"), "symbols")
     key = symbols.select(F.col("id").alias("owner_id"), "file_id", F.col("name").alias("o_name"), F.col("start_line").alias("o_line"), F.col("kind").alias("o_kind"))
 
     def attach(column: str, name: str, line: str | None, of: tuple[str, ...]) -> DataFrame:
@@ -73,7 +69,7 @@ def build(spark: SparkSession, root: str, kinds: tuple[str, ...] = schema.DEFAUL
         return rows.join(k, (F.col("file_id") == F.col("o_file")) & (F.col(name) == F.col("o_name")) & (F.col(line) == F.col("o_line") if line else F.lit(True))).drop("o_file", "o_name", "o_line", "o_kind")
 
     members = attach("members", "owner", "owner_line", ("struct", "union")).withColumnRenamed("owner_id", "symbol_id")
-    members = materialize(_ids(members, "symbol_id", "ordinal"), "members")
+    members = materialize(numbered(members, "numbered_members", "symbol_id", "ordinal"), "members")
     up = members.select(F.col("symbol_id").alias("p_symbol"), F.col("ordinal").alias("p_ordinal"), F.col("id").alias("parent_id"))
     members = members.join(up, (F.col("symbol_id") == F.col("p_symbol")) & (F.col("parent") == F.col("p_ordinal")), "left").drop("p_symbol", "p_ordinal")
     sites = attach("sites", "caller", "caller_line", ("function", "syscall")).select(F.col("owner_id").alias("caller_id"), "callee", "kind", "line", "byte_offset")
@@ -108,9 +104,9 @@ def build(spark: SparkSession, root: str, kinds: tuple[str, ...] = schema.DEFAUL
     made = {
         "dirs": dirs,
         "files": files,
-        "symbols": symbols.withColumn("parse_complete", F.lit(True)).withColumn("parse_warnings", F.array().cast("array<string>")).withColumn("unmatched_member_docs", F.create_map().cast("map<string,string>")),
+        "symbols": symbols.withColumn("parse_complete", F.size("warnings") == 0).withColumn("parse_warnings", F.col("warnings")).withColumn("unmatched_member_docs", F.map_from_entries("unmatched_docs")),
         "type_aliases": aliases,
-        "type_members": members.withColumn("start_line", F.col("line")).withColumn("end_line", F.col("line")).withColumn("description_source", F.when(F.col("description").isNotNull(), "kernel-doc")).withColumn("is_anonymous", F.col("name").isNull()).withColumn("generated_by", F.lit(None).cast("string")),
+        "type_members": members.withColumn("start_line", F.col("line")).withColumn("is_anonymous", F.col("name").isNull()).withColumn("generated_by", F.lit(None).cast("string")),
         "subsystems": names.join(counts.select("id", "n_files", "n_primary_files"), "id"),
         "path_subsys": claims.withColumn("ref_kind", F.lit("file")),
         "dir_subsys": owners,

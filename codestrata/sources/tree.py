@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +15,8 @@ PARSE_CAP, TEXT_CAP, PROBE = 4 << 20, 1 << 20, 8192
 SOURCE_EXT, DOC_EXT = (".c", ".h", ".h_shipped", ".S"), (".rst", ".txt", ".md", ".yaml", ".yml")
 
 FILE_COLUMNS = "path string, size long, lines long, is_symlink boolean, link_target string, index_status string, index_error string, content string"
-_SYMBOL = "name:string,kind:string,start_line:int,end_line:int,signature:string,is_static:boolean,is_inline:boolean,is_exported:boolean,is_anonymous:boolean,summary:string,description:string,conditions:array<string>"
-_MEMBER = "owner:string,owner_line:int,ordinal:int,parent:int,depth:int,name:string,kind:string,type_text:string,declaration:string,line:int,bit_width:string,array_dimensions:array<string>,description:string,visibility:string,conditions:array<string>"
+_SYMBOL = "name:string,kind:string,start_line:int,end_line:int,signature:string,is_static:boolean,is_inline:boolean,is_exported:boolean,is_anonymous:boolean,summary:string,description:string,conditions:array<string>,unmatched_docs:array<struct<name:string,text:string>>"
+_MEMBER = "owner:string,owner_line:int,ordinal:int,parent:int,depth:int,name:string,kind:string,type_text:string,declaration:string,line:int,end_line:int,bit_width:string,array_dimensions:array<string>,description:string,description_source:string,visibility:string,conditions:array<string>"
 _SITE = "caller:string,caller_line:int,callee:string,kind:string,line:int,byte_offset:long"
 _CONTRACT = "name:string,line:int,summary:string,parameters:array<struct<name:string,text:string>>,description:string,context:string,returns:string"
 PARSED = f"path string, symbols array<struct<{_SYMBOL}>>, members array<struct<{_MEMBER}>>, sites array<struct<{_SITE}>>, contracts array<struct<{_CONTRACT}>>, includes array<struct<name:string,quoted:boolean,line:int>>, aliases array<struct<owner:string,owner_line:int,name:string>>, warnings array<string>"
@@ -41,17 +42,34 @@ def listing(root: str) -> list[tuple[str, str | None]]:
     return out
 
 
-def status_of(raw: bytes | None, path: str) -> tuple[str, str | None]:
-    """(status, text to keep): what happens to a file's content."""
-    if raw is None:
-        return "read_error", None
+def _keeps(path: str) -> int:
+    """How many bytes of a file's text are kept at most; 0 if its text isn't used."""
     ext = os.path.splitext(path)[1]
-    if b"\0" in raw[:PROBE]:
-        return ("skipped_binary" if ext in SOURCE_EXT else "binary"), None
     if ext in SOURCE_EXT:
-        return ("skipped_oversize", None) if len(raw) > PARSE_CAP else ("parsed", raw.decode("utf-8", "replace"))
-    keep = (path.startswith("Documentation/") and ext in DOC_EXT and len(raw) <= TEXT_CAP) or path.rpartition("/")[2] in ("Makefile", "Kbuild", "Build", "MAINTAINERS")
-    return "indexed", raw.decode("utf-8", "replace") if keep else None
+        return PARSE_CAP
+    if path.startswith("Documentation/") and ext in DOC_EXT:
+        return TEXT_CAP
+    return PARSE_CAP if path.rpartition("/")[2] in ("Makefile", "Kbuild", "Build", "MAINTAINERS") else 0
+
+
+def read_counted(source, path: str, step: int = 1 << 20) -> tuple[int, int, str, str | None]:
+    """(bytes, lines, status, text to keep) of an open binary file, read in steps: no more than the cap is held."""
+    cap, size, newlines, binary, last, held = _keeps(path), 0, 0, False, b"", bytearray()
+    while chunk := source.read(step):
+        if size < PROBE:
+            binary |= b"\0" in chunk[: PROBE - size]
+        size, newlines, last = size + len(chunk), newlines + chunk.count(b"\n"), chunk[-1:]
+        if cap and not binary and size <= cap:
+            held += chunk
+        else:
+            held.clear()
+    lines = newlines + (size > 0 and last != b"\n")
+    code = os.path.splitext(path)[1] in SOURCE_EXT
+    if binary:
+        return size, lines, "skipped_binary" if code else "binary", None
+    if code and size > cap:
+        return size, lines, "skipped_oversize", None
+    return size, lines, "parsed" if code else "indexed", held.decode("utf-8", "replace") if cap and size <= cap else None
 
 
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
@@ -67,15 +85,12 @@ def read_tree(spark: SparkSession, root: str) -> DataFrame:
                 if link is not None:
                     rows.append((path, 0, 0, True, link, "symlink", None, None))
                     continue
-                error, raw = None, None
                 try:
                     with open(os.path.join(root, path), "rb") as f:
-                        raw = f.read()
+                        size, n, status, text = read_counted(f, path)
+                    rows.append((path, size, n, False, None, status, None, text))
                 except OSError as e:  # recorded as evidence, not hidden
-                    error = str(e)
-                status, text = status_of(raw, path)
-                n = raw.count(b"\n") + (not raw.endswith(b"\n")) if raw else 0
-                rows.append((path, len(raw or b""), n, False, None, status, error, text))
+                    rows.append((path, 0, 0, False, None, "read_error", str(e), None))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in FILE_COLUMNS.split(", ")]).astype({"link_target": object, "index_error": object, "content": object})
 
     parts = max(1, min(4 * spark.sparkContext.defaultParallelism, 1 + listed.count() // 250))
@@ -93,8 +108,8 @@ def read_binary_files(spark: SparkSession, root: str) -> DataFrame:
         for frame in frames:
             out = []
             for path, size, raw in zip(frame["path"], frame["length"], frame["content"]):
-                status, text = status_of(bytes(raw), path)
-                out.append((path, size, raw.count(b"\n") + (not raw.endswith(b"\n")) if raw else 0, False, None, status, None, text))
+                _, n, status, text = read_counted(io.BytesIO(raw), path)
+                out.append((path, size, n, False, None, status, None, text))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in FILE_COLUMNS.split(", ")]).astype({"link_target": object, "index_error": object, "content": object})
 
     return rows.mapInPandas(read, FILE_COLUMNS)

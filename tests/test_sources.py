@@ -246,3 +246,36 @@ def test_reports(spark, built):
     assert report["aliases"] == ["packet_t"] and report["coverage"]["total"] == 15 and [m["name"] for m in report["members"]][:2] == ["size", "flag"]
     assert reports.source_lines(spark.createDataFrame([("a", "x\ny\nz")], "path string, content string"), "a", 2, 3) == ["y", "z"]
     assert reports.check_manifest(built.manifest, t) == [] and "schema_version" in reports.check_manifest(built.manifest | {"schema_version": 1}, t)
+
+
+def test_member_evidence():
+    p = cscan.parse("/**\n * struct a - x\n * @one: told\n * @gone: no such member\n */\nstruct a {\n\tint one;\n\t/** @two: inline */\n\tint two;\n\tint three; /* trailing */\n\tint four,\n\t\tfive;\n};\n")
+    assert [(m.name, m.description, m.description_source, m.line, m.end_line) for m in p.members] == [("one", "told", "kernel-doc", 7, 7), ("two", "inline", "inline-kernel-doc", 9, 9), ("three", "trailing", "source-comment", 10, 10), ("four", None, None, 11, 12), ("five", None, None, 11, 12)]
+    assert p.symbols[0].unmatched_docs == [{"name": "gone", "text": "no such member"}]
+
+
+def test_byte_offsets():
+    source = "int é(void);\nint f(void)\n{\n\tg(); /* ä€😀 */ h();\n\treturn k(l(1));\n}\n"
+    assert [(s.callee, s.byte_offset) for s in cscan.parse(source).sites] == [(n, source.encode().index(f"{n}(".encode(), 20)) for n in ("g", "h", "k", "l")]
+
+
+def test_files_are_counted_in_steps():
+    import io
+
+    from codestrata.sources import tree
+
+    for step in (1, 3, 1 << 20):
+        read = lambda raw, path: tree.read_counted(io.BytesIO(raw), path, step)
+        assert read(b"a\nb", "x.c") == (3, 2, "parsed", "a\nb") and read(b"", "x.h") == (0, 0, "parsed", "")
+        assert read(b"a\n\0b", "x.c") == (4, 2, "skipped_binary", None) and read(b"\0", "x.bin") == (1, 1, "binary", None)
+        assert read(b"text\n", "a/README") == (5, 1, "indexed", None) and read(b"text\n", "Documentation/a.rst") == (5, 1, "indexed", "text\n")
+    big = b"x\n" * (tree.PARSE_CAP // 2 + 1)
+    assert tree.read_counted(io.BytesIO(big), "x.c") == (len(big), tree.PARSE_CAP // 2 + 1, "skipped_oversize", None)
+
+
+def test_numbers_are_dense_in_order(spark):
+    from codestrata.functions.storage import numbered
+
+    df = spark.createDataFrame([(i * 7919 % 1000, f"r{i}") for i in range(1000)], "k int, name string").repartition(7)
+    got = {r["k"]: r["id"] for r in numbered(df, "numbers", "k").collect()}
+    assert got == {k: k + 1 for k in range(1000)}
