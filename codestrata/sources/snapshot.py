@@ -1,11 +1,10 @@
-"""Snapshots: built from a tree, written beside a manifest, published by one rename, opened with a schema check."""
+"""Snapshots: built from a tree, written beside a manifest, published by one pointer, opened with a schema check."""
 
 from __future__ import annotations
 
 import json
 import os
 import re
-import shutil
 import time
 import uuid
 from dataclasses import dataclass, field
@@ -22,6 +21,9 @@ from codestrata.sources import makefiles, tree
 from codestrata.sources.owners import parse_sections
 
 
+POINTER = ".snapshot"
+
+
 @dataclass
 class Catalog:
     """Evidence tables by name, and what the manifest says."""
@@ -41,6 +43,7 @@ class Catalog:
 
 def build(spark: SparkSession, root: str, kinds: tuple[str, ...] = schema.DEFAULT_KINDS, owner_file: str = "MAINTAINERS") -> Catalog:
     """Scan, parse, own, roll up and resolve one source tree."""
+    began = time.monotonic()
     raw = materialize(tree.read_tree(spark, root), "raw")
     order = [F.size(F.split("path", "/")), F.split("path", "/")]
     files = numbered(raw, "numbered_files", *order).withColumn("name", F.element_at(F.split("path", "/"), -1)).withColumn("ext", F.regexp_extract("name", r"(\.[^.]+)$", 1))
@@ -119,52 +122,96 @@ def build(spark: SparkSession, root: str, kinds: tuple[str, ...] = schema.DEFAUL
     }
     tables = {k: df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.TABLES[k]]) for k, df in made.items()}
     version = makefiles.detect_version(texts.get("Makefile", "")) or "unknown"
-    return Catalog(tables, {"schema_version": schema.SCHEMA_VERSION, "version": version, "has_calls": True, "has_call_sites": True, "has_document_text": True, "has_function_docs": True, "built_at": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())})
+    return Catalog(tables, {"schema_version": schema.SCHEMA_VERSION, "version": version, "has_calls": True, "has_call_sites": True, "has_document_text": True, "has_function_docs": True, "build_seconds": round(time.monotonic() - began, 3), "built_at": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())})
+
+
+class Store:
+    """Small files in any file system Spark can write to: the pointers and manifests of snapshots."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.jvm = spark, spark._jvm
+        self.conf = spark._jsc.hadoopConfiguration()
+        self.fs = self.path(root).getFileSystem(self.conf)
+        self.local = self.fs.getScheme() == "file"
+
+    def path(self, uri: str):
+        return self.jvm.org.apache.hadoop.fs.Path(uri)
+
+    def exists(self, uri: str) -> bool:
+        return self.fs.exists(self.path(uri))
+
+    def read(self, uri: str) -> str:
+        return bytes(self.spark.read.format("binaryFile").load(uri).select("content").first()[0]).decode()
+
+    def put(self, uri: str, text: str) -> None:
+        """Writes a file beside its place and renames it there, over one that may be there, in one step."""
+        new = f"{uri}.{uuid.uuid4().hex}"
+        if self.local:
+            target, scratch = (self.path(u).toUri().getPath() for u in (uri, new))
+            with open(scratch, "w", encoding="utf-8") as f:
+                f.write(text)
+            os.replace(scratch, target)
+            return
+        out = self.fs.create(self.path(new), True)
+        try:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()
+        over = self.spark._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        over[0] = self.jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.path(uri).toUri(), self.conf).rename(self.path(new), self.path(uri), over)
+
+    def names(self, uri: str) -> list[str]:
+        return [s.getPath().getName() for s in self.fs.listStatus(self.path(uri)) if s.isFile()] if self.exists(uri) else []
+
+    def remove(self, uri: str) -> None:
+        self.fs.delete(self.path(uri), True)
 
 
 def publish(catalog: Catalog, root: str, name: str | None = None, check=None) -> str:
-    """Writes a snapshot beside its final place, audits it there, then renames; a failure leaves the old one in place.
+    """Writes a snapshot's tables to a folder of their own, audits them there, then points the name at it.
 
-    check: called with the scratch Catalog, returns names of violated checks.
+    The pointer is one small file that is replaced in one step, so the name always means a whole
+    snapshot, the old or the new one. A failure leaves the old one in place. check: called with
+    the written Catalog, returns names of violated checks.
     """
     name = name or catalog.manifest["version"]
-    scratch, final = os.path.join(root, f".{name}.{uuid.uuid4().hex}"), os.path.join(root, name)
-    os.makedirs(scratch)
+    spark = next(iter(catalog.tables.values())).sparkSession
+    store, pointer = Store(spark, root), f"{root}/{name}{POINTER}"
+    data = f"data-{name}-{uuid.uuid4().hex}"
     try:
         counts = {}
-        spark = next(iter(catalog.tables.values())).sparkSession
         for k, df in catalog.tables.items():
-            df.write.parquet(os.path.join(scratch, k))
-            counts[k] = spark.read.parquet(os.path.join(scratch, k)).count()
-        with open(os.path.join(scratch, "manifest.json"), "w", encoding="utf-8") as f:
-            json.dump(catalog.manifest | {"counts": counts}, f, indent=2, ensure_ascii=False)
-        if check is not None and (bad := check(open_snapshot(spark, scratch))):
+            df.write.parquet(f"{root}/{data}/{k}")
+            counts[k] = spark.read.parquet(f"{root}/{data}/{k}").count()
+        store.put(f"{root}/{data}/manifest.json", json.dumps(catalog.manifest | {"counts": counts}, indent=2, ensure_ascii=False))
+        if check is not None and (bad := check(open_snapshot(spark, f"{root}/{data}"))):
             raise ValueError(f"the snapshot fails {sorted(bad)}")
-        if os.path.isdir(final):
-            old = os.path.join(root, f".{name}.old.{uuid.uuid4().hex}")
-            os.replace(final, old)
-            os.replace(scratch, final)
-            shutil.rmtree(old)
-        else:
-            os.replace(scratch, final)
-    finally:
-        shutil.rmtree(scratch, ignore_errors=True)
-    return final
+        old = store.read(pointer) if store.exists(pointer) else None
+        store.put(pointer, data)
+    except BaseException:
+        store.remove(f"{root}/{data}")
+        raise
+    if old:
+        store.remove(f"{root}/{old}")
+    return f"{root}/{name}"
 
 
 def open_snapshot(spark: SparkSession, path: str) -> Catalog:
-    """Opens and checks a snapshot: readable version, all tables and columns; optional evidence by the manifest's flags."""
-    with open(os.path.join(path, "manifest.json"), encoding="utf-8") as f:
-        manifest = json.load(f)
+    """Opens and checks a snapshot, by its published path or its folder: readable version, all tables and columns; optional evidence by the manifest's flags."""
+    store = Store(spark, path)
+    if store.exists(path + POINTER):
+        path = f"{path.rpartition('/')[0]}/{store.read(path + POINTER)}"
+    manifest = json.loads(store.read(f"{path}/manifest.json"))
     if manifest.get("schema_version") not in schema.READABLE_VERSIONS:
         raise ValueError(f"schema version {manifest.get('schema_version')} can't be read")
     tables = {}
     for k, expected in schema.TABLES.items():
         if k in schema.OPTIONAL and not manifest.get(schema.OPTIONAL[k]):
             continue
-        if not os.path.isdir(os.path.join(path, k)):
+        if not store.exists(f"{path}/{k}"):
             raise ValueError(f"table {k} is missing")
-        found = spark.read.parquet(os.path.join(path, k))
+        found = spark.read.parquet(f"{path}/{k}")
         if missing := {f.name for f in expected} - set(found.columns):
             raise ValueError(f"table {k} lacks {sorted(missing)}")
         tables[k] = found
@@ -177,9 +224,10 @@ def version_key(name: str) -> tuple:
     return (tuple(int(x) for x in re.findall(r"\d+", base)), int(rc) if rc.isdigit() else 10**9, name)
 
 
-def list_snapshots(root: str) -> list[str]:
-    names = [n for n in os.listdir(root) if not n.startswith(".") and os.path.isfile(os.path.join(root, n, "manifest.json"))]
-    return sorted(names, key=version_key)
+def list_snapshots(root: str, spark: SparkSession | None = None) -> list[str]:
+    """The published names, in version order."""
+    found = Store(spark or SparkSession.active(), root).names(root)
+    return sorted((n.removesuffix(POINTER) for n in found if n.endswith(POINTER)), key=version_key)
 
 
 def match_snapshot(names: list[str], prefix: str) -> str:
@@ -190,3 +238,20 @@ def match_snapshot(names: list[str], prefix: str) -> str:
     if len(found) != 1:
         raise ValueError(f"{prefix!r} matches {len(found)} snapshots")
     return found[0]
+
+
+def pin(spark: SparkSession, root: str, name: str) -> None:
+    """Makes a published snapshot the one that is meant when none is named."""
+    Store(spark, root).put(f"{root}/pinned", match_snapshot(list_snapshots(root, spark), name))
+
+
+def default_snapshot(spark: SparkSession, root: str) -> str:
+    """The pinned snapshot if it is still there, else the latest."""
+    names = list_snapshots(root, spark)
+    store = Store(spark, root)
+    pinned = store.read(f"{root}/pinned") if store.exists(f"{root}/pinned") else None
+    if pinned in names:
+        return pinned
+    if not names:
+        raise ValueError(f"no snapshot is published under {root}")
+    return names[-1]

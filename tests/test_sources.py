@@ -279,3 +279,20 @@ def test_numbers_are_dense_in_order(spark):
     df = spark.createDataFrame([(i * 7919 % 1000, f"r{i}") for i in range(1000)], "k int, name string").repartition(7)
     got = {r["k"]: r["id"] for r in numbered(df, "numbers", "k").collect()}
     assert got == {k: k + 1 for k in range(1000)}
+
+
+def test_publish_points_and_pins(spark, built, tmp_path):
+    root = str(tmp_path / "snapshots")
+    os.makedirs(root)
+    with pytest.raises(ValueError):
+        snapshot.default_snapshot(spark, root)
+    for name in ("6.9", "6.12.104"):
+        snapshot.publish(built, root, name)
+    first = {n for n in os.listdir(root) if n.startswith("data-")}
+    snapshot.publish(built, root, "6.9")  # the name moves to new data, the old goes
+    assert len(first) == 2 and len({n for n in os.listdir(root) if n.startswith("data-")}) == 2 and first != {n for n in os.listdir(root) if n.startswith("data-")}
+    assert snapshot.list_snapshots(root) == ["6.9", "6.12.104"] and snapshot.default_snapshot(spark, root) == "6.12.104"
+    snapshot.pin(spark, root, "6.9")
+    assert snapshot.default_snapshot(spark, root) == "6.9" and snapshot.open_snapshot(spark, f"{root}/6.9").manifest["build_seconds"] > 0
+    complete = {r["path"]: r["parse_complete"] for r in built.symbols.join(built.files.select(F.col("id").alias("file_id"), "path"), "file_id").collect()}
+    assert all(complete.values())
