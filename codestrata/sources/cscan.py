@@ -468,7 +468,7 @@ class Scanner:
             name = found[1] if found and (i or len(words) > 1) and not (bits and i == 0 and len(words) == 1) else None
             kind = "unnamed_bitfield" if bits and name is None else "field"
             type_text = squash(bare[: found.start(1)]) if name and not i else squash(re.sub(r"[\s*]*\w+\s*(?:\[[^\]]*\]\s*)*$", "", parts[0].split(":")[0])) if i else squash(bare)
-            put(name, kind, type_text, text if len(parts) == 1 else f"{type_text} {part.strip()}", bit_width=bits[1].strip() if bits else None, array_dimensions=dims)
+            put(name, kind, type_text, text if len(parts) == 1 else part if not i else f"{type_text} {part.strip()}", bit_width=bits[1].strip() if bits else None, array_dimensions=dims)
 
 
 def kernel_doc(comment: str) -> dict | None:
