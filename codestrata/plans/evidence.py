@@ -10,7 +10,7 @@ from codestrata.functions import text as strings
 from codestrata.functions.owners import compile_rules
 from codestrata.operators import audit, calls, docs, graph, listing, ownership, paths, reports, resolution, structures, targets, text
 from codestrata.plans.adapter import CATCH_ALL
-from codestrata.plans.catalogue import _AREA, _LINES, _RANK, _RESOLVE, BELOW, CLAIMS, ENTRY_SYMBOLS, OWN, SECTION, Tables, query
+from codestrata.plans.catalogue import _AREA, _CALLS, _FLOW, _LINES, _RANK, _RESOLVE, BELOW, CLAIMS, ENTRY_SYMBOLS, OWN, SECTION, Tables, query
 from codestrata.sources import sinks
 
 # Ownership rules: the patterns, and in SQL what each means, spelled out.
@@ -220,6 +220,27 @@ def info_cards(t: Tables) -> DataFrame:
 # Calls and graphs.
 
 
+def _top_flow(direction: str, own: str, other: str) -> str:
+    return _FLOW % (own, other, direction, "NOT internal") + " ORDER BY edges DESC, subsystem NULLS FIRST LIMIT 3"
+
+
+@query(_top_flow("outgoing", "source_file", "target_file"), _CALLS)
+def call_flow_outgoing_top(t: Tables) -> DataFrame:
+    return calls.flows(t.calls, t.symbols, t.claims, t.sections, SECTION, "outgoing", limit=3, catch_all=CATCH_ALL)
+
+
+@query(_top_flow("incoming", "target_file", "source_file"), _CALLS)
+def call_flow_incoming_top(t: Tables) -> DataFrame:
+    """Each direction has its own limit."""
+    return calls.flows(t.calls, t.symbols, t.claims, t.sections, SECTION, "incoming", limit=3, catch_all=CATCH_ALL)
+
+
+@query(f"""{CLAIMS}, k AS (SELECT ref_id FROM claims WHERE is_primary AND subsystem_id = {SECTION}), c AS (SELECT c.resolution FROM k_calls c JOIN k_symbols s ON s.id = c.caller_id WHERE s.file_id IN (SELECT ref_id FROM k)) SELECT """ + ", ".join(f"count(*) FILTER (WHERE resolution = '{s}') AS {s}" for s in calls.STATUSES) + ", count(*) FILTER (WHERE resolution IN ('same_file', 'included_source', 'unique_global')) AS resolved, count(*) AS total FROM c", _CALLS)
+def section_coverage(t: Tables) -> DataFrame:
+    """How far one section's calls are resolved."""
+    return calls.coverage(t.calls, t.symbols, t.claims, SECTION)
+
+
 @query("x AS (SELECT 1) SELECT c.caller_id AS node, c.callee_id AS neighbour, c.callee, f.path, s.start_line, c.caller_id, c.resolution, c.direct_count, c.callee_id IS NOT NULL AND (c.indirect_count > 0 OR c.macro_count > 0) AS mixed FROM k_calls c JOIN k_symbols s ON s.id = c.caller_id JOIN k_files f ON f.id = s.file_id", "k_calls k_files")
 def adjacency_outgoing(t: Tables) -> DataFrame:
     return graph.adjacency(t.calls, t.symbols, t.files)

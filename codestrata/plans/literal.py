@@ -307,14 +307,29 @@ def image_domains(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([(p, makefiles.image_domain(p)) for p, _ in _IMAGES], "path string, domain string")
 
 
-_INCLUDES = [("a/b.c", "c.h", True, "a/c.h"), ("a/b.c", "../x/d.h", True, "x/d.h"), ("a/b.c", "linux/fs.h", False, "include/linux/fs.h"), ("arch/arm/k/s.c", "asm/io.h", False, "arch/arm/include/asm/io.h"), ("a/b.c", "c.h", False, None), ("a/b.c", "nowhere.h", True, None)]
+_INCLUDES = [
+    ("a/b.c", "c.h", True, "a/c.h"),
+    ("a/b.c", "../x/d.h", True, "x/d.h"),
+    ("a/b.c", "linux/fs.h", False, "include/linux/fs.h"),
+    ("arch/arm/k/s.c", "asm/io.h", False, "arch/arm/include/asm/io.h"),
+    ("a/b.c", "linux/types.h", False, "include/uapi/linux/types.h"),
+    ("a/b.c", "c.h", False, None),
+    ("a/b.c", "nowhere.h", True, None),
+    ("drv/net/n.c", "drv.h", False, "drv/include/drv.h"),
+    ("drv/net/n.c", "own.h", False, "drv/net/inc/own.h"),
+    ("drv/net/one.c", "only.h", False, "lib/one/only.h"),
+    ("drv/net/n.c", "only.h", False, None),
+    ("drv/other.c", "own.h", False, None),
+]
+_FLAGS = {"drv": "subdir-ccflags-y += -I$(srctree)/drv/include\n", "drv/net": "ccflags-y := -I$(src)/inc -I$(VENDOR)/x -I/usr/include -DX\nCFLAGS_one.o += -I lib/one\n"}
 
 
 @query(_values("includer name quoted target", _INCLUDES))
 def include_targets(t: Tables) -> DataFrame:
-    """The files that includes mean."""
-    known = {"a/c.h", "x/d.h", "include/linux/fs.h", "arch/arm/include/asm/io.h"}
-    return t.spark.createDataFrame([(a, b, q, makefiles.include_target(a, b, q, known)) for a, b, q, _ in _INCLUDES], "includer string, name string, quoted boolean, target string")
+    """The files that includes mean: beside the includer, in the usual directories, or in those that Makefiles add."""
+    known = {"a/c.h", "x/d.h", "include/linux/fs.h", "include/uapi/linux/types.h", "arch/arm/include/asm/io.h", "drv/include/drv.h", "drv/net/inc/own.h", "lib/one/only.h"}
+    flags = {d: makefiles.include_flags(d, text) for d, text in _FLAGS.items()}
+    return t.spark.createDataFrame([(a, b, q, makefiles.include_target(a, b, q, known, flags)) for a, b, q, _ in _INCLUDES], "includer string, name string, quoted boolean, target string")
 
 
 _FILES = [("x.c", b"a\nb", 3, 2, "parsed", True), ("x.h", b"", 0, 0, "parsed", True), ("y.c", b"a\0b\n", 4, 1, "skipped_binary", False), ("logo.png", b"\0", 1, 1, "binary", False), ("README", b"one\ntwo\n", 8, 2, "indexed", False), ("Documentation/a.rst", b"Title\n", 6, 1, "indexed", True), ("Makefile", b"x = 1", 5, 1, "indexed", True), ("big.c", b"x\n" * ((tree.PARSE_CAP >> 1) + 1), tree.PARSE_CAP + 2, (tree.PARSE_CAP >> 1) + 1, "skipped_oversize", False)]

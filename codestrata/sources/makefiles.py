@@ -92,13 +92,54 @@ def image_domain(path: str) -> str | None:
     return f"image:{found[1]}" if found and found[2] not in VDSO_GLUE else None
 
 
-def include_target(includer: str, name: str, quoted: bool, files: set[str]) -> str | None:
-    """The file an ``#include`` of a source means: beside it if quoted, else under the include directories; None if unknown."""
+#: Where all of the kernel's sources look, in this order, after their architecture's own directories.
+SHARED_INCLUDES = ("include", "include/uapi")
+
+
+def include_flags(directory: str, text: str) -> dict[str, list[str]]:
+    """The ``-I`` directories that a Makefile adds, relative to the tree: by ``""`` for its own directory's
+    sources, ``"/"`` for those of all directories below too, and an object's name for that one.
+
+    ``$(srctree)`` is the tree's root and ``$(src)``, ``$(obj)`` are the Makefile's directory; a path
+    without either is meant from the root, as builds run there. Directories that hold another
+    variable, and absolute ones, aren't known and are left out.
+    """
+    out: dict[str, list[str]] = {}
+    for name, op, value in assignments(text):
+        found = re.fullmatch(r"(subdir-)?(?:cc|as)flags-(?:y|m|\$[({]\w+[)}])|EXTRA_CFLAGS|[CA]FLAGS_([\w./-]+\.o)", name)
+        if not found:
+            continue
+        key = "/" if found[1] else found[2] or ""
+        if op != "+=" and key in out:
+            out[key] = []
+        for flag in re.findall(r"(?:^|\s)-I\s*(\S+)", value):
+            path = re.sub(r"\$[({](?:src|obj)[)}]", directory or ".", re.sub(r"\$[({](?:src|obj)tree[)}]/?", "", flag))
+            if "$" not in path and not path.startswith("/"):
+                out.setdefault(key, []).append(_join("", path))
+    return out
+
+
+def include_dirs(includer: str, flags: dict[str, dict[str, list[str]]]) -> list[str]:
+    """The directories where an includer's headers are looked for, in order: architecture, shared, then what
+    Makefiles add, outer directories' before inner ones'. flags: include_flags() by directory."""
+    directory, _, file = includer.rpartition("/")
+    arch = re.match(r"arch/[^/]+", includer)
+    found = [f"{arch[0]}/include", f"{arch[0]}/include/uapi"] if arch else []
+    found += SHARED_INCLUDES
+    parts = directory.split("/") if directory else []
+    for k in range(len(parts) + 1):
+        found += flags.get("/".join(parts[:k]), {}).get("/", [])
+    own = flags.get(directory, {})
+    found += own.get("", []) + own.get(re.sub(r"\.[cS]$", ".o", file), [])
+    return list(dict.fromkeys(found))
+
+
+def include_target(includer: str, name: str, quoted: bool, files: set[str], flags: dict[str, dict[str, list[str]]] | None = None) -> str | None:
+    """The file an ``#include`` of a source means: beside it if quoted, else the first of include_dirs() that has it; None if unknown."""
     beside = _join(includer.rpartition("/")[0], name)
     if quoted and beside in files:
         return beside
-    arch = re.match(r"arch/[^/]+", includer)
-    for root in ([f"{arch[0]}/include"] if arch else []) + ["include", ""]:
+    for root in [*include_dirs(includer, flags or {}), ""]:
         if (p := _join(root, name)) in files:
             return p
     return None

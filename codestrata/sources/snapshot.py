@@ -51,8 +51,10 @@ def build(spark: SparkSession, root: str, kinds: tuple[str, ...] = schema.DEFAUL
     texts = {r["path"]: r["content"] for r in raw.filter(F.element_at(F.split("path", "/"), -1).isin(*makefiles.NAMES, owner_file) & F.col("content").isNotNull()).select("path", "content").toLocalIterator()}
     roots: set[str] = set()
     domains = {p: d for p in known if (d := makefiles.image_domain(p))}
+    flags: dict[str, dict[str, list[str]]] = {}
     for path, text in texts.items():
         if path.rpartition("/")[2] in makefiles.NAMES:
+            flags[path.rpartition("/")[0]] = makefiles.include_flags(path.rpartition("/")[0], text)
             r, d = makefiles.targets(path.rpartition("/")[0], text, known)
             roots |= r
             domains |= d
@@ -83,7 +85,7 @@ def build(spark: SparkSession, root: str, kinds: tuple[str, ...] = schema.DEFAUL
 
     pairs = []
     for r in parsed.select("path", F.inline("includes")).filter("name like '%.c'").toLocalIterator():
-        target = makefiles.include_target(r["path"], r["name"], r["quoted"], known)
+        target = makefiles.include_target(r["path"], r["name"], r["quoted"], known, flags)
         if target and target != r["path"]:
             pairs.append((r["path"], target, r["line"]))
     edges = spark.createDataFrame(pairs, "a string, b string, line int").join(where.select(F.col("path").alias("a"), F.col("file_id").alias("includer_id")), "a").join(where.select(F.col("path").alias("b"), F.col("file_id").alias("included_id")), "b").select("includer_id", "included_id", "line")
