@@ -14,6 +14,10 @@ COPY_TREES = ("tools/", "samples/", "Documentation/", "usr/")
 KIND_RANK = {"function": 0, "syscall": 0, "struct": 1, "union": 1, "enum": 1, "typedef": 1, "macro": 2, "variable": 3, "prototype": 4}
 
 
+#: Candidates that are listed; their number is always exact.
+MOST_CANDIDATES = 1000
+
+
 @dataclass
 class Resolution:
     target: Row | None
@@ -73,10 +77,12 @@ def ranked_symbols(symbols: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def resolve_symbol(symbols: DataFrame, files: DataFrame, name: str) -> Resolution:
-    rows = symbol_targets(symbols.filter(F.col("name") == name.strip()), files).orderBy(*definition_order()).collect()
+    found = symbol_targets(symbols.filter(F.col("name") == name.strip()), files)
+    rows = found.orderBy(*definition_order()).limit(MOST_CANDIDATES).collect()
     if not rows:
         return Resolution(None, [], f"no symbol in the index is named {name.strip()!r}")
-    return Resolution(rows[0], rows[1:], f"{len(rows)} symbols named {name.strip()!r}; showing the most likely definition" if len(rows) > 1 else "")
+    n = len(rows) if len(rows) < MOST_CANDIDATES else found.count()
+    return Resolution(rows[0], rows[1:], f"{n} symbols named {name.strip()!r}; showing the most likely definition" if n > 1 else "")
 
 
 def candidates(spec: str, dirs: DataFrame, files: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -121,11 +127,13 @@ def candidates(spec: str, dirs: DataFrame, files: DataFrame, symbols: DataFrame)
 
 
 def resolve(spec: str, dirs: DataFrame, files: DataFrame, symbols: DataFrame) -> Resolution:
-    rows = candidates(spec, dirs, files, symbols).orderBy("tier", "rank").collect()
+    found = candidates(spec, dirs, files, symbols)
+    rows = found.orderBy("tier", "rank").limit(MOST_CANDIDATES).collect()
     if not rows:
         return Resolution(None, [], f"nothing in the index matches {spec!r}")
     tier = [r for r in rows if r["tier"] == rows[0]["tier"]]
-    note = f"{len(tier)} candidates for {spec!r}; showing the most likely one" if len(tier) > 1 else ""
+    n = len(tier) if len(rows) < MOST_CANDIDATES else found.filter(F.col("tier") == rows[0]["tier"]).count()
+    note = f"{n} candidates for {spec!r}; showing the most likely one" if n > 1 else ""
     return Resolution(tier[0], [*tier[1:], *[r for r in rows if r["tier"] != rows[0]["tier"]]], note)
 
 
@@ -160,7 +168,7 @@ def resolve_area(spec: str, dirs: DataFrame, files: DataFrame, symbols: DataFram
     """A directory if one matches, else the directory of that name under ``kernel/``, else what resolve() finds."""
     raw = normalize(spec)
     for path in (raw, f"kernel/{raw}"):
-        rows = directory_targets(dirs.filter(F.col("path") == path)).collect()
+        rows = directory_targets(dirs.filter(F.col("path") == path)).limit(1).collect()
         if rows:
             return Resolution(rows[0], [])
     return resolve(spec, dirs, files, symbols)

@@ -11,7 +11,7 @@ import re
 from bisect import bisect_left, bisect_right
 from dataclasses import asdict, dataclass, field
 
-KEYWORDS = frozenset("if for while switch return sizeof typeof __typeof__ do else case goto asm __asm__ __attribute__ _Static_assert static_assert defined alignof _Alignof __alignof__".split())
+KEYWORDS = frozenset("if for while switch return sizeof typeof __typeof__ do else case goto asm __asm__ __attribute__ _Static_assert static_assert defined alignof _Alignof __alignof__ int char void long short unsigned signed float double _Bool bool const struct union enum".split())
 #: Macros that define an object, by the argument that names it, and generated attributes.
 NAMED_FIRST = re.compile(
     r"DECLARE_(?:WORK|DELAYED_WORK|DEFERRABLE_WORK|BITMAP|COMPLETION(?:_ONSTACK)?|WAIT_QUEUE_HEAD(?:_ONSTACK)?|TIMER|TRANSPORT_CLASS|RWSEM)"
@@ -39,6 +39,9 @@ _SYSCALL = re.compile(r"\b(COMPAT_)?SYSCALL_DEFINE\d\s*\(\s*(\w+)")
 _EXPORT = re.compile(r"\bEXPORT(?:_PER_CPU)?_SYMBOL(?:_GPL|_NS|_NS_GPL|_FOR_MODULES)?\s*\(\s*(\w+)")
 _AGGREGATE = re.compile(r"\b(struct|union|enum)\s+(?:__\w+(?:\([^()]*\))?\s+)*(\w+)?\s*(?:__\w+(?:\([^()]*\))?\s*)*\{")
 _CALL = re.compile(r"(?<![\w.])(?:(->|\.)\s*)?([A-Za-z_]\w*)\s*\(")
+_POINTER = re.compile(r"\(\s*\*\s*(?:const\s+)?(\w+)\s*(?:\[[^\]]*\]\s*)*\)\s*\(")
+_LOCAL = re.compile(r"(?<=[;{}])\s*(?:(?:const|static|volatile|register|unsigned|signed|struct|union|enum)\s+)*([A-Za-z_]\w*)(?:\s*\*+\s*|\s+)(?:const\s+)?([A-Za-z_]\w*)\s*(?=[=;,\[])")
+_NO_TYPE = frozenset("return goto break continue extern typedef".split())
 _COMMENT = re.compile(r"/\*.*?\*/|//[^\n]*|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'", re.S)
 
 
@@ -162,7 +165,9 @@ class Scanner:
 
         self.code = _COMMENT.sub(hide, source)
         self.out = Parsed([], [], [], [], [], [], [])
-        self.macros: list[tuple[int, str, bool]] = []  # place, name, defined
+        self.macros: dict[str, list[tuple[int, bool, tuple]]] = {}  # by name: place, defined, the branches around it
+        self.branches: list[tuple[int, tuple]] = [(0, ())]  # the branches around what follows a place: (conditional, branch number)
+        self.choices: dict[int, int] = {}  # by conditional: how many ways through it there are, the one past all branches too
         self.conditions: list[tuple[int, list[str]]] = [(0, [])]
         self.comment_starts = [c[0] for c in self.comments]
         self.sizes: dict[int, int] = {}  # members so far, by aggregate
@@ -181,35 +186,44 @@ class Scanner:
     def _directives(self) -> None:
         """Preprocessor lines: macros, includes and condition stacks; then they are blanked."""
         stack: list[str] = []
+        path: list[tuple[int, int]] = []
+        closed: set[int] = set()  # conditionals with a final #else
         pieces, last = [], 0
         for m in re.finditer(r"^[ \t]*#[ \t]*(\w+)((?:[^\n\\]|\\\n|\\.)*)", self.code, re.M):
             word, rest, at = m[1], m[2], m.start()
             text = squash(rest.replace("\\\n", " "))
             if word in ("if", "ifdef", "ifndef"):
                 stack.append({"if": text, "ifdef": f"defined({text})", "ifndef": f"!defined({text})"}[word])
+                path.append((at, 0))
             elif word in ("else", "elif") and stack:
                 stack[-1] = f"!({stack[-1]})" if word == "else" else text
+                path[-1] = (path[-1][0], path[-1][1] + 1)
+                if word == "else":
+                    closed.add(path[-1][0])
             elif word == "endif" and stack:
                 stack.pop()
+                group, branch = path.pop()
+                self.choices[group] = branch + 1 + (group not in closed)
             elif word == "define" and (d := re.match(r"\s*(\w+)", rest)):
-                self.macros.append((at, d[1], True))
+                self.macros.setdefault(d[1], []).append((at, True, tuple(path)))
                 head = re.match(r"\s*\w+(\([^)]*\))?", rest)[0]
                 self.out.symbols.append(Symbol(d[1], "macro", self.line(at), self.line(m.end()), squash("#define" + " " + head.strip()), conditions=list(stack)))
             elif word == "undef":
-                self.macros.append((at, text, False))
+                self.macros.setdefault(text, []).append((at, False, tuple(path)))
             elif word == "include" and (d := re.match(r"\s*(?:\"([^\"]*)\"|<([^>]*)>)", self.source[m.start(2) : m.end(2)])):
                 self.out.includes.append((d[1] if d[1] is not None else d[2], d[1] is not None, self.line(at)))
             self.conditions.append((at, list(stack)))
+            self.branches.append((at, tuple(path)))
             pieces += [self.code[last:at], _blank(m[0])]
             last = m.end()
         self.code = "".join([*pieces, self.code[last:]])
 
     def under(self, at: int) -> list[str]:
-        return self.conditions[bisect_right([p for p, _ in self.conditions], at) - 1][1]
+        return self.conditions[bisect_right(self.conditions, at, key=lambda c: c[0]) - 1][1]
 
     def comment_before(self, at: int) -> str | None:
         """The comment that ends right above a place."""
-        i = bisect_right([e for _, e, _ in self.comments], at) - 1
+        i = bisect_right(self.comments, at, key=lambda c: c[1]) - 1
         return self.comments[i][2] if i >= 0 and not self.code[self.comments[i][1] : at].strip() else None
 
     def chunks(self):
@@ -349,27 +363,72 @@ class Scanner:
     def calls(self, name: str, start: int, head: str, body: int, end: int) -> None:
         """Call sites: member and local objects are called indirectly, macros of this file defined above by macro."""
         code, line = self.code, self.line(start + len(head) - len(head.lstrip()))
-        inside = code[body:end]
-        local = {m[1] for m in re.finditer(r"\(\s*\*\s*(\w+)\s*\)\s*\(", head + inside) if not re.match(r"\s*\(", head)}
-        local |= {m[1] for m in re.finditer(r"\b(?:struct\s+\w+|[A-Za-z_]\w*)\s*\*?\s*\b(\w+)\s*(?=[=;,)])", head[head.find("(") :])}
+        bound = self.bindings(head, body, end)
         for m in _CALL.finditer(code, body, end):
             callee = m[2]
+            if not m[1] and _POINTER.match(code, m.end() - 1):
+                continue  # a declared pointer to functions that return this type
             before = code[max(0, m.start() - 80) : m.start(2)].rstrip()
             if callee in KEYWORDS or (not m[1] and re.search(r"(?:^|[;{}])\s*(?:static\s+|const\s+|extern\s+)*(?:struct\s+|union\s+|enum\s+|unsigned\s+)?[A-Za-z_]\w*\s*\**$", before) and not re.search(r"\b(?:return|else|do|goto|case)\s*$", before) and not before.endswith((";", "{", "}"))):
                 continue
             member = bool(m[1]) or before.endswith(("->", ".")) and not before.endswith("...")
-            kind = "indirect" if member or callee in local else "macro" if self.live(callee, m.start()) else "direct"
+            kind = "indirect" if member or any(a <= m.start(2) < b for a, b in bound.get(callee, ())) else "macro" if self.live(callee, m.start()) else "direct"
             self.out.sites.append(Site(name, line, callee, kind, self.line(m.start(2)), self.byte(m.start(2))))
 
+    def bindings(self, head: str, body: int, end: int) -> dict[str, list[tuple[int, int]]]:
+        """Where names mean local objects: parameters in the whole body, locals from their declaration to their block's end."""
+        out: dict[str, list[tuple[int, int]]] = {}
+        for m in _POINTER.finditer(head):
+            if not re.match(r"\s*\(", head):
+                out.setdefault(m[1], []).append((body, end))
+        for m in re.finditer(r"\b(?:struct\s+\w+|[A-Za-z_]\w*)\s*\*?\s*\b(\w+)\s*(?=[=;,)])", head[head.find("(") :]):
+            out.setdefault(m[1], []).append((body, end))
+        found = [(m.end(1), m[1]) for m in _POINTER.finditer(self.code, body, end)]
+        for m in _LOCAL.finditer(self.code, body, end):
+            if m[1] not in KEYWORDS and m[1] not in _NO_TYPE:
+                found.append((m.end(2), m[2]))
+        if not found:
+            return out
+        blocks, open_ = [], []
+        for m in re.finditer(r"[{}]", self.code[body:end]):
+            if m[0] == "{":
+                open_.append(body + m.start())
+            elif open_:
+                blocks.append((open_.pop(), body + m.start()))
+        for at, name in found:
+            stop = min((b for a, b in blocks if a < at <= b), default=end)
+            out.setdefault(name, []).append((at, stop))
+        return out
+
     def live(self, name: str, at: int) -> bool:
-        """Whether a macro of this file may be defined at a place; a conditional #undef leaves it possible."""
-        alive = False
-        for place, macro, defined in self.macros:
-            if place >= at:
-                break
-            if macro == name:
-                alive = defined or (alive and bool(self.under(place)))
-        return alive
+        """Whether a macro of this file is defined at a place in some configuration that compiles the place.
+
+        Exact: a conditional is one stretch of the file, so what holds after it is what holds after
+        any one of its branches; of conditionals around the place only its own branch counts.
+        """
+        if name not in self.macros:
+            return False
+        here = dict(self.branches[bisect_right(self.branches, at, key=lambda b: b[0]) - 1][1])
+
+        def after(events: list, depth: int, states: set[bool]) -> set[bool]:
+            i = 0
+            while i < len(events):
+                _, defined, path = events[i]
+                if len(path) == depth:
+                    states, i = {defined}, i + 1
+                    continue
+                group, by_branch = path[depth][0], {}
+                while i < len(events) and len(events[i][2]) > depth and events[i][2][depth][0] == group:
+                    by_branch.setdefault(events[i][2][depth][1], []).append(events[i])
+                    i += 1
+                if group in here:
+                    states = after(by_branch.get(here[group], []), depth + 1, states)
+                else:
+                    past = states if len(by_branch) < self.choices.get(group, len(by_branch) + 1) else set()
+                    states = past.union(*(after(e, depth + 1, states) for e in by_branch.values()))
+            return states
+
+        return True in after([e for e in self.macros[name] if e[0] < at], 0, {False})
 
     def aggregates(self, start: int, end: int) -> None:
         at = start

@@ -81,7 +81,12 @@ VDSO_GLUE = ("extable.c", "vma.c", "vdso.c", "vdso32-setup.c")
 
 
 def image_domain(path: str) -> str | None:
-    """The separately linked image a path belongs to: BPF, EFI stub, boot, purgatory, real mode or vDSO."""
+    """The separately linked image a path belongs to, None for the kernel proper.
+
+    A BPF program is an image of its own; the EFI stub is one; an architecture's boot, compressed
+    boot, purgatory and real-mode directories are one each; a vDSO directory is one, less the
+    kernel-side files in it (VDSO_GLUE).
+    """
     if path.endswith(".bpf.c"):
         return f"isolated:{path}"
     if path.startswith("drivers/firmware/efi/libstub/"):

@@ -296,3 +296,89 @@ def test_publish_points_and_pins(spark, built, tmp_path):
     assert snapshot.default_snapshot(spark, root) == "6.9" and snapshot.open_snapshot(spark, f"{root}/6.9").manifest["build_seconds"] > 0
     complete = {r["path"]: r["parse_complete"] for r in built.symbols.join(built.files.select(F.col("id").alias("file_id"), "path"), "file_id").collect()}
     assert all(complete.values())
+
+
+def test_locals_are_called_indirectly_in_their_blocks():
+    source = """int f(int (*cb)(int), handler_t given)
+{
+	cb(1);
+	given(2);
+	late(3);
+	{
+		handler_t late = pick();
+		late(4);
+	}
+	late(5);
+	int (*ptr)(int) = 0;
+	ptr(6);
+	return done(7);
+}
+"""
+    got = [(x.callee, x.kind) for x in cscan.parse(source).sites]
+    assert got == [("cb", "indirect"), ("given", "indirect"), ("late", "direct"), ("pick", "direct"), ("late", "indirect"), ("late", "direct"), ("ptr", "indirect"), ("done", "direct")]
+
+
+def configurations(lines):
+    """For every choice of branches of a conditional text: the M that are defined where use(n); stands, by brute force."""
+    import itertools
+    import re
+
+    groups, stack = [], []
+    for text in lines:
+        if text.startswith("#if"):
+            groups.append([1, False])
+            stack.append(len(groups) - 1)
+        elif text.startswith(("#elif", "#else")):
+            groups[stack[-1]][0] += 1
+            groups[stack[-1]][1] |= text.startswith("#else")
+        elif text == "#endif":
+            stack.pop()
+    seen = {}
+    for choice in itertools.product(*[range(n + (not closed)) for n, closed in groups]):
+        stack, at, on = [], -1, False
+        for text in lines:
+            if text.startswith("#if"):
+                at += 1
+                stack.append([at, 0])
+            elif text.startswith(("#elif", "#else")):
+                stack[-1][1] += 1
+            elif text == "#endif":
+                stack.pop()
+            elif all(choice[g] == b for g, b in stack):
+                if text.startswith("#"):
+                    on = text.startswith("#define")
+                elif m := re.match(r"M\((\d+)\)", text):
+                    seen[int(m[1])] = seen.get(int(m[1]), False) | on
+    return seen
+
+
+def test_macro_liveness_against_all_configurations():
+    import random
+
+    r = random.Random(4)
+    for _ in range(300):
+        lines, depth, uses = [], [], 0
+        for _ in range(r.randint(3, 22)):
+            kind = r.choice(["if", "elif", "else", "endif", "define", "undef", "use", "use"])
+            if kind == "if" and len(depth) < 3:
+                lines.append("#ifdef A")
+                depth.append(False)
+            elif kind == "elif" and depth and not depth[-1]:
+                lines.append("#elif B")
+            elif kind == "else" and depth and not depth[-1]:
+                lines.append("#else")
+                depth[-1] = True
+            elif kind == "endif" and depth:
+                lines.append("#endif")
+                depth.pop()
+            elif kind == "define":
+                lines.append("#define M(x) x")
+            elif kind == "undef":
+                lines.append("#undef M")
+            elif kind == "use":
+                lines.append(f"M({uses});")
+                uses += 1
+        lines += ["#endif"] * len(depth)
+        want = configurations(lines)
+        got = {int(source.split(")")[0]): s.kind == "macro" for s in cscan.parse("int f(void)\n{\n" + "\n".join(lines) + "\n}\n").sites for source in [("\n".join(lines)).encode()[s.byte_offset - len("int f(void)\n{\n") :].decode().removeprefix("M(")]}
+        assert got == want, lines
