@@ -7,6 +7,7 @@ table of this module.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,12 +54,12 @@ SQL = {
 }
 
 
-def spark_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table, or a table of this module as one lazy plan."""
+def spark_table(spark: SparkSession, sf_dir: str, name: str, table: Callable[[str], DataFrame] | None = None) -> DataFrame:
+    """A driver table, or a table of this module as one lazy plan. table: gives the tables of this module that it is made from."""
     if name not in SQL:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     used = set(re.findall(r"\{(\w+)\}", SQL[name]))
-    return spark.sql(SQL[name], **{u: spark_table(spark, sf_dir, u) for u in used})
+    return spark.sql(SQL[name], **{u: table(u) if table and u in SQL else spark_table(spark, sf_dir, u) for u in used})
 
 
 def with_tables(*names: str) -> str:

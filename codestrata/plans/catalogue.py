@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.functions import links
+from codestrata.functions.storage import materialize
 from codestrata.operators import audit, calls, graph, listing, ownership, paths, reports, resolution, snapshots, structures, targets, text
 from codestrata.plans.adapter import CATCH_ALL, spark_table, with_tables
 
@@ -16,28 +17,40 @@ ORACLES: dict[str, str] = {}
 SECTION, NAME = 7, "red_bolt_7"
 
 
+#: Evidence that a snapshot would hold and that takes a join or an aggregation to derive: written on first use.
+STORED = ("sites", "edges", "calls", "raw_claims")
+_stored: dict[tuple[str, str, str], DataFrame] = {}
+
+
 class Tables:
-    """Evidence tables of one driver directory, by attribute."""
+    """Evidence tables of one driver directory, by attribute. As in a snapshot, what is derived is written once and read from then on."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self._dir = spark, sf_dir
 
+    def _once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self._dir, name)
+        if key not in _stored:
+            _stored[key] = materialize(make(), name)
+        return _stored[key]
+
     def __getattr__(self, name: str) -> DataFrame:
-        df = spark_table(self.spark, self._dir, f"k_{name}")
+        make = lambda: spark_table(self.spark, self._dir, f"k_{name}", lambda used: getattr(self, used.removeprefix("k_")))
+        df = self._once(name, make) if name in STORED else make()
         setattr(self, name, df)
         return df
 
     @property
     def claims(self) -> DataFrame:
-        return paths.rank_claims(self.raw_claims, self.sections)
+        return self._once("claims", lambda: paths.rank_claims(self.raw_claims, self.sections))
 
     @property
     def sized_sections(self) -> DataFrame:
-        return paths.section_counts(self.claims, self.sections)
+        return self._once("sized_sections", lambda: paths.section_counts(self.claims, self.sections))
 
     @property
     def dirs(self) -> DataFrame:
-        return paths.directories(self.files).join(paths.directory_counts(self.files), "path")
+        return self._once("dirs", lambda: paths.directories(self.files).join(paths.directory_counts(self.files), "path"))
 
 
 def query(oracle: str | None = None, needs: str = ""):
@@ -70,7 +83,7 @@ def ownership_overlap(t: Tables) -> DataFrame:
 
 @query(f"{CLAIMS} SELECT ref_id, subsystem_id, score, rank, is_primary FROM claims", OWN)
 def ownership_rank(t: Tables) -> DataFrame:
-    return t.claims
+    return paths.rank_claims(t.raw_claims, t.sections)
 
 
 @query(f"""{CLAIMS}, {BELOW}, total AS (SELECT path, count(*) AS total FROM below GROUP BY 1), per AS (SELECT b.path, c.subsystem_id, c.name, count(*) AS n_claimed, count(*) FILTER (WHERE is_primary) AS n_primary FROM below b JOIN claims c ON c.ref_id = b.id GROUP BY ALL)
@@ -94,7 +107,7 @@ def directory_tree(t: Tables) -> DataFrame:
 
 @query(f"{CLAIMS} SELECT s.id, s.name, count(c.ref_id) AS n_files, count(c.ref_id) FILTER (WHERE c.is_primary) AS n_primary_files FROM k_sections s LEFT JOIN claims c ON c.subsystem_id = s.id GROUP BY 1, 2", OWN)
 def subsystem_rollup(t: Tables) -> DataFrame:
-    return t.sized_sections
+    return paths.section_counts(t.claims, t.sections)
 
 
 _FLOW = f"""{CLAIMS}, p AS (SELECT ref_id, subsystem_id, name FROM claims WHERE is_primary),

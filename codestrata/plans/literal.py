@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import io
+from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.functions import owners
-from codestrata.plans.catalogue import Tables, query
-from codestrata.sources import cscan, makefiles, sinks, tree
+from codestrata.functions import links, owners
+from codestrata.functions.storage import fresh_path
+from codestrata.operators import calls, graph, listing, ownership, reports, text
+from codestrata.plans.catalogue import ENTRY_SYMBOLS, Tables, query
+from codestrata.sources import cscan, makefiles, sinks, snapshot, tree
 from codestrata.sources.owners import parse_sections
 
 HEADER = """#ifndef DEMO_H
@@ -349,3 +354,118 @@ def file_status(t: Tables) -> DataFrame:
 def tree_view(t: Tables) -> DataFrame:
     """Paths as an indented tree."""
     return t.spark.createDataFrame(list(enumerate(sinks.tree_lines(["f.c", "a/e.c", "a/b/d.c", "a/b/c.c"]))), "place int, line string")
+
+
+# Inputs that are refused, one row each.
+
+
+@query(_values("case_ refused", [
+    ("symbols by size", True), ("files by size", False), ("unknown sort", True), ("unknown kind", True), ("kinds by alias", False), ("invalid expression", True), ("unknown static mode", True), ("depth 65", True), ("5001 nodes", True), ("empty text", True), ("text of 1025 characters", True),
+    ("mention of two words", True), ("mention of an identifier", False), ("scope above", True), ("absolute scope", True), ("scope with drive", True), ("plain scope", False), ("unknown direction", True), ("unknown section order", True), ("unknown column", True), ("subsystem level without ownership", True),
+]))
+def refusals(t: Tables) -> DataFrame:
+    """What operators refuse, before any job runs."""
+    none = t.spark.createDataFrame([], "caller_id long, callee_id long, resolution string, node long, neighbour long")
+    tree_scope = listing.build_scope("", "dir", "tree")
+    documents = t.documents
+    cases = {
+        "symbols by size": lambda: listing.collect(tree_scope, t.dirs, t.files, t.symbols, kinds=["function"], sort="size"),
+        "files by size": lambda: listing.collect(tree_scope, t.dirs, t.files, t.symbols, kinds=["file"], sort="size"),
+        "unknown sort": lambda: listing.order_of("colour"),
+        "unknown kind": lambda: listing.kinds_of(["gadget"]),
+        "kinds by alias": lambda: listing.kinds_of(["types", "functions"]),
+        "invalid expression": lambda: listing.search(t.symbols, t.files, "", grep="(["),
+        "unknown static mode": lambda: listing.search(t.symbols, t.files, "", static="maybe"),
+        "depth 65": lambda: graph.explore(none, 0, depth=65),
+        "5001 nodes": lambda: graph.explore(none, 0, max_nodes=5001),
+        "empty text": lambda: text.search(documents, " "),
+        "text of 1025 characters": lambda: text.search(documents, "x" * 1025),
+        "mention of two words": lambda: text.search(documents, "two words", mention=True),
+        "mention of an identifier": lambda: text.search(documents, "one_word", mention=True),
+        "scope above": lambda: text.in_documentation("../fs"),
+        "absolute scope": lambda: text.in_documentation("/Documentation/fs"),
+        "scope with drive": lambda: text.in_documentation("c:/fs"),
+        "plain scope": lambda: text.in_documentation("fs/"),
+        "unknown direction": lambda: calls.flows(t.calls, t.symbols, t.claims, t.sections, 1, "sideways"),
+        "unknown section order": lambda: ownership.section_list(t.sized_sections, "age"),
+        "unknown column": lambda: listing.projected(listing.search(t.symbols, t.files, "x"), ["colour"]),
+        "subsystem level without ownership": lambda: listing.build_scope("fs", "dir", "subsystem"),
+    }
+    rows = []
+    for name, act in cases.items():
+        try:
+            act()
+            rows.append((name, False))
+        except ValueError:
+            rows.append((name, True))
+    return t.spark.createDataFrame(rows, "case_ string, refused boolean")
+
+
+@query(_values("version tag archive", [
+    ("6.12.104", "v6.12.104", "https://cdn.kernel.org/pub/linux/kernel/v6.x/linux-6.12.104.tar.xz"), ("v6.18", "v6.18", "https://cdn.kernel.org/pub/linux/kernel/v6.x/linux-6.18.tar.xz"), ("6.12.0", None, None), ("next-20260101", None, None), ("2.6.32.1", "v2.6.32.1", "https://cdn.kernel.org/pub/linux/kernel/v2.x/linux-2.6.32.1.tar.xz"),
+]))
+def release_archives(t: Tables) -> DataFrame:
+    """Tags and archives of releases; what is no release has neither."""
+    return t.spark.createDataFrame([(v, links.release_tag(v), links.archive_url(v)) for v in ("6.12.104", "v6.18", "6.12.0", "next-20260101", "2.6.32.1")], "version string, tag string, archive string")
+
+
+@query(f"{ENTRY_SYMBOLS} SELECT kind, name, path, CAST(line AS VARCHAR) AS line, CASE WHEN is_static THEN 'true' ELSE 'false' END AS static FROM entries WHERE kind = 'struct'", "k_symbols k_files")
+def csv_entries(t: Tables) -> DataFrame:
+    """Entries written as CSV and read back."""
+    path = fresh_path(t.spark, "entries.csv")
+    sinks.write_csv(listing.projected(listing.search(t.symbols, t.files, "", kinds=["struct"], limit=0), ["kind", "name", "path", "line", "static"]), path)
+    return t.spark.read.option("header", "true").csv(path)
+
+
+_LIFE = {
+    "Makefile": "VERSION = 6\nPATCHLEVEL = 12\nSUBLEVEL = 1\n",
+    "MAINTAINERS": OWNER_FILE,
+    "red/a.c": "static int helper(int x)\n{\n\treturn x;\n}\n\nint red_one(int x)\n{\n\treturn helper(x) + missing(x);\n}\n",
+    "red/Makefile": "obj-y += a.o\n",
+    "red/old/b.c": "int old(void)\n{\n\treturn red_one(1);\n}\n",
+    "include/red.h": HEADER,
+    "Documentation/red.rst": "Red\n===\n\nAbout red_one.\n",
+    "blob.c": "\0\1",
+}
+
+
+@query(_values("part name value", [
+    *(("file", p, s) for p, s in (("Makefile", "indexed"), ("MAINTAINERS", "indexed"), ("red/a.c", "parsed"), ("red/Makefile", "indexed"), ("red/old/b.c", "parsed"), ("include/red.h", "parsed"), ("Documentation/red.rst", "indexed"), ("blob.c", "skipped_binary"), ("red/link.c", "symlink"))),
+    ("owner", "red/a.c", "RED SYSTEM"), ("owner", "include/red.h", "RED SYSTEM"), ("owner", "red/old/b.c", "THE REST"), ("owner", "blob.c", "THE REST"), ("owner", "Makefile", "THE REST"), ("owner", "MAINTAINERS", "THE REST"), ("owner", "red/Makefile", "RED SYSTEM"), ("owner", "Documentation/red.rst", "THE REST"), ("owner", "red/link.c", "RED SYSTEM"),
+    ("call", "red_one to helper", "same_file"), ("call", "red_one to missing", "unresolved"), ("call", "old to red_one", "unique_global"),
+    ("count", "symbols", "8"), ("count", "files", "9"), ("count", "dirs", "5"), ("count", "call_sites", "3"), ("count", "document_text", "1"),
+    ("published", "all", "6.12.1,6.13"), ("default", "latest", "6.13"), ("default", "pinned", "6.12.1"), ("manifest", "faults", "none"), ("manifest", "faults of a wrong count", "counts.files"), ("prefix", "6.12", "6.12.1"), ("missing", "6.14", "refused"),
+]))
+def snapshot_lifecycle(t: Tables) -> DataFrame:
+    """A small tree scanned, parsed, owned and resolved, published under two names, pinned, opened and checked."""
+    base = fresh_path(t.spark, "tree")
+    if not base.startswith("file:"):
+        raise ValueError("the tree is read from a folder that the driver and all executors share")
+    root = Path(base.removeprefix("file://"))
+    for path, content in _LIFE.items():
+        (root / path).parent.mkdir(parents=True, exist_ok=True)
+        (root / path).write_text(content)
+    (root / "red/link.c").symlink_to("a.c")
+    built = snapshot.build(t.spark, str(root))
+    store = fresh_path(t.spark, "snapshots")
+    for name in ("6.12.1", "6.13"):
+        snapshot.publish(built, store, name)
+    names = snapshot.list_snapshots(store, t.spark)
+    latest = snapshot.default_snapshot(t.spark, store)
+    snapshot.pin(t.spark, store, "6.12")
+    pinned = snapshot.default_snapshot(t.spark, store)
+    c = snapshot.open_snapshot(t.spark, f"{store}/{pinned}")
+    try:
+        snapshot.open_snapshot(t.spark, f"{store}/6.14")
+        missing = "opened"
+    except (PySparkException, Py4JJavaError):
+        missing = "refused"
+    where = c.files.select(F.col("id").alias("ref_id"), "path")
+    owned = c.path_subsys.filter("is_primary").join(where, "ref_id").join(c.subsystems.select(F.col("id").alias("subsystem_id"), "name"), "subsystem_id")
+    callers = c.symbols.select(F.col("id").alias("caller_id"), F.col("name").alias("caller"))
+    rows = [("file", r["path"], r["index_status"]) for r in c.files.collect()] + [("owner", r["path"], r["name"]) for r in owned.collect()]
+    rows += [("call", f"{r['caller']} to {r['callee']}", r["resolution"]) for r in c.calls.join(callers, "caller_id").collect()]
+    rows += [("count", k, str(c.manifest["counts"][k])) for k in ("symbols", "files", "dirs", "call_sites", "document_text")]
+    wrong = c.manifest | {"counts": c.manifest["counts"] | {"files": 1}}
+    rows += [("published", "all", ",".join(names)), ("default", "latest", latest), ("default", "pinned", pinned), ("manifest", "faults", ",".join(reports.check_manifest(c.manifest, c.tables)) or "none"), ("manifest", "faults of a wrong count", ",".join(reports.check_manifest(wrong, c.tables))), ("prefix", "6.12", snapshot.match_snapshot(names, "6.12")), ("missing", "6.14", missing)]
+    return t.spark.createDataFrame(rows, "part string, name string, value string")
