@@ -10,7 +10,8 @@ their repeat counts are fitted to the histogram by non-negative least squares (p
 gradient with momentum; long lengths weigh more, as what stays over of them costs most), a share
 of them is rounded down and held within what is left of each length, and what stays over is
 packed best fit, longest first, on counts. Of the shares in ``SHARES``, the one that leaves
-the fewest sequences is taken: exact patterns use up the short lengths that best fit needs. The plan is a list of runs: pattern p
+the fewest sequences is taken: exact patterns use up the short lengths that best fit needs. A
+share of nothing is among them, so a plan never needs more than best fit alone. The plan is a list of runs: pattern p
 repeated c times gives each of its slots c consecutive ranks of its length. Documents find
 their slot by their rank among pieces of equal length, which is a task's first rank plus a
 running count within the task, so no length, however common, meets in one task.
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from codestrata.llm.shared import materialize
 
 CAPACITY, END = 1024, 2
-SHARES = (1.0, 0.7, 0.4, 0.2)
+SHARES = (1.0, 0.7, 0.4, 0.2, 0.0)
 TOKENIZER = "byte_bpe_50k.json"
 #: Fixed value: how byte-level tokenizers split texts before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -231,14 +232,16 @@ def _rounded(left: np.ndarray, rows: np.ndarray, x: np.ndarray, capacity: int) -
                 left[length] = 0
                 break
             key = next(iter(bins[room]))
-            have = bins[room][key]
-            m = min(have, n)
-            bins[room][key] -= m
+            have, per = bins[room][key], room // length  # the tightest bin is filled as far as it goes, then the next
+            for many, size in ((min(have, n // per), per), (1 if n // per < have else 0, n % per)):
+                if many and size:
+                    bins[room][key] -= many
+                    shape = bins.setdefault(room - length * size, {})
+                    grown = (*key, *(length,) * size)
+                    shape[grown] = shape.get(grown, 0) + many
+                    left[length] -= many * size
             if not bins[room][key]:
                 del bins[room][key]
-            put = bins.setdefault(room - length, {})
-            put[(*key, length)] = put.get((*key, length), 0) + m
-            left[length] -= m
     plan += [(key, n) for shapes in bins.values() for key, n in shapes.items()]
     return plan
 

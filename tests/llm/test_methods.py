@@ -453,19 +453,19 @@ def test_plans_use_every_piece_once(hist):
         for k in lengths:
             used[k] += n
     assert used == Counter(hist)
-    assert sum(n for _, n in plan) <= first_fit(hist, 64)
+    assert sum(n for _, n in plan) <= best_fit(hist, 64)
 
 
-def first_fit(hist, capacity):
-    """Sequences that first fit, longest first, needs: what the plan may never exceed."""
+def best_fit(hist, capacity):
+    """Sequences that best fit, longest first and piece by piece, needs: what the plan may never exceed."""
     room = []
     for k in sorted(hist, reverse=True):
         for _ in range(hist[k]):
-            at = next((i for i, r in enumerate(room) if r >= k), None)
-            if at is None:
-                room.append(capacity - k)
+            fits = [(r, i) for i, r in enumerate(room) if r >= k]
+            if fits:
+                room[min(fits)[1]] -= k
             else:
-                room[at] -= k
+                room.append(capacity - k)
     return len(room)
 
 

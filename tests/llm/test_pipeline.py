@@ -278,11 +278,11 @@ def test_every_stage_against_brute_force(spark, tables, tmp_path):
         assert r["offset"] == filled[r["sequence_id"]]
         filled[r["sequence_id"]] += r["length"]
     assert max(filled.values()) <= 1024
-    room = []  # first fit, longest first: the plan must not need more
+    room = []  # best fit, longest first: the plan must not need more
     for k in sorted((r["length"] for r in rows), reverse=True):
-        at = next((i for i, x in enumerate(room) if x >= k), None)
-        if at is None:
-            room.append(1024 - k)
+        fits = [(x, i) for i, x in enumerate(room) if x >= k]
+        if fits:
+            room[min(fits)[1]] -= k
         else:
-            room[at] -= k
+            room.append(1024 - k)
     assert len(filled) <= len(room)
