@@ -5,16 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from codestrata.functions.storage import materialize
 from codestrata.functions.text import ratio
 
 CANDIDATES = 100
 
 
 def detail(members: DataFrame, symbol_id: int | None = None) -> DataFrame:
-    """Members in preorder with depth and dotted path; a flat table, as members nest without bound."""
+    """Members in preorder with depth and dotted path, unnamed members left out of paths; a flat table, as members nest
+    without bound. A round per level of nesting; members that hang on a cycle have neither depth nor path."""
     rows = members if symbol_id is None else members.filter(F.col("symbol_id") == symbol_id)
+    nodes = materialize(rows.select("id", "symbol_id", "parent_id", "name"), "members")
+    above = F.col("parent_id").eqNullSafe(F.col("p")) & (F.col("symbol_id") == F.col("ps"))
+    tops = nodes.join(nodes.select(F.col("id").alias("p"), F.col("symbol_id").alias("ps")), above, "left_anti")
+    level = placed = materialize(tops.select("id", "symbol_id", F.lit(0).alias("depth"), F.coalesce("name", F.lit("")).alias("dotted")), "level")
+    while True:
+        p = level.select(F.col("id").alias("p"), F.col("symbol_id").alias("ps"), F.col("depth").alias("d"), F.col("dotted").alias("at"))
+        below = nodes.join(p, above).select("id", "symbol_id", (F.col("d") + 1).alias("depth"), F.concat_ws(".", F.nullif("at", F.lit("")), "name").alias("dotted"))
+        level = materialize(below, "level")
+        if level.isEmpty():
+            break
+        placed = placed.union(level)
     flexible = F.coalesce(F.try_element_at("array_dimensions", F.lit(-1)) == "", F.lit(False)) if "array_dimensions" in members.columns else F.lit(False)
-    return rows.withColumn("flexible", flexible).orderBy("symbol_id", "ordinal")
+    keep = [c for c in rows.columns if c not in ("depth", "dotted")]
+    return rows.select(*keep).join(placed.drop("symbol_id"), "id", "left").withColumn("flexible", flexible).orderBy("symbol_id", "ordinal")
 
 
 def nested(rows: list[Row]) -> list[dict]:

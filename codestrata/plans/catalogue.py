@@ -370,9 +370,10 @@ def struct_coverage(t: Tables) -> DataFrame:
     return structures.coverage(t.members)
 
 
-@query("x AS (SELECT 1) SELECT id, symbol_id, parent_id, ordinal, name FROM k_members", "k_members")
+@query("""m AS (SELECT * FROM k_members), d(id, symbol_id, depth, dotted) AS (SELECT id, symbol_id, 0, coalesce(name, '') FROM m WHERE parent_id IS NULL OR NOT EXISTS (SELECT 1 FROM m p WHERE p.id = m.parent_id AND p.symbol_id = m.symbol_id)
+ UNION ALL SELECT m.id, m.symbol_id, d.depth + 1, concat_ws('.', nullif(d.dotted, ''), m.name) FROM d JOIN m ON m.parent_id = d.id AND m.symbol_id = d.symbol_id) SELECT m.id, m.symbol_id, m.parent_id, m.ordinal, m.name, CAST(d.depth AS INT) AS depth, d.dotted FROM m LEFT JOIN d ON d.id = m.id""", "k_members")
 def preorder_members(t: Tables) -> DataFrame:
-    return structures.detail(t.members).select("id", "symbol_id", "parent_id", "ordinal", "name")
+    return structures.detail(t.members).select("id", "symbol_id", "parent_id", "ordinal", "name", "depth", "dotted")
 
 
 @query("s AS (SELECT s.*, f.path FROM k_symbols s JOIN k_files f ON f.id = s.file_id WHERE kind IN ('struct', 'union')), c AS (SELECT s.*, count(*) OVER (PARTITION BY file_id, name) AS n1, (SELECT count(*) FROM s o WHERE o.file_id = s.file_id AND o.start_line <= s.start_line AND o.end_line >= s.start_line) AS n3 FROM s) SELECT id, CASE WHEN n1 = 1 THEN path || ':' || name WHEN n3 = 1 THEN path || ':' || start_line END AS selector FROM c", "k_symbols k_files")
