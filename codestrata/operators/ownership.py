@@ -120,6 +120,12 @@ def directory_labels(owners: DataFrame, sections: DataFrame, open_files: DataFra
     return rows.select("path", label.alias("label"))
 
 
+def ancestry(places: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, depth, path, label): the directories above each place (id, path), outermost first, with their directory_labels()."""
+    above = places.select("id", F.posexplode(ancestors(F.col("path"))).alias("depth", "path"))
+    return above.join(labels, "path", "left").select("id", "depth", "path", "label")
+
+
 def unclaimed_counts(files: DataFrame, claims: DataFrame) -> DataFrame:
     """(path, n): files without a primary owner below each directory that has any."""
     return unclaimed(files, claims).select(F.explode(ancestors(F.col("path"))).alias("path")).groupBy("path").agg(F.count("*").alias("n"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.functions import links
-from codestrata.functions.storage import materialize
+from codestrata.functions.storage import exists, fresh_path, materialize_at
 from codestrata.operators import audit, calls, graph, listing, ownership, paths, reports, resolution, snapshots, structures, targets, text
 from codestrata.plans.adapter import CATCH_ALL, spark_table, with_tables
 
@@ -19,7 +19,7 @@ SECTION, NAME = 7, "red_bolt_7"
 
 #: Evidence that a snapshot would hold and that takes a join or an aggregation to derive: written on first use.
 STORED = ("sites", "edges", "calls", "raw_claims")
-_stored: dict[tuple[str, str, str], DataFrame] = {}
+_stored: dict[tuple[str, str, str], tuple[str, DataFrame]] = {}  # path and table by session, directory and name
 
 
 class Tables:
@@ -30,9 +30,10 @@ class Tables:
 
     def _once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         key = (self.spark.sparkContext.applicationId, self._dir, name)
-        if key not in _stored:
-            _stored[key] = materialize(make(), name)
-        return _stored[key]
+        if key not in _stored or not exists(self.spark, _stored[key][0]):
+            path = fresh_path(self.spark, name)
+            _stored[key] = path, materialize_at(make(), path)
+        return _stored[key][1]
 
     def __getattr__(self, name: str) -> DataFrame:
         make = lambda: spark_table(self.spark, self._dir, f"k_{name}", lambda used: getattr(self, used.removeprefix("k_")))

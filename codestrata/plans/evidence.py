@@ -10,7 +10,7 @@ from codestrata.functions import text as strings
 from codestrata.functions.owners import compile_rules
 from codestrata.operators import audit, calls, docs, graph, listing, ownership, paths, reports, resolution, structures, targets, text
 from codestrata.plans.adapter import CATCH_ALL
-from codestrata.plans.catalogue import _AREA, _CALLS, _FLOW, _LINES, _RANK, _RESOLVE, BELOW, CLAIMS, ENTRY_SYMBOLS, OWN, SECTION, Tables, query
+from codestrata.plans.catalogue import _AREA, _CALLS, _FLOW, _LINES, _RANK, _RESOLVE, BELOW, CLAIMS, ENTRY_SYMBOLS, ORACLES, OWN, SECTION, Tables, query
 from codestrata.sources import sinks
 
 # Ownership rules: the patterns, and in SQL what each means, spelled out.
@@ -70,6 +70,14 @@ def section_directories(t: Tables) -> DataFrame:
     return ownership.section_directories(paths.directory_owners(t.files, t.claims, t.sections, CATCH_ALL), SECTION).limit(25)
 
 
+@query(f"{BELOW}, lab AS ({ORACLES['directory_labels']}) SELECT b.id, CAST(b.k AS INT) AS depth, b.path, lab.label FROM below b LEFT JOIN lab ON lab.path = b.path", "k_files")
+def ancestry_labels(t: Tables) -> DataFrame:
+    """Every file's directories with their labels."""
+    owners = paths.directory_owners(t.files, t.claims, t.sections, CATCH_ALL)
+    labels = ownership.directory_labels(owners, t.sections, ownership.unclaimed_counts(t.files, t.claims), t.dirs.select("path"), CATCH_ALL)
+    return ownership.ancestry(t.files.select("id", "path"), labels)
+
+
 _SECTION_SORTS = {"size": "n_primary_files DESC, n_files DESC, name", "claimed": "n_files DESC, name", "primary": "n_primary_files DESC, name", "name": "name"}
 
 
