@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codestrata.functions.storage import fresh_path, materialize, materialize_at, remove
 
-__all__ = ["apart", "components", "fold_ascii", "fresh_path", "join_hot", "materialize", "stars", "word_array", "word_count"]
+__all__ = ["apart", "components", "fold_ascii", "fresh_path", "join_hot", "materialize", "stars", "word_count"]
 
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -25,12 +25,6 @@ def fold_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def word_array(c: Column) -> Column:
-    """The words of a text (null: none), as an array."""
-    parts = F.split(F.coalesce(c, F.lit("")), f"{SPACE}+")
-    return F.filter(parts, lambda w: w != "")
-
-
 def word_count(c: Column) -> Column:
     return F.coalesce(F.regexp_count(c, F.lit(WORD)), F.lit(0)).cast("long")
 
