@@ -131,10 +131,11 @@ def frames(traces: DataFrame, text: str = "text") -> DataFrame:
     offsets = F.filter("tokens", lambda t, i: named(t) & F.coalesce((F.get("tokens", i + 1) == "+") & F.get("tokens", i + 2).startswith("0x"), F.lit(False)))
     after = F.filter(F.slice("tokens", F.array_position("tokens", "in").cast("int") + 1, n), named)
     names = F.filter(F.flatten(F.transform("tokens", lambda t: F.split(t, r"\."))), named)
+    has_offset, has_in = F.contains("l", F.lit("+")), F.contains("l", F.lit("in"))  # cheap tests first
     found = (
-        F.when(F.size(offsets) > 0, F.transform(offsets, base))
+        F.when(has_offset & (F.size(offsets) > 0), F.transform(offsets, base))
         .when((n == 1) & named(first) & first.rlike(r"\.\w"), F.array(base(first)))
-        .when((F.array_position("tokens", "in") > 1) & (F.size(after) > 0), F.transform(F.slice(after, 1, 1), base))
+        .when(has_in & (F.array_position("tokens", "in") > 1) & (F.size(after) > 0), F.transform(F.slice(after, 1, 1), base))
         .when(F.size(names) == 1, names)
     )
     return rows.filter(~mark).select(*keep, "line", F.posexplode(found).alias("nth", "frame"))
