@@ -159,7 +159,7 @@ class Store:
             out.write(bytearray(text.encode()))
         finally:
             out.close()
-        over = self.spark._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        over = self.spark.sparkContext._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 1)
         over[0] = self.jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
         self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.path(uri).toUri(), self.conf).rename(self.path(new), self.path(uri), over)
 

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import io
+import json
 import os
+import shutil
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.sources import cscan
 
+#: Follows a tree's name: the list of its links in a store that has none.
+LINKS = ".links.json"
 SKIPPED = (".git", ".github", ".svn", "__pycache__")
 PARSE_CAP, TEXT_CAP, PROBE = 4 << 20, 1 << 20, 8192
 SOURCE_EXT, DOC_EXT = (".c", ".h", ".h_shipped", ".S"), (".rst", ".txt", ".md", ".yaml", ".yml")
@@ -72,8 +76,36 @@ def read_counted(source, path: str, step: int = 1 << 20) -> tuple[int, int, str,
     return size, lines, "parsed" if code else "indexed", held.decode("utf-8", "replace") if cap and size <= cap else None
 
 
+def upload(spark: SparkSession, source: str, root: str) -> None:
+    """A tree that the driver can open, written to any store Spark writes to. Links, which most stores
+    can't hold, go to a list beside the tree, from which ``read_tree`` takes them."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(root)
+    fs = at.getFileSystem(conf)
+    if fs.getScheme() == "file":
+        shutil.copytree(source, at.toUri().getPath(), symlinks=True)
+        return
+    links = {}
+    for path, link in listing(source):
+        if link is None:
+            fs.copyFromLocalFile(False, True, jvm.org.apache.hadoop.fs.Path(f"file://{os.path.abspath(source)}", path), jvm.org.apache.hadoop.fs.Path(at, path))
+        else:
+            links[path] = link
+    out = fs.create(jvm.org.apache.hadoop.fs.Path(root.rstrip("/") + LINKS), True)
+    try:
+        out.write(bytearray(json.dumps(links).encode()))
+    finally:
+        out.close()
+
+
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
-    """Files of a tree the executors can open, with content where it is used. Reading is spread over tasks by path."""
+    """Files of a tree, with content where it is used: from a folder the executors can open, where reading
+    is spread over tasks by path, or from any other store."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.getScheme() != "file":
+        return read_binary_files(spark, root)
+    root = at.toUri().getPath()
     listed = spark.createDataFrame(listing(root), "path string, link_target string")
 
     def read(frames):
@@ -98,9 +130,17 @@ def read_tree(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_binary_files(spark: SparkSession, root: str) -> DataFrame:
-    """The same from any store Spark reads, by its binary file source; links can't be seen there."""
+    """The same from any store Spark reads, by its binary file source; links are those that ``upload`` listed. Spark
+    lists no names there that begin with a dot or an underscore."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(root)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    top = fs.makeQualified(at).toString().rstrip("/") + "/"
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    rows = rows.select(F.regexp_replace("path", "^.*?" + root.rstrip("/").rpartition("/")[2] + "/", "").alias("path"), "length", "content")
+    rows = rows.select(F.substring("path", len(top) + 1, 1 << 20).alias("path"), "length", "content")
+    beside = root.rstrip("/") + LINKS
+    links = json.loads(bytes(spark.read.format("binaryFile").load(beside).select("content").first()[0])) if fs.exists(jvm.org.apache.hadoop.fs.Path(beside)) else {}
+    linked = spark.createDataFrame([(p, 0, 0, True, to, "symlink", None, None) for p, to in sorted(links.items())], FILE_COLUMNS)
 
     def read(frames):
         import pandas as pd
@@ -112,7 +152,7 @@ def read_binary_files(spark: SparkSession, root: str) -> DataFrame:
                 out.append((path, size, n, False, None, status, None, text))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in FILE_COLUMNS.split(", ")]).astype({"link_target": object, "index_error": object, "content": object})
 
-    return rows.mapInPandas(read, FILE_COLUMNS)
+    return rows.mapInPandas(read, FILE_COLUMNS).union(linked)
 
 
 def parse_sources(files: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFrame:
