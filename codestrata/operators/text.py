@@ -86,8 +86,9 @@ def contract_texts(contracts: DataFrame, symbols: DataFrame, files: DataFrame) -
     return rows.select("path", "line", F.inline(F.concat(single, params))).filter("coalesce(text, '') != ''")
 
 
-def search(documents: DataFrame, text: str, scope: Column | None = None, mention: bool = False, contracts: DataFrame | None = None, limit: int = 0) -> DataFrame:
-    """Literal hits (case-insensitive) or mentions of an identifier, one a line; documents come before contracts, the limit is shared."""
+def search(documents: DataFrame, text: str, scope: Column | None = None, mention: bool = False, contracts: DataFrame | None = None, limit: int | None = 0) -> DataFrame:
+    """Literal hits (case-insensitive) or mentions of an identifier, one a line; documents come before contracts, the limit is shared.
+    0 stands for ``MOST_HITS``, which no number exceeds; None gives all hits."""
     if not text.strip() or len(text) > MOST_TEXT:
         raise ValueError(f"search text must have 1 to {MOST_TEXT} characters")
     if mention and not text.isascii() or mention and not text.isidentifier():
@@ -100,7 +101,7 @@ def search(documents: DataFrame, text: str, scope: Column | None = None, mention
         found = contracts.withColumn("start", start).filter("start >= 0").select("path", "line", F.lit("contract").alias("source_kind"), F.col("section").alias("heading"), snippet(F.col("text"), F.col("start"), len(text)).alias("snippet"), F.lit(1).alias("tier"))
         out = out.union(found)
     out = out.orderBy("tier", "path", "line", "heading").drop("tier")
-    return out.limit(min(limit or MOST_HITS, MOST_HITS))
+    return out if limit is None else out.limit(min(limit or MOST_HITS, MOST_HITS))
 
 
 def contract(contracts: DataFrame, symbols: DataFrame, symbol_id: int | None = None) -> DataFrame:

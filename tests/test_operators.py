@@ -288,3 +288,17 @@ def test_directory_labels(spark):
     owners = paths.directory_owners(files, claims, sections, CATCH_ALL_NAME)
     got = {r["path"]: r["label"] for r in ownership.directory_labels(owners, sections, ownership.unclaimed_counts(files, claims), paths.directories(files).select("path")).collect()}
     assert got["fs"] == "Filesystems (mixed)" and got["x"] == "Mixed (1 subsystem + unclassified)" and got["y"] == "B" and got["z"] is None and got[""].startswith("Mixed (2 subsystems")
+
+
+def test_search_gives_all_hits_unless_limited(spark):
+    df = spark.createDataFrame([(f"Documentation/src0/{k}.txt", "\n".join(["The license, version 2"] * 3000)) for k in range(2)], "path string, content string")
+    assert text.search(df, "License, Version", limit=None).count() == 6000
+    assert text.search(df, "license").count() == text.search(df, "license", limit=9000).count() == text.MOST_HITS
+
+
+@pytest.mark.parametrize("name", ["text_search", "text_in_scope"])
+def test_registered_searches_give_all_hits(spark, tmp_path, name):
+    import __spark_entry__ as entry
+
+    spark.createDataFrame([(k, "\n".join(["The license, version 2"] * 3000), "en", "src0", 9) for k in range(2)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert entry.queries()[name](spark, str(tmp_path)).count() == 6000
