@@ -302,3 +302,13 @@ def test_registered_searches_give_all_hits(spark, tmp_path, name):
 
     spark.createDataFrame([(k, "\n".join(["The license, version 2"] * 3000), "en", "src0", 9) for k in range(2)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert entry.queries()[name](spark, str(tmp_path)).count() == 6000
+
+
+def test_contract_hits_gives_all_hits(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    n = 3000
+    spark.range(n).selectExpr("id AS p_partkey", "'red bolt' AS p_name", "'Brand#11' AS p_brand", "'PROMO' AS p_type", "3 AS p_size").write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(2 * n).selectExpr("id DIV 2 AS conv_id", "CAST(id % 2 AS INT) AS turn", "'about the bolt' AS text").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert entry.queries()["contract_hits"](spark, str(tmp_path)).count() == 2 * n
