@@ -312,3 +312,17 @@ def test_contract_hits_gives_all_hits(spark, tmp_path):
     spark.range(2 * n).selectExpr("id DIV 2 AS conv_id", "CAST(id % 2 AS INT) AS turn", "'about the bolt' AS text").write.parquet(f"{tmp_path}/conversations.parquet")
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert entry.queries()["contract_hits"](spark, str(tmp_path)).count() == 2 * n
+
+
+def test_section_of_part_of_several_names(spark):
+    from codestrata.operators import reports
+
+    names = ["Part 11", *[f"Part 11{k}" for k in range(60)], "Part 12", "Other 12"]
+    counts = spark.createDataFrame([(k, n, k, 0) for k, n in enumerate(names)], "id long, name string, n_files long, n_primary_files long")
+    dirs = spark.createDataFrame([], "id long, path string, parent_id long, name string, depth int")
+    files = spark.createDataFrame([], "id long, path string, name string")
+    symbols = spark.createDataFrame([], "id long, file_id long, name string, kind string, start_line int, end_line int, is_static boolean")
+    claims = spark.createDataFrame([], "ref_id long, subsystem_id long, is_primary boolean")
+    section = lambda spec: reports.section_of(spec, counts, dirs, files, symbols, claims)
+    assert section("t 11") == 0 and section("T 1159") == 60  # 61 names hold "t 11", one ends with it
+    assert section(" 12") is None and section("Part") is None and section("none") is None
