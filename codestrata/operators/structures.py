@@ -62,21 +62,60 @@ def resolve_structure(symbols: DataFrame, aliases: DataFrame, name: str, kind: s
     return rows.filter(F.col("name") == name).unionByName(rows.join(also, "id", "left_semi").select(rows.columns)).dropDuplicates(["id"])
 
 
+_REFERENCE = ["file_id", "line", "owner_id", "kind", "name", "role"]
+
+
+def _names(symbols: DataFrame, aliases: DataFrame, files: DataFrame) -> DataFrame:
+    """(key_kind, key, target_id, …): what each struct, union and enum is called: its tag, and typedefs."""
+    types = symbols.filter(F.col("kind").isin("struct", "union", "enum")).join(files.select(F.col("id").alias("file_id"), "ext"), "file_id").select(F.col("id").alias("target_id"), F.col("file_id").alias("target_file"), "ext", F.col("kind").alias("target_kind"), F.col("name").alias("target_name"), "start_line")
+    tagged = types.select("*", F.col("target_name").alias("key"), F.col("target_kind").alias("key_kind"))
+    aliased = types.join(aliases.select(F.col("symbol_id").alias("target_id"), F.col("name").alias("key")), "target_id").select(*types.columns, "key", F.lit("typedef").alias("key_kind"))
+    return tagged.unionByName(aliased)
+
+
+def _candidates(references: DataFrame, symbols: DataFrame, aliases: DataFrame, files: DataFrame, cap: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """References with a definition in their own file, a row per candidate; all others, once each; and (kind, name, candidates,
+    targets) of the headers. Which of the two a reference is, its file, kind and name tell; what headers offer is the same for all
+    references of a kind and name and is listed once, so no reference meets more than ``cap`` of them."""
+    named = _names(symbols, aliases, files)
+    once = references.select(*_REFERENCE).distinct()
+    here = named.select(F.col("target_file").alias("file_id"), F.col("key_kind").alias("kind"), F.col("key").alias("name"), "target_id", "start_line")
+    elsewhere = once.join(here.select("file_id", "kind", "name").distinct(), ["file_id", "kind", "name"], "left_anti")
+    functions = symbols.filter(F.col("kind").isin("function", "syscall")).select(F.col("file_id").alias("span_file"), F.col("start_line").alias("span_start"), F.col("end_line").alias("span_end"))
+    inner = once.join(here, ["file_id", "kind", "name"]).join(functions, (F.col("file_id") == F.col("span_file")) & F.col("start_line").between(F.col("span_start"), F.col("span_end")) & F.col("line").between(F.col("span_start"), F.col("span_end")), "left")
+    rows = inner.withColumn("scope", F.when(F.col("span_start").isNotNull(), 0).otherwise(1)).groupBy(*_REFERENCE, "target_id").agg(F.min("scope").alias("scope"))
+    by = Window.partitionBy(*_REFERENCE)
+    rows = rows.withColumn("best", F.min("scope").over(by)).filter("scope = best").withColumn("candidates", F.count("*").over(by)).withColumn("at", F.row_number().over(by.orderBy("target_id")))
+    heads = named.filter(F.col("ext").isin(".h", ".h_shipped")).select(F.col("key_kind").alias("kind"), F.col("key").alias("name"), "target_id").distinct()
+    of = Window.partitionBy("kind", "name")
+    heads = heads.withColumn("candidates", F.count("*").over(of)).withColumn("at", F.row_number().over(of.orderBy("target_id"))).filter(F.col("at") <= cap)
+    heads = heads.groupBy("kind", "name").agg(F.max("candidates").alias("candidates"), F.collect_list("target_id").alias("targets"))
+    return rows.filter(F.col("at") <= cap).select(*_REFERENCE, "target_id", "scope", "candidates"), elsewhere, heads
+
+
 def relationships(references: DataFrame, symbols: DataFrame, aliases: DataFrame, files: DataFrame, cap: int = CANDIDATES) -> DataFrame:
     """References (file_id, line, owner_id, kind, name, role) to the definitions they can mean.
 
     A definition inside the same function comes before one of the same file, that before headers;
     the best scope's candidates all stay, with their exact number, listed up to ``cap``.
     """
-    types = symbols.filter(F.col("kind").isin("struct", "union", "enum")).join(files.select(F.col("id").alias("file_id"), "ext"), "file_id").select(F.col("id").alias("target_id"), F.col("file_id").alias("target_file"), "ext", F.col("kind").alias("target_kind"), F.col("name").alias("target_name"), "start_line", "end_line")
-    tagged = types.select("*", F.col("target_name").alias("key"), F.col("target_kind").alias("key_kind"))
-    aliased = types.join(aliases.select(F.col("symbol_id").alias("target_id"), F.col("name").alias("key")), "target_id").select(*types.columns, "key", F.lit("typedef").alias("key_kind"))
-    found = references.join(tagged.unionByName(aliased), (F.col("name") == F.col("key")) & (F.col("kind") == F.col("key_kind")))
-    functions = symbols.filter(F.col("kind").isin("function", "syscall")).select(F.col("file_id").alias("span_file"), F.col("start_line").alias("span_start"), F.col("end_line").alias("span_end"))
-    inner = found.join(functions, (F.col("target_file") == F.col("span_file")) & (F.col("file_id") == F.col("span_file")) & F.col("start_line").between(F.col("span_start"), F.col("span_end")) & F.col("line").between(F.col("span_start"), F.col("span_end")), "left")
-    scope = F.when(F.col("span_start").isNotNull(), 0).when(F.col("file_id") == F.col("target_file"), 1).when(F.col("ext").isin(".h", ".h_shipped"), 2)
-    keys = ["file_id", "line", "owner_id", "kind", "name", "role"]
-    rows = inner.withColumn("scope", scope).filter("scope is not null").groupBy(*keys, "target_id").agg(F.min("scope").alias("scope"))
-    by = Window.partitionBy(*keys)
-    rows = rows.withColumn("best", F.min("scope").over(by)).filter("scope = best").withColumn("candidates", F.count("*").over(by)).withColumn("at", F.row_number().over(by.orderBy("target_id")))
-    return rows.filter(F.col("at") <= cap).select(*keys, "target_id", "scope", "candidates", (F.col("candidates") > 1).alias("ambiguous"))
+    near, elsewhere, heads = _candidates(references, symbols, aliases, files, cap)
+    far = elsewhere.join(heads, ["kind", "name"]).select(*_REFERENCE, F.explode("targets").alias("target_id"), F.lit(2).alias("scope"), "candidates")
+    return near.union(far).withColumn("ambiguous", F.col("candidates") > 1)
+
+
+def usage(references: DataFrame, symbols: DataFrame, aliases: DataFrame, files: DataFrame, cap: int = CANDIDATES) -> DataFrame:
+    """(target_id, role, n, ambiguous): the rows of relationships() counted, without making those of headers one by one."""
+    near, elsewhere, heads = _candidates(references, symbols, aliases, files, cap)
+    ambiguous = F.when(F.col("candidates") > 1, F.col("n")).otherwise(F.lit(0).cast("long")).alias("ambiguous")
+    near = near.groupBy("target_id", "role").agg(F.count("*").alias("n"), F.count_if(F.col("candidates") > 1).alias("ambiguous"))
+    far = elsewhere.groupBy("kind", "name", "role").agg(F.count("*").alias("n")).join(heads, ["kind", "name"]).select(F.explode("targets").alias("target_id"), "role", "n", ambiguous)
+    return near.unionByName(far).groupBy("target_id", "role").agg(F.sum("n").alias("n"), F.sum("ambiguous").alias("ambiguous"))
+
+
+def used_by(target_id: int, references: DataFrame, symbols: DataFrame, aliases: DataFrame, files: DataFrame, cap: int = CANDIDATES) -> DataFrame:
+    """(role, n, ambiguous) of one type; only references by a name of its own are looked at."""
+    called = F.lit(False)
+    for r in _names(symbols, aliases, files).filter(F.col("target_id") == target_id).select("key_kind", "key").distinct().collect():  # one type's names
+        called = called | ((F.col("kind") == r["key_kind"]) & (F.col("name") == r["key"]))
+    return usage(references.filter(called), symbols, aliases, files, cap).filter(F.col("target_id") == target_id).drop("target_id")

@@ -336,3 +336,28 @@ def test_shortest_path_beyond_the_budgets(spark):
     assert rows(0, 5000, 3) == [(0, 0), (1, 1), (2, 4000), (3, 5000)]
     assert rows(0, 6000, 3) == rows(0, 0, 3) == rows(0, 77777, 9) == [(0, 0)]
     assert rows(0, 6000, 4)[-1] == (4, 6000)
+
+
+def test_usage_counts_relationships(spark):
+    files = spark.createDataFrame([(k, f"f{k}", ".h" if k < 6 else ".c") for k in range(12)], "id long, path string, ext string")
+    symbols = spark.createDataFrame([(k, k % 12, f"n{k % 3}", "struct", 2, 5) for k in range(60)] + [(99, 7, "f", "function", 1, 9)], "id long, file_id long, name string, kind string, start_line int, end_line int")
+    aliases = spark.createDataFrame([(k, f"t{k % 2}") for k in range(60)] + [(0, "t0")], "symbol_id long, name string")
+    refs = spark.createDataFrame([(f, f, 7, kind, f"{kind[0].replace('s', 'n')}{k}", role) for f in range(14) for k in range(3) for kind in ("struct", "typedef") for role in ("a", "b", None)] * 2, "file_id long, line int, owner_id long, kind string, name string, role string")
+    for cap in (100, 4):
+        rows = structures.relationships(refs, symbols, aliases, files, cap).groupBy("target_id", "role").agg(F.count("*").alias("n"), F.count_if("ambiguous").alias("ambiguous"))
+        want = {(r["target_id"], r["role"]): (r["n"], r["ambiguous"]) for r in rows.collect()}
+        assert want == {(r["target_id"], r["role"]): (r["n"], r["ambiguous"]) for r in structures.usage(refs, symbols, aliases, files, cap).collect()}
+        one = {r["role"]: (r["n"], r["ambiguous"]) for r in structures.used_by(3, refs, symbols, aliases, files, cap).collect()}
+        assert len(want) > 10 and one == {role: x for (t, role), x in want.items() if t == 3}
+
+
+def test_references_without_comparing_all_pairs(spark, tmp_path):
+    """The adapter's references are those of the SQL both engines share, by equality joins."""
+    from codestrata.plans import adapter
+
+    spark.range(3000).selectExpr("id AS p_partkey", "'red bolt' AS p_name", "'Brand#11' AS p_brand", "'PROMO' AS p_type", "CAST(id * 7 % 50 AS INT) AS p_size").write.parquet(f"{tmp_path}/part.parquet")
+    got = adapter.spark_table(spark, str(tmp_path), "k_references")
+    plan = got._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+    want = spark.sql(adapter.SQL["k_references"], k_symbols=adapter.spark_table(spark, str(tmp_path), "k_symbols"))
+    assert want.count() > 300 and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
