@@ -11,10 +11,9 @@ rule, and rejects what any rule rejects. Strata are languages; those without ``M
 labelled good documents to test on form one stratum (null).
 
 Thresholds, per stratum: the labelled documents that pass the base rules are split in half by a
-hash of doc_id. The design half, up to ``DESIGN`` documents with the smallest hash, fixes a
-sequence of filters, each stricter than the one before: step by step the cutoff that catches
-most further bad documents over good ones. The other half, the holdout, tests them in this
-order: a filter passes if the exact binomial (Clopper-Pearson) upper bound of its share of good
+hash of doc_id. The design half fixes a sequence of filters, each stricter than the one before:
+step by step the cutoff that catches most further bad documents over good ones. The other half,
+the holdout, tests them in this order: a filter passes if the exact binomial (Clopper-Pearson) upper bound of its share of good
 documents rejected is at most ``RISK``; the first that fails ends the test, and the last that
 passed is used. As the sequence is fixed before the holdout is looked at, and a filter is only
 tested if all laxer ones passed, the whole sequence is one test (fixed-sequence testing); over
@@ -23,8 +22,9 @@ the filters used reject, in every stratum at once, at most ``RISK`` of the good
 pass the base rules, whatever the design half looked like. Bounds are on the whole filter, so nothing
 is lost by sharing the risk out to rules.
 
-Holdout counts are taken over all labelled documents of that half; the driver gets a row per
-stratum and step.
+All labelled documents count. Of the design half the driver gets a row, with its number of
+documents, per combination of cutoffs passed that occurs in a stratum: no more than the grid has,
+however many documents there are. Of the holdout it gets a row per stratum and step.
 
 Defined results: unlabelled documents and null labels take no part in the fit; a document with
 several labels is good if all of them are; without labels only the base rules hold; a null
@@ -38,13 +38,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.llm.shared import SPACE, materialize
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-RISK, DELTA, MIN_LABELLED, DESIGN, STEPS = 0.05, 0.05, 100, 20_000, 16
+RISK, DELTA, MIN_LABELLED, STEPS = 0.05, 0.05, 100, 16
 #: A rule rejects where its ratio is above (or, for "short_words", below) the cutoff; strictest first.
 GRID = {
     "symbols": [0.02, 0.05, 0.1, 0.15, 0.2, 0.3],  # n_symbols / (word_chars + 1)
@@ -144,8 +144,8 @@ def upper_bound(k: int, n: int, delta: float) -> float:
     return hi
 
 
-def sequence_of(ratios: np.ndarray, good: np.ndarray, steps: int = STEPS, risk: float = RISK) -> list[tuple[str, float]]:
-    """The design half's sequence of (rule, cutoff) steps: ratios has a column per rule of GRID.
+def sequence_of(ratios: np.ndarray, good: np.ndarray, steps: int = STEPS, risk: float = RISK, n: np.ndarray | None = None) -> list[tuple[str, float]]:
+    """The design half's sequence of (rule, cutoff) steps: ratios has a column per rule of GRID, n the documents a row stands for (one).
 
     Step by step the cutoff that catches most bad documents more than good ones beyond the steps
     before; of equals the one with more bad, then the laxer, then the first rule. It ends where no
@@ -153,13 +153,14 @@ def sequence_of(ratios: np.ndarray, good: np.ndarray, steps: int = STEPS, risk:
     """
     out: list[tuple[str, float]] = []
     gone = np.zeros(len(good), bool)
+    n = np.ones(len(good), np.int64) if n is None else n
     hits = []
     for j, (rule, cutoffs) in enumerate(GRID.items()):
         for k, cutoff in enumerate(cutoffs):
             hits.append((rule, cutoff, -k, -j, ratios[:, j] < cutoff if rule == "short_words" else ratios[:, j] > cutoff))
     while len(out) < steps:
-        best = max(((int((h & ~gone & ~good).sum()), int((h & ~gone & good).sum()), lax, j, rule, cutoff, h) for rule, cutoff, lax, j, h in hits), key=lambda x: (x[0] - x[1], x[0], -x[2], x[3]))
-        if best[0] <= best[1] or ((gone | best[6]) & good).sum() > 2 * risk * max(1, good.sum()):
+        best = max(((int(n[h & ~gone & ~good].sum()), int(n[h & ~gone & good].sum()), lax, j, rule, cutoff, h) for rule, cutoff, lax, j, h in hits), key=lambda x: (x[0] - x[1], x[0], -x[2], x[3]))
+        if best[0] <= best[1] or n[(gone | best[6]) & good].sum() > 2 * risk * max(1, n[good].sum()):
             break
         gone |= best[6]
         out.append((best[4], best[5]))
@@ -186,15 +187,16 @@ def fit(stats: DataFrame, labels: DataFrame, risk: float = RISK, delta: float =
     labelled = materialize(labelled.select("doc_id", "lang", "good", held_half(F.col("doc_id")).alias("held"), *[c.alias(f"r_{r}") for r, c in ratios().items()]), "labelled")
     own = sorted(r["lang"] for r in labelled.filter("held and good and lang is not null").groupBy("lang").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_LABELLED).collect())
     labelled = labelled.withColumn("stratum", stratum_of(own))
-    order = Window.partitionBy("stratum").orderBy(F.xxhash64("doc_id"), "doc_id")
-    design = labelled.filter("not held").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= DESIGN)  # DESIGN rows a stratum
+    # Documents that pass the same cutoffs are alike to every filter; any of their ratios stands for all.
+    passed = [sum(((F.col(f"r_{r}") < c if r == "short_words" else F.col(f"r_{r}") > c).cast("int") for c in cutoffs), F.lit(0)).alias(f"c_{r}") for r, cutoffs in GRID.items()]
+    design = labelled.filter("not held").groupBy("stratum", "good", *passed).agg(F.count("*").alias("n"), *[F.min(f"r_{r}").alias(f"r_{r}") for r in GRID])
     drawn: dict[str | None, list] = {}
-    for r in design.select("stratum", "good", *[f"r_{r}" for r in GRID]).collect():
+    for r in design.select("stratum", "good", "n", *[f"r_{r}" for r in GRID]).collect():
         drawn.setdefault(r["stratum"], []).append(r)
     sequences: dict[str | None, list[tuple[str, float]]] = {}
     for stratum in [*own, None]:
         mine = drawn.get(stratum, [])
-        sequences[stratum] = sequence_of(np.array([r[2:] for r in mine], float), np.array([r["good"] for r in mine], bool), risk=risk) if mine else []
+        sequences[stratum] = sequence_of(np.array([r[3:] for r in mine], float), np.array([r["good"] for r in mine], bool), risk=risk, n=np.array([r["n"] for r in mine], np.int64)) if mine else []
     # The first step that rejects a document; its filter and all stricter ones do.
     good = labelled.filter("held and good").withColumn("step", first_step(sequences, lambda rule: F.col(f"r_{rule}")))
     counts: dict[str | None, dict[int | None, int]] = {}

@@ -712,3 +712,21 @@ def test_round_trip_without_index(tmp_path):
     with zipfile.ZipFile(tmp_path / "p.wacz") as a, zipfile.ZipFile(bare, "w") as b:
         b.writestr(warczip.DATA, a.read(warczip.DATA))
     assert [b for _, b in warczip.read_records(f"file://{bare}")] == want
+
+
+def test_design_half_counts_whole(spark, monkeypatch):
+    """45,000 documents of the design half are all in the counts, and the sequence is that of the documents one by one."""
+    seen, real = [], quality.sequence_of
+
+    def noted(ratios, good, **more):
+        out = real(ratios, good, **more)
+        seen.append((out, int(np.sum(more["n"])) if more.get("n") is not None else len(good)))
+        return out
+
+    monkeypatch.setattr(quality, "sequence_of", noted)
+    stats = spark.range(90_000).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.lit(100).cast("long").alias("n_words"), (600 + F.pmod(F.hash("id"), F.lit(100))).cast("long").alias("word_chars"), F.pmod(F.hash("id", F.lit(1)), F.lit(200)).cast("long").alias("n_symbols"), *[F.lit(0).cast("long").alias(c) for c in ("n_dup_lines", "n_repeat_words", "n_lines", "n_single", "n_upper")])
+    labels = stats.select("doc_id", F.when((F.col("n_symbols") > 120) & (F.col("doc_id") % 9 > 0), 0).otherwise(1).alias("quality"))
+    quality.fit(stats, labels)
+    rows = stats.join(labels, "doc_id").filter(~quality.held_half(F.col("doc_id"))).select("quality", *quality.ratios().values()).collect()
+    assert len(rows) > 40_000 and len(seen) == 1 and seen[0][0]
+    assert seen[0] == (real(np.array([r[1:] for r in rows], float), np.array([r[0] == 1 for r in rows])), len(rows))
