@@ -73,24 +73,28 @@ def _names(symbols: DataFrame, aliases: DataFrame, files: DataFrame) -> DataFram
     return tagged.unionByName(aliased)
 
 
-def _candidates(references: DataFrame, symbols: DataFrame, aliases: DataFrame, files: DataFrame, cap: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """References with a definition in their own file, a row per candidate; all others, once each; and (kind, name, candidates,
-    targets) of the headers. Which of the two a reference is, its file, kind and name tell; what headers offer is the same for all
-    references of a kind and name and is listed once, so no reference meets more than ``cap`` of them."""
+def _counted(rows: DataFrame, keys: list[str], cap: int | None) -> DataFrame:
+    """rows with the exact number of targets of their keys; with a cap, only the first ``cap`` of them."""
+    of = Window.partitionBy(*keys)
+    rows = rows.withColumn("candidates", F.count("*").over(of))
+    return rows if cap is None else rows.withColumn("at", F.row_number().over(of.orderBy("target_id"))).filter(F.col("at") <= cap).drop("at")
+
+
+def _candidates(references: DataFrame, symbols: DataFrame, aliases: DataFrame, files: DataFrame, cap: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """References with a definition in their own file, a row per candidate; all others, once each; and (kind, name, target_id,
+    candidates) of the headers. Which of the two a reference is, its file, kind and name tell; what headers offer is the same for
+    all references of a kind and name and is listed once. References are dealt once, by what tells the two apart."""
     named = _names(symbols, aliases, files)
-    once = references.select(*_REFERENCE).distinct()
+    dealt = references.select(*_REFERENCE).repartition("file_id", "kind", "name")
     here = named.select(F.col("target_file").alias("file_id"), F.col("key_kind").alias("kind"), F.col("key").alias("name"), "target_id", "start_line")
-    elsewhere = once.join(here.select("file_id", "kind", "name").distinct(), ["file_id", "kind", "name"], "left_anti")
+    keys = here.select("file_id", "kind", "name").distinct().hint("shuffle_hash")  # no key twice, so no task meets more than its share
+    elsewhere = dealt.join(keys, ["file_id", "kind", "name"], "left_anti").distinct()
     functions = symbols.filter(F.col("kind").isin("function", "syscall")).select(F.col("file_id").alias("span_file"), F.col("start_line").alias("span_start"), F.col("end_line").alias("span_end"))
-    inner = once.join(here, ["file_id", "kind", "name"]).join(functions, (F.col("file_id") == F.col("span_file")) & F.col("start_line").between(F.col("span_start"), F.col("span_end")) & F.col("line").between(F.col("span_start"), F.col("span_end")), "left")
+    inner = dealt.join(keys, ["file_id", "kind", "name"], "left_semi").distinct().join(here, ["file_id", "kind", "name"]).join(functions, (F.col("file_id") == F.col("span_file")) & F.col("start_line").between(F.col("span_start"), F.col("span_end")) & F.col("line").between(F.col("span_start"), F.col("span_end")), "left")
     rows = inner.withColumn("scope", F.when(F.col("span_start").isNotNull(), 0).otherwise(1)).groupBy(*_REFERENCE, "target_id").agg(F.min("scope").alias("scope"))
-    by = Window.partitionBy(*_REFERENCE)
-    rows = rows.withColumn("best", F.min("scope").over(by)).filter("scope = best").withColumn("candidates", F.count("*").over(by)).withColumn("at", F.row_number().over(by.orderBy("target_id")))
+    rows = rows.withColumn("best", F.min("scope").over(Window.partitionBy(*_REFERENCE))).filter("scope = best")
     heads = named.filter(F.col("ext").isin(".h", ".h_shipped")).select(F.col("key_kind").alias("kind"), F.col("key").alias("name"), "target_id").distinct()
-    of = Window.partitionBy("kind", "name")
-    heads = heads.withColumn("candidates", F.count("*").over(of)).withColumn("at", F.row_number().over(of.orderBy("target_id"))).filter(F.col("at") <= cap)
-    heads = heads.groupBy("kind", "name").agg(F.max("candidates").alias("candidates"), F.collect_list("target_id").alias("targets"))
-    return rows.filter(F.col("at") <= cap).select(*_REFERENCE, "target_id", "scope", "candidates"), elsewhere, heads
+    return _counted(rows, _REFERENCE, cap).select(*_REFERENCE, "target_id", "scope", "candidates"), elsewhere, _counted(heads, ["kind", "name"], cap)
 
 
 def relationships(references: DataFrame, symbols: DataFrame, aliases: DataFrame, files: DataFrame, cap: int = CANDIDATES) -> DataFrame:
@@ -100,21 +104,23 @@ def relationships(references: DataFrame, symbols: DataFrame, aliases: DataFrame,
     the best scope's candidates all stay, with their exact number, listed up to ``cap``.
     """
     near, elsewhere, heads = _candidates(references, symbols, aliases, files, cap)
+    heads = heads.groupBy("kind", "name").agg(F.max("candidates").alias("candidates"), F.collect_list("target_id").alias("targets"))
     far = elsewhere.join(heads, ["kind", "name"]).select(*_REFERENCE, F.explode("targets").alias("target_id"), F.lit(2).alias("scope"), "candidates")
     return near.union(far).withColumn("ambiguous", F.col("candidates") > 1)
 
 
-def usage(references: DataFrame, symbols: DataFrame, aliases: DataFrame, files: DataFrame, cap: int = CANDIDATES) -> DataFrame:
-    """(target_id, role, n, ambiguous): the rows of relationships() counted, without making those of headers one by one."""
+def usage(references: DataFrame, symbols: DataFrame, aliases: DataFrame, files: DataFrame, cap: int | None = CANDIDATES) -> DataFrame:
+    """(target_id, role, n, ambiguous): references counted for every definition they can mean, those in headers by name and not
+    one by one. With a cap, the rows of relationships() under it."""
     near, elsewhere, heads = _candidates(references, symbols, aliases, files, cap)
     ambiguous = F.when(F.col("candidates") > 1, F.col("n")).otherwise(F.lit(0).cast("long")).alias("ambiguous")
     near = near.groupBy("target_id", "role").agg(F.count("*").alias("n"), F.count_if(F.col("candidates") > 1).alias("ambiguous"))
-    far = elsewhere.groupBy("kind", "name", "role").agg(F.count("*").alias("n")).join(heads, ["kind", "name"]).select(F.explode("targets").alias("target_id"), "role", "n", ambiguous)
+    far = elsewhere.groupBy("kind", "name", "role").agg(F.count("*").alias("n")).join(heads, ["kind", "name"]).select("target_id", "role", "n", ambiguous)
     return near.unionByName(far).groupBy("target_id", "role").agg(F.sum("n").alias("n"), F.sum("ambiguous").alias("ambiguous"))
 
 
-def used_by(target_id: int, references: DataFrame, symbols: DataFrame, aliases: DataFrame, files: DataFrame, cap: int = CANDIDATES) -> DataFrame:
-    """(role, n, ambiguous) of one type; only references by a name of its own are looked at."""
+def used_by(target_id: int, references: DataFrame, symbols: DataFrame, aliases: DataFrame, files: DataFrame, cap: int | None = None) -> DataFrame:
+    """(role, n, ambiguous) of one type, however many share its names; only references by a name of its own are looked at."""
     called = F.lit(False)
     for r in _names(symbols, aliases, files).filter(F.col("target_id") == target_id).select("key_kind", "key").distinct().collect():  # one type's names
         called = called | ((F.col("kind") == r["key_kind"]) & (F.col("name") == r["key"]))

@@ -351,6 +351,22 @@ def test_usage_counts_relationships(spark):
         assert len(want) > 10 and one == {role: x for (t, role), x in want.items() if t == 3}
 
 
+def _crowd(spark):
+    """150 headers and one source file, each with a packet and a packet_t; references from files with and without one."""
+    files = spark.createDataFrame([(k, f"f{k}", ".h") for k in range(150)] + [(200, "own.c", ".c"), (201, "user.c", ".c")], "id long, path string, ext string")
+    symbols = spark.createDataFrame([(k, k, "packet", "struct", 1, 5) for k in range(150)] + [(1000 + k, 200, "packet", "struct", 1, 5) for k in range(120)], "id long, file_id long, name string, kind string, start_line int, end_line int")
+    aliases = spark.createDataFrame([(k, "packet_t") for k in range(150)], "symbol_id long, name string")
+    refs = spark.createDataFrame([(201, 5, 9, "struct", "packet", "a"), (201, 6, 9, "struct", "packet", "a"), (200, 7, 9, "typedef", "packet_t", "b"), (200, 8, 9, "struct", "packet", "b")] * 2, "file_id long, line int, owner_id long, kind string, name string, role string")
+    return refs, symbols, aliases, files
+
+
+def test_used_by_looks_past_a_hundred_candidates(spark):
+    """structure_report's part: also the last of many namesakes, in headers or in one file, has its references."""
+    one = lambda k: sorted(tuple(r) for r in structures.used_by(k, *_crowd(spark)).collect())
+    assert one(0) == one(99) == one(100) == one(149) == [("a", 2, 2), ("b", 1, 1)]
+    assert one(1000) == one(1119) == [("b", 1, 1)]
+
+
 def test_references_without_comparing_all_pairs(spark, tmp_path):
     """The adapter's references are those of the SQL both engines share, by equality joins."""
     from codestrata.plans import adapter
