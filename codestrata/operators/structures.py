@@ -109,7 +109,7 @@ def relationships(references: DataFrame, symbols: DataFrame, aliases: DataFrame,
     return near.union(far).withColumn("ambiguous", F.col("candidates") > 1)
 
 
-def usage(references: DataFrame, symbols: DataFrame, aliases: DataFrame, files: DataFrame, cap: int | None = CANDIDATES) -> DataFrame:
+def usage(references: DataFrame, symbols: DataFrame, aliases: DataFrame, files: DataFrame, cap: int | None = None) -> DataFrame:
     """(target_id, role, n, ambiguous): references counted for every definition they can mean, those in headers by name and not
     one by one. With a cap, the rows of relationships() under it."""
     near, elsewhere, heads = _candidates(references, symbols, aliases, files, cap)

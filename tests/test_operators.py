@@ -367,6 +367,13 @@ def test_used_by_looks_past_a_hundred_candidates(spark):
     assert one(1000) == one(1119) == [("b", 1, 1)]
 
 
+def test_usage_looks_past_a_hundred_candidates(spark):
+    """structure_usage's part: every reference counts for each of its 150 or 120 candidates."""
+    got = {(r["target_id"], r["role"]): (r["n"], r["ambiguous"]) for r in structures.usage(*_crowd(spark)).collect()}
+    want = {(k, "a"): (2, 2) for k in range(150)} | {(k, "b"): (1, 1) for k in range(150)} | {(1000 + k, "b"): (1, 1) for k in range(120)}
+    assert got == want
+
+
 def test_references_without_comparing_all_pairs(spark, tmp_path):
     """The adapter's references are those of the SQL both engines share, by equality joins."""
     from codestrata.plans import adapter
